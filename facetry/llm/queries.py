@@ -6,19 +6,60 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, shuffle_shards
+from . import bitslice, decontam, license_scan, line_dedup, mixing, secret_crf, shuffle_shards, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_digest(table(spark, sf_dir, "documents"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shuffle_shards.shard_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_crf.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_digest(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op3_sharding, op5_mixing)}
-ORACLES: dict[str, str] = {"op5_mixing": mixing.MIX_SQL}
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitslice.search_digest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        op1_line_dedup,
+        op2_license_scan,
+        op3_sharding,
+        op4_secret_scan,
+        op5_mixing,
+        op6_simhash,
+        op7_decontamination,
+        op8_toxicity,
+        op9_exact_topk,
+    )
+}
+ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.DEDUP_SQL, "op5_mixing": mixing.MIX_SQL, "op9_exact_topk": bitslice.SEARCH_SQL}

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bitslice, decontam, license_scan, line_dedup, mixing, secret_crf, shuffle_shards, simhash, toxicity
+from . import bitslice, ctw, decontam, license_scan, line_dedup, mixing, secret_crf, shuffle_shards, simhash, toxicity
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,6 +48,10 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.search_digest(table(spark, sf_dir, "embeddings"))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
@@ -60,6 +64,7 @@ QUERIES: dict[str, Query] = {
         op7_decontamination,
         op8_toxicity,
         op9_exact_topk,
+        op10_lm_scoring,
     )
 }
 ORACLES: dict[str, str] = {"op1_line_dedup": line_dedup.DEDUP_SQL, "op5_mixing": mixing.MIX_SQL, "op9_exact_topk": bitslice.SEARCH_SQL}

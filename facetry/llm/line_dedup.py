@@ -249,7 +249,7 @@ class LineIndex:
         """The index without the documents in the single column of ``ids``."""
         gone = ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
         own = self.postings.join(gone, "doc_id")
-        rest = settle(self.postings.join(gone, "doc_id", "left_anti"), "postings")
+        rest = settle(self.postings.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "postings")
         return self._apply(own.select("k1", "k2", F.lit(-1).alias("step")), rest)
 
     def maybe_repeated(self) -> DataFrame:

@@ -88,7 +88,7 @@ class Block:
     @classmethod
     def read(cls, row: dict) -> Block:
         ids, low, bits = (np.frombuffer(row[n], np.int64) for n in ("ids", "low", "bits"))
-        return cls(ids, low, bits, np.frombuffer(row["slices"], np.uint64).reshape(int(bits.sum()), -1))
+        return cls(ids, low, bits, np.frombuffer(row["slices"], np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64)))
 
     def addends(self, query: np.ndarray) -> tuple[dict[int, list[np.ndarray]], int]:
         """Bitmaps to add up by weight, and the constant that completes the score."""

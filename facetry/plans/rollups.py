@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 from dataclasses import dataclass
 
@@ -92,17 +93,7 @@ def refresh(layer, model_name: str, rollup_name: str, mode: str = "full", lookba
         raise DefinitionError(f"no roll-up {model_name}.{rollup_name}")
     name, spark = table_name(model, rollup), layer.spark
     if mode == "full" or not spark.catalog.tableExists(name) or not rollup.time_dimension:
-        out = definition(layer, model, rollup, rollup.build_range_start, rollup.build_range_end)
-        staged = f"{name}__new"
-        spark.sql(f"DROP TABLE IF EXISTS {staged}")
-        writer = out.write.mode("overwrite")
-        if rollup.partition_granularity and rollup.time_dimension:
-            bucket = F.date_format(F.date_trunc(rollup.partition_granularity, f"{rollup.time_dimension}_{rollup.granularity}"), "yyyy-MM-dd")
-            writer = out.withColumn("_bucket", bucket).write.mode("overwrite").partitionBy("_bucket")
-        writer.saveAsTable(staged)
-        spark.sql(f"DROP TABLE IF EXISTS {name}")
-        spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
-        return name
+        return publish(spark, name, definition(layer, model, rollup, rollup.build_range_start, rollup.build_range_end), rollup)
     time = f"{rollup.time_dimension}_{rollup.granularity}"
     old = spark.table(name)
     mark = old.agg(F.max(time)).first()[0]
@@ -111,17 +102,33 @@ def refresh(layer, model_name: str, rollup_name: str, mode: str = "full", lookba
     since = f"timestamp'{mark}'" + (f" - INTERVAL '{lookback.split()[0]}' {lookback.split()[1].rstrip('s').upper()}" if lookback else "")
     start = spark.sql(f"SELECT cast(date_trunc('{rollup.granularity}', {since}) as string) AS s").first()[0]
     fresh = definition(layer, model, rollup, start)
-    if "_bucket" in old.columns:
-        fresh = fresh.withColumn("_bucket", F.date_format(F.date_trunc(rollup.partition_granularity, time), "yyyy-MM-dd"))
-    staged = f"{name}__new"
-    spark.sql(f"DROP TABLE IF EXISTS {staged}")
-    writer = old.filter(F.col(time) < F.lit(start).cast("timestamp")).unionByName(fresh).write.mode("overwrite")
-    (writer.partitionBy("_bucket") if "_bucket" in old.columns else writer).saveAsTable(staged)
-    spark.sql(f"DROP TABLE {name}")
-    spark.sql(f"ALTER TABLE {staged} RENAME TO {name}")
+    return publish(spark, name, old.drop("_bucket").filter(F.col(time) < F.lit(start).cast("timestamp")).unionByName(fresh), rollup)
+
+
+def publish(spark, name: str, rows: DataFrame, rollup: PreAggregation) -> str:
+    """Write a new version beside the old one, then point the view ``name`` to it: readers see one or the other."""
+    version = f"{name}__{uuid.uuid4().hex[:12]}"
+    writer = rows.write
+    if rollup.partition_granularity and rollup.time_dimension:
+        bucket = F.date_format(F.date_trunc(rollup.partition_granularity, f"{rollup.time_dimension}_{rollup.granularity}"), "yyyy-MM-dd")
+        writer = rows.withColumn("_bucket", bucket).write.partitionBy("_bucket")
+    writer.saveAsTable(version)
+    earlier = [t.name for t in spark.catalog.listTables(pattern=f"{name}__*") if t.name != version]
+    if spark.catalog.tableExists(name) and spark.catalog.getTable(name).tableType != "VIEW":
+        spark.sql(f"DROP TABLE {name}")
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM {version}")
+    for table in earlier:
+        spark.sql(f"DROP TABLE {table}")
     return name
 
 
+def drop(spark, name: str) -> None:
+    """Remove a roll-up and its versions."""
+    spark.sql(f"DROP VIEW IF EXISTS {name}")
+    for t in spark.catalog.listTables(pattern=f"{name}__*"):
+        spark.sql(f"DROP TABLE {t.name}")
+
+
 def check(layer, model: Model, rollup: PreAggregation, dims: list[Field], leaves: list[Leaf], filters: list[str]) -> list[str]:
     """Why a roll-up can't answer; empty if it can."""
     if rollup.type not in ("rollup", "lambda"):

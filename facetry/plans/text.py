@@ -14,9 +14,11 @@ _BARE = re.compile(r"(?<![\w.`])([A-Za-z_]\w*)(?!\w|\s*\(|\.\w)")
 #: Words that stand between names and aren't names.
 KEYWORDS = frozenset(
     "and or not in is null like ilike rlike between case when then else end true false distinct as over partition by order asc desc rows range preceding following "
-    "unbounded current row within group filter where interval day days month months year years week weeks hour hours minute minutes second seconds quarter date timestamp cast "
-    "int integer bigint double float decimal string boolean exists select from all any nulls first last escape".split()
+    "unbounded current row within group filter where interval cast exists select from all any nulls first last escape".split()
 )
+#: Names in some places, words of an INTERVAL or of a cast in others.
+UNITS = frozenset("day days month months year years week weeks hour hours minute minutes second seconds quarter".split())
+TYPES = frozenset("date timestamp int integer bigint double float decimal string boolean".split())
 
 
 def outside_strings(text: str, change: Callable[[str], str]) -> str:
@@ -35,7 +37,19 @@ def replace_dotted(text: str, change: Callable[[str, str], str | None]) -> str:
 
 def replace_bare(text: str, change: Callable[[str], str | None]) -> str:
     """Plain names that are neither keywords, calls nor qualified."""
-    return outside_strings(text, lambda s: _BARE.sub(lambda m: m[0] if m[1].lower() in KEYWORDS or (r := change(m[1])) is None else r, s))
+    text = re.sub(r"(?i)\binterval\s+'(\d+)'\s+", r"INTERVAL \1 ", text)
+
+    def one(m: re.Match, literal_follows: bool) -> str:
+        word, before = m[1].lower(), m.string[: m.start()]
+        fixed = word in KEYWORDS or (word in UNITS and re.search(r"(?i)\binterval\s+[-\d.]+\s+$", before))
+        fixed = fixed or (word in TYPES and (re.search(r"(?i)\bas\s+$", before) or (literal_follows and not m.string[m.end() :].strip())))
+        return m[0] if fixed or (r := change(m[1])) is None else r
+
+    out, at = [], 0
+    for quoted in _PARTS.finditer(text):
+        out += [_BARE.sub(lambda m: one(m, True), text[at : quoted.start()]), quoted[0]]
+        at = quoted.end()
+    return "".join([*out, _BARE.sub(lambda m: one(m, False), text[at:])])
 
 
 def dotted(text: str) -> list[tuple[str, str]]:

@@ -318,7 +318,7 @@ class Planner:
         graph, ctx = self.ctx.graph, self.ctx
         hops = self.hops(base)
         single = {f: {a for a, _ in dotted(f) if a in graph.models} for f in self.filters}
-        crossing = [f for f, owners in single.items() if len(owners) > 1]
+        crossing = [f for f, owners in single.items() if len(owners) != 1]  # without a model: constants and subqueries
         fields: dict[str, set[tuple[str, str | None]]] = {m: set() for m in [base, *(h.right for h in hops)]}
         for d in self.dimensions:
             fields[d.model].add((d.name, d.grain))

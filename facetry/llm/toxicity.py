@@ -34,6 +34,8 @@ HASH_BITS = 20
 FEATURES = 4096
 #: Labelled rows that the regression is fitted to at most.
 FIT_ROWS = 4000
+#: Labels are broadcast up to so many (about 30 bytes each).
+BROADCAST_LABELS = 4_000_000
 FOLDS = 5
 SMOOTHING = 1.0
 RIDGE = 1e-3
@@ -63,11 +65,16 @@ def held_out(key: Column) -> Column:
     return crc32_of_id(key) % FOLDS == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of labelled rows outside the held-out fold."""
+def training_labels(labels: DataFrame) -> DataFrame:
+    """(doc_id, toxic) outside the held-out fold, an id once."""
     marks = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id")))
-    marks = marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+    return marks.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+
+
+def labelled(docs: DataFrame, marks: DataFrame, few: bool, columns: tuple[str, ...]) -> DataFrame:
+    """``columns`` and the label of labelled rows. Few labels go to the documents, whose texts
+    then stay where they are; more than BROADCAST_LABELS are joined by a shuffle."""
+    return docs.select("doc_id", *columns).join(F.broadcast(marks) if few else marks, "doc_id")
 
 
 def cell_counts(rows: DataFrame) -> DataFrame:
@@ -144,12 +151,15 @@ def fit_logistic(indices: np.ndarray, rows: np.ndarray, values: np.ndarray, labe
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
     none = np.zeros(0, np.int64)
-    rows = settle(training_rows(docs, labels), "toxic-training")
-    sums = dict(rows.groupBy("toxic").count().collect())
+    marks = settle(training_labels(labels), "toxic-labels")
+    few = marks.count() <= BROADCAST_LABELS
+    ids = settle(labelled(docs, marks, few, ()), "toxic-rows")
+    sums = dict(ids.groupBy("toxic").count().collect())
     n_positive, n_negative = sums.get(1, 0), sums.get(0, 0)
     if not n_positive or not n_negative:
         share = min(max((n_positive + 0.5) / (n_positive + n_negative + 1), 1e-6), 1 - 1e-6)
         return Model(none, none, float(np.log(share / (1 - share))))
+    rows = labelled(docs, marks, few, ("text",))
     counted = cell_counts(rows).toArrow()  # one row a cell: bounded by the hash
     cells, positive, negative = (counted[n].to_numpy() for n in ("cell", "positive", "negative"))
     order = np.argsort(cells)
@@ -171,8 +181,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
 
     each = FIT_ROWS // 2
     order = F.xxhash64("doc_id"), F.col("doc_id")
-    halves = [rows.filter(F.col("toxic") == t).orderBy(*order).limit(max(each, FIT_ROWS - other)) for t, other in ((1, n_negative), (0, n_positive))]
-    sample = map_batches(halves[0].union(halves[1]).select("text", "toxic"), "toxic int, held array<int>", features).toArrow().combine_chunks()
+    halves = [ids.filter(F.col("toxic") == t).distinct().orderBy(*order).limit(max(each, FIT_ROWS - other)) for t, other in ((1, n_negative), (0, n_positive))]
+    picked = docs.select("doc_id", "text").join(F.broadcast(halves[0].union(halves[1])), "doc_id").select("text", "toxic").limit(2 * FIT_ROWS)
+    sample = map_batches(picked, "toxic int, held array<int>", features).toArrow().combine_chunks()
     marks = sample["toxic"].to_numpy().astype(np.float64)
     held = sample["held"].combine_chunks()
     indices = held.flatten().to_numpy()

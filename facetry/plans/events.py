@@ -71,8 +71,9 @@ def conversion(ctx: Context, model: Model, metric: Metric, fields: list[Field],
     rows = rows.filter("__base OR __conversion")
     dims = [f.output for f in fields]
     n, unit = interval(metric.conversion_window or "7 days")
-    # the first conversion at or after each event of the entity: a running minimum from the end
-    following = "min(CASE WHEN __conversion THEN __time END) OVER (PARTITION BY __entity ORDER BY __time RANGE BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)"
+    # the first conversion at or after each event of the entity: a minimum that grows from the latest event
+    # back, which takes one step a row (a frame with unbounded following would take one for each pair)
+    following = "min(CASE WHEN __conversion THEN __time END) OVER (PARTITION BY __entity ORDER BY __time DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     marked = rows.withColumn("__next", F.expr(following)).filter("__base")
     done = F.expr(f"__next <= __time + INTERVAL '{n}' {unit.upper()}")
     each = marked.groupBy(*dims, "__entity").agg(F.max(F.coalesce(done, F.lit(False))).alias("__done"))

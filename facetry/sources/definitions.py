@@ -12,6 +12,7 @@ from typing import Any
 
 import yaml
 
+from ..functions.translate import TIMEFRAMES, expression
 from ..model import AGGREGATES, DefinitionError, Dimension, Explore, Metric, Model, Parameter, PreAggregation, Relationship, SavedQuery, SecurityPolicy, Segment
 from ..plans.text import closing
 
@@ -48,13 +49,15 @@ def load(path: str) -> Definitions:
     where = Path(path)
     if where.is_dir():
         found = Definitions()
-        for file in sorted(p for p in where.rglob("*") if p.suffix in (".yml", ".yaml", ".sql")):
+        for file in sorted(p for p in where.rglob("*") if p.suffix in (".yml", ".yaml", ".sql", ".lkml")):
             found.merge(load(str(file)))
         infer_relationships(found.models)
         return found
     text = where.read_text()
     if where.suffix == ".sql":
         return parse_sql(text)
+    if where.suffix == ".lkml":
+        return lookml(text)
     return parse_yaml(text)
 
 
@@ -72,6 +75,8 @@ def parse_yaml(text: str) -> Definitions:
         return snowflake(data)
     if "base_sql_table" in data or "base_sql_query" in data:
         return hex_model(data)
+    if "models" not in data and any(isinstance(v, dict) and "table" in v and ("dimensions" in v or "measures" in v) for v in data.values()):
+        return expressions(data)
     return native(data)
 
 
@@ -416,3 +421,148 @@ def hex_model(data: dict) -> Definitions:
         keys = re.fullmatch(r"\s*(?:\$\{\w+\}\.)?(\w+)\s*=\s*\$?\{?\w+\}?\.\$?\{?(\w+)\}?\s*", r.get("join_sql", ""))
         model.relationships.append(Relationship(r.get("target") or r["id"], r.get("type", "many_to_one"), foreign_key=keys[1] if keys else None, primary_key=keys[2] if keys else None))
     return Definitions([model])
+
+
+def expressions(data: dict) -> Definitions:
+    """Models keyed by name whose fields are expressions like ``_.amount.sum()``."""
+    found = Definitions()
+    text = lambda v: v["expr"] if isinstance(v, dict) else v
+    for name, m in data.items():
+        if not isinstance(m, dict) or "table" not in m:
+            continue
+        model = Model(name, table=m["table"], primary_key=m.get("primary_key"), description=m.get("description"), default_time_dimension=m.get("time_dimension"))
+        for d, v in (m.get("dimensions") or {}).items():
+            timed = d == m.get("time_dimension") or (isinstance(v, dict) and v.get("is_time_dimension"))
+            model.dimensions.append(Dimension(d, "time" if timed else "categorical", expression(text(v))))
+        for x, v in (m.get("measures") or {}).items():
+            model.metrics.append(Metric(x, sql=expression(text(v))))
+        for j, v in (m.get("joins") or {}).items():
+            keys = dict(foreign_key=(v.get("left_on") or v.get("with") or "").removeprefix("_.") or None, primary_key=v.get("right_on"))
+            model.relationships.append(Relationship(v.get("model", j), {"one": "many_to_one", "many": "one_to_many", "cross": "cross"}.get(v.get("type", "one"), "many_to_one"), **keys))
+        found.models.append(model)
+    return found
+
+
+# LookML
+
+_LOOK = re.compile(r"\s*(?:#[^\n]*\s*)*")
+
+
+def look_blocks(text: str, at: int = 0, inside: bool = False) -> tuple[list[tuple[str, str | None, Any]], int]:
+    """(key, name, value) of ``key: value``, ``key: name { ... }`` and ``key: [ ... ]``; SQL values end with ;;"""
+    found: list[tuple[str, str | None, Any]] = []
+    while True:
+        at = _LOOK.match(text, at).end()
+        if at >= len(text):
+            return found, at
+        if text[at] == "}":
+            if not inside:
+                raise DefinitionError("a LookML block closes that was never opened")
+            return found, at + 1
+        key = re.compile(r"([\w+]+)\s*:\s*").match(text, at)
+        if not key:
+            raise DefinitionError(f"LookML not understood near {text[at : at + 40]!r}")
+        at = key.end()
+        block = re.compile(r"([\w+.]*)\s*\{").match(text, at)
+        if key[1] in ("sql", "html") or key[1].startswith("sql_") or (key[1].startswith("expression") and ";;" in text[at:]):
+            end = text.find(";;", at)
+            if key[1].startswith("sql") and key[1] not in ("sql_always_where",) and end < 0:
+                raise DefinitionError(f"LookML {key[1]} lacks ;;")
+            found.append((key[1], None, text[at:end].strip()))
+            at = end + 2
+        elif block:
+            value, at = look_blocks(text, block.end(), True)
+            found.append((key[1], block[1] or None, value))
+        elif text[at] == "[":
+            end = text.index("]", at)
+            pairs = re.findall(r"([\w.]+)\s*:\s*\"([^\"]*)\"", text[at:end])
+            found.append((key[1], None, pairs or re.findall(r"[\w.]+", text[at + 1 : end])))
+            at = end + 1
+        else:
+            value = re.compile(r'"((?:[^"\\]|\\.)*)"|([^\s}]+)').match(text, at)
+            found.append((key[1], None, value[1] if value[1] is not None else value[2]))
+            at = value.end()
+
+
+def lookml(text: str) -> Definitions:
+    """Views become models; explores of many-to-one or one-to-one joins become relationships."""
+    found = Definitions()
+    blocks, _ = look_blocks(text)
+    for key, name, body in blocks:
+        if key == "view":
+            found.models.append(look_view(name, body))
+    names = {m.name: m for m in found.models}
+    for key, name, body in blocks:
+        if key != "explore":
+            continue
+        for _, joined, join in (b for b in body if b[0] == "join"):
+            fields_ = {k: v for k, _, v in join}
+            on = re.fullmatch(r"\s*\$\{(\w+)\.(\w+)\}\s*=\s*\$\{(\w+)\.(\w+)\}\s*", fields_.get("sql_on", ""))
+            kind_ = fields_.get("relationship", "many_to_one")
+            if not on or not {on[1], on[3]} <= set(names):
+                raise DefinitionError(f"explore {name}: the join of {joined} isn't an equality of two views' fields")
+            (a, x), (b, y) = ((on[1], on[2]), (on[3], on[4])) if on[3] == joined else ((on[3], on[4]), (on[1], on[2]))
+            column = lambda v, f: strip_table(names[v].dimension(f).sql) if names[v].dimension(f) and names[v].dimension(f).sql else f
+            names[a].relationships.append(Relationship(b, kind_, foreign_key=column(a, x) if kind_ != "one_to_many" else column(b, y), primary_key=column(b, y) if kind_ != "one_to_many" else column(a, x)))
+    return found
+
+
+def strip_table(sql: str) -> str:
+    return sql.replace("{model}.", "")
+
+
+def look_view(name: str, body: list) -> Model:
+    model = Model(name)
+    sql = lambda s: re.sub(r"\$\{(\w+)\}", r"\1", re.sub(r"\$\{TABLE\}\.", "{model}.", s)) if s else None
+    aggs = {"count": "count", "sum": "sum", "average": "avg", "min": "min", "max": "max", "count_distinct": "count_distinct", "median": "median", "sum_distinct": "sum", "average_distinct": "avg", "median_distinct": "median", "percentile": "percentile", "percentile_distinct": "percentile", "list": "string_agg"}
+    for key, member, value in body:
+        if key == "sql_table_name":
+            model.table = value
+        elif key == "derived_table":
+            model.sql = next((v for k, _, v in value if k == "sql"), None)
+        elif key in ("dimension", "dimension_group", "measure"):
+            f = {k: v for k, _, v in value}
+            hidden = f.get("hidden") == "yes"
+            if key == "dimension":
+                if f.get("primary_key") == "yes":
+                    model.primary_key = strip_table(sql(f.get("sql")) or member)
+                kind_ = {"yesno": "boolean"}.get(f.get("type", "string"), kind(f.get("type")))
+                model.dimensions.append(Dimension(member, kind_, sql(f.get("sql")), public=not hidden))
+            elif key == "dimension_group":
+                x = sql(f.get("sql")) or member
+                for frame in f.get("timeframes") or ["raw", "date", "week", "month", "quarter", "year"]:
+                    if frame not in TIMEFRAMES:
+                        raise DefinitionError(f"view {name}: unknown timeframe {frame}")
+                    timed = "date_trunc" in TIMEFRAMES[frame] or TIMEFRAMES[frame] == "{x}"
+                    model.dimensions.append(Dimension(f"{member}_{frame}", "time" if timed else "categorical", TIMEFRAMES[frame].replace("{x}", x)))
+            else:
+                filters = [look_filter(n, v) for n, v in f.get("filters") or []] or None
+                if f.get("type") in aggs:
+                    distinct = sql(f.get("sql_distinct_key")) if f["type"].endswith("_distinct") and f["type"] != "count_distinct" else None
+                    share = float(f["percentile"]) / 100 if "percentile" in f else None
+                    model.metrics.append(Metric(member, aggs[f["type"]], sql(f.get("sql")), filters=filters, distinct_key=distinct, percentile=share, public=not hidden))
+                elif f.get("type") == "running_total":
+                    model.metrics.append(Metric(member, type="cumulative", sql=sql(f["sql"])))
+                elif f.get("type") in ("number", "string", "yesno", "date"):
+                    model.metrics.append(Metric(member, type="derived", sql=sql(f["sql"]), public=not hidden))
+                else:
+                    raise DefinitionError(f"view {name}: measure type {f.get('type')} of {member} can't be expressed")
+    if not model.table and not model.sql:
+        model.table = name
+    return model
+
+
+def look_filter(name: str, value: str) -> str:
+    """A filter expression: values by comma, -value, numbers with an operator, yes and no."""
+    field_ = f"{{model}}.{name.split('.')[-1]}"
+    if value.lower() in ("yes", "no"):
+        return field_ if value.lower() == "yes" else f"NOT {field_}"
+    parts = [p.strip() for p in value.split(",")]
+    if len(parts) == 1 and (m := re.fullmatch(r"(>=|<=|<>|!=|>|<|=)?\s*(-?\d+(?:\.\d+)?)", parts[0])) and m[1]:
+        return f"{field_} {m[1]} {m[2]}"
+    quoted = lambda ps: ", ".join("'" + p.replace("'", "''") + "'" for p in ps)
+    if parts[0].startswith("-"):
+        return f"{field_} NOT IN ({quoted([p.lstrip('-') for p in parts])})"
+    if any("%" in p for p in parts):
+        return "(" + " OR ".join(f"{field_} LIKE {quoted([p])}" for p in parts) + ")"
+    return f"{field_} IN ({quoted(parts)})"

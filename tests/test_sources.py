@@ -96,6 +96,7 @@ OTHERS = {
     "rill": ("{type: metrics_view, model: n_orders, dimensions: [{name: state, column: state}], measures: [{name: total, expression: sum(amount)}]}", ["n_orders.total"], ["n_orders.state"], [("a", 10)]),
     "superset": ("{table_name: n_orders, columns: [{column_name: state, type: VARCHAR}], metrics: [{metric_name: total, expression: SUM(amount)}]}", ["n_orders.total"], ["n_orders.state"], [("a", 10)]),
     "snowflake": ("{tables: [{name: orders, base_table: {table: n_orders}, primary_key: {columns: [id]}, dimensions: [{name: state, expr: state, data_type: varchar}], measures: [{name: total, expr: amount, default_aggregation: sum}]}, {name: customers, base_table: {table: n_customers}, primary_key: {columns: [id]}, dimensions: [{name: country, expr: country, data_type: varchar}]}], relationships: [{left_table: orders, right_table: customers, relationship_columns: [{left_column: customer_id, right_column: id}]}]}", ["orders.total"], ["customers.country"], [("EU", 6), ("US", 4)]),
+    "expressions": ("{orders: {table: n_orders, dimensions: {state: _.state}, measures: {total: _.amount.sum(), each: {expr: _.amount.sum() / _.count()}}, joins: {customers: {model: customers, type: one, left_on: customer_id, right_on: id}}}, customers: {table: n_customers, primary_key: id, dimensions: {country: _.country}, measures: {}}}", ["orders.total", "orders.each"], ["customers.country"], [("EU", 6, 6.0), ("US", 4, 4.0)]),
     "hex": ("{id: orders, base_sql_table: n_orders, dimensions: [{id: id, type: number, unique: true}, {id: state, type: string}], measures: [{id: total, func: sum, of: amount}]}", ["orders.total"], ["orders.state"], [("a", 10)]),
 }
 
@@ -106,6 +107,30 @@ def test_other_formats(spark, tables, name):
     assert sorted((tuple(r) for r in loaded(spark, D.parse_yaml(text)).query(metrics, dimensions).collect()), key=str) == want
 
 
+def test_lookml(spark, tables):
+    text = """
+view: orders {
+  sql_table_name: n_orders ;;
+  dimension: id { primary_key: yes type: number sql: ${TABLE}.id ;; }
+  dimension: customer_id { type: number sql: ${TABLE}.customer_id ;; }
+  dimension: state { type: string }  # plain
+  measure: total { type: sum sql: ${TABLE}.amount ;; filters: [state: "a, b"] }
+  measure: n { type: count }
+  measure: each { type: number sql: ${total} / ${n} ;; }
+  measure: large { type: count filters: [id: ">1"] }
+}
+view: customers {
+  sql_table_name: n_customers ;;
+  dimension: id { primary_key: yes sql: ${TABLE}.id ;; }
+  dimension: country {}
+}
+explore: orders { join: customers { relationship: many_to_one sql_on: ${orders.customer_id} = ${customers.id} ;; } }
+"""
+    layer = loaded(spark, D.lookml(text))
+    got = sorted(tuple(r) for r in layer.query(["orders.total", "orders.each", "orders.large"], ["customers.country"]).collect())
+    assert got == [("EU", 6, 6.0, 1), ("US", 4, 4.0, 0)]
+
+
 def test_folder(spark, tables, tmp_path):
     (tmp_path / "a.yml").write_text(NATIVE)
     (tmp_path / "b.sql").write_text("METRIC (name twice, type derived, sql orders.total * 2);")

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, crc32_of_id, map_batches, settle, text_bytes
 
-ORDERS = (4, 5)
+ORDERS = (4, 6)
 HASH_BITS = 20
 #: Cells kept by support: a bound of the model.
 FEATURES = 4096
@@ -37,8 +37,9 @@ FIT_ROWS = 4000
 #: Labels are broadcast up to so many (about 30 bytes each).
 BROADCAST_LABELS = 4_000_000
 FOLDS = 5
-SMOOTHING = 1.0
-RIDGE = 1e-3
+#: Documents added to each cell, dealt to the labels by their shares, so that a rare cell leans to neither.
+SMOOTHING = 2.0
+RIDGE = 5e-3
 ROUNDS = 150
 
 _BLANK_TABLE = bytes(32 if c in b"\t\n\x0b\x0c\r" else ASCII_LOWER[c] for c in range(256))
@@ -120,7 +121,10 @@ class Model:
 
 def log_ratios(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:
     """Naive Bayes log-count ratio of each cell, of smoothed document shares."""
-    return np.log((positive + SMOOTHING) / (n_positive + 2 * SMOOTHING)) - np.log((negative + SMOOTHING) / (n_negative + 2 * SMOOTHING))
+    share = n_positive / (n_positive + n_negative)
+    toxic = (positive + SMOOTHING * share) / (n_positive + SMOOTHING)
+    other = (negative + SMOOTHING * (1 - share)) / (n_negative + SMOOTHING)
+    return np.log(toxic) - np.log(other)
 
 
 def choose(positive: np.ndarray, negative: np.ndarray, n_positive: int, n_negative: int) -> np.ndarray:

@@ -255,18 +255,23 @@ class SemanticLayer:
             out = planner.detail(compiler.leaves)
         else:
             out = planner.aggregate(compiler.leaves, totals)
+        over_all = sorted({int(i) for _, formula in outputs for i in re.findall(r"__total(\d+)", formula)})
+        if over_all:
+            if ungrouped or totals:
+                raise DefinitionError("totals over all groups need a grouped query")
+            out = planner.with_totals(out, compiler.leaves, over_all)
         with lenient(self.spark):
             kept = [F.col(f.internal).alias(f.output) for f in fields]
-            extra = [F.col(c) for c in out.columns if ungrouped and not c.startswith(("__d_", "__leaf"))] + ([F.col("_is_total")] if totals else [])
+            extra = [F.col(c) for c in out.columns if ungrouped and not c.startswith(("__d_", "__leaf", "__total"))] + ([F.col("_is_total")] if totals else [])
             leaves = [F.col(f"__leaf{i}") for i in range(len(compiler.leaves)) if f"__leaf{i}" in out.columns]
-            out = out.select(*kept, *extra, *leaves, *[F.expr(formula).alias(name) for name, formula in outputs])
+            out = out.select(*kept, *extra, *leaves, *[F.col(f"__total{i}") for i in over_all], *[F.expr(formula).alias(name) for name, formula in outputs])
             if totals and window.asked:
                 raise DefinitionError("totals can't be combined with window metrics")
             if window.asked:
                 out = window.apply(out)
             for text in having:
                 out = out.filter(text)
-        return out.drop(*[c for c in out.columns if c.startswith("__leaf")])
+        return out.drop(*[c for c in out.columns if c.startswith(("__leaf", "__total"))])
 
     def _staged(self, filters: list[str], found: list) -> tuple[list[str], list[str]]:
         """Filters on rows and filters on metrics; ANDs are taken apart."""

@@ -7,6 +7,7 @@ each (dimensions, primary key). Parts meet in a null-safe full join on the dimen
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
 
@@ -190,7 +191,9 @@ class Compiler:
         return self.metric(found[0], found[1], trail)
 
     def expression(self, owner: str | None, sql: str, metric: Metric, trail: tuple[str, ...]) -> str:
-        """A formula with metrics by name and inline aggregates."""
+        """A formula with metrics by name, their totals as ``_.all(metric)``, and inline aggregates."""
+        totals = lambda m: re.sub(r"__leaf(\d+)", r"__total\1", f"({self.reference(owner, m[1], trail)})")
+        sql = re.sub(r"(?<![\w.])_\.all\(\s*([\w.]+)\s*\)", totals, sql)
         pieces, at = [], 0
         for start, end in aggregate_calls(sql):
             pieces += [self._names(owner, sql[at:start], trail), self.opaque(owner, sql[start:end], metric)]
@@ -203,7 +206,7 @@ class Compiler:
         sql = replace_dotted(sql, lambda a, b: self.metric(a, graph.models[a].metric(b), trail) if a in graph.models and graph.models[a].metric(b) else None)
 
         def by(name: str) -> str | None:
-            if name.startswith("__leaf"):
+            if name.startswith(("__leaf", "__total")):
                 return None
             found = (graph.find_metric(f"{owner}.{name}") if owner else None) or graph.find_metric(name)
             return self.metric(found[0], found[1], trail) if found else None
@@ -426,6 +429,18 @@ class Planner:
             out = out.select(*kept, *[c for c in out.columns if c not in dims and not c.endswith(f"__r{n}") and c != "__left"])
         return out
 
+    def with_totals(self, out: DataFrame, leaves: list[Leaf], needed: list[int]) -> DataFrame:
+        """``out`` with __total columns: leaves over all groups. What adds up is added over the groups;
+        the rest is aggregated from the rows once more, to one row."""
+        again = {"sum({x})": F.sum, "count({x})": F.sum, "min({x})": F.min, "max({x})": F.max}
+        everything = Window.partitionBy()
+        rest = [i for i in needed if leaves[i].agg not in again or leaves[i].distinct_key or leaves[i].semi or self.multiplies(leaves[i].model)]
+        out = out.select("*", *[again[leaves[i].agg](f"__leaf{i}").over(everything).alias(f"__total{i}") for i in needed if i not in rest])
+        if rest:
+            whole = Planner(self.ctx, [], self.filters).aggregate([leaves[i] for i in rest])
+            out = out.crossJoin(whole.select(*[F.col(f"__leaf{k}").alias(f"__total{i}") for k, i in enumerate(rest)]))  # one row
+        return out
+
     def start(self, models: list[str]) -> str:
         """A model from which the others are reached, by joins that don't multiply where there is one."""
         best = None

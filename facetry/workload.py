@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .layer import SemanticLayer
+from .model import SecurityPolicy
 from .operators import table_calcs
 from .plans import rollups
 
@@ -20,6 +21,7 @@ def sample_layer(spark: SparkSession, sf_dir: str, **options) -> SemanticLayer:
     metric = lambda name, agg=None, sql=None, **more: {"name": name, "agg": agg, "sql": sql, **more}
     dim = lambda name, type="categorical", sql=None, **more: {"name": name, "type": type, "sql": sql, **more}
     layer.add_model({"name": "region", "source_uri": uri("region"), "primary_key": "r_regionkey", "dimensions": [dim("r_name")]})
+    layer.add_model({"name": "any_region", "source_uri": uri("region"), "dimensions": [dim("r_name")]})
     layer.add_model({
         "name": "nation", "source_uri": uri("nation"), "primary_key": "n_nationkey", "dimensions": [dim("n_name")],
         "relationships": [{"name": "region", "foreign_key": "n_regionkey"}],
@@ -45,10 +47,12 @@ def sample_layer(spark: SparkSession, sf_dir: str, **options) -> SemanticLayer:
             metric("running_revenue", type="cumulative", sql="revenue"), metric("rolling_week", type="cumulative", sql="revenue", window="6 days"), metric("mtd_revenue", type="cumulative", sql="revenue", grain_to_date="month"),
             metric("revenue_yoy", type="time_comparison", base_metric="revenue", comparison_type="yoy"), metric("revenue_mom_diff", type="time_comparison", base_metric="revenue", comparison_type="mom", calculation="difference"),
             metric("revenue_vs_prior", type="ratio", numerator="revenue", denominator="revenue", offset_window="1 month"),
-            metric("share", type="derived", sql="revenue"), metric("per_customer_price", "sum", "o_totalprice", distinct_key="o_custkey"),
+            metric("share", type="derived", sql="100 * revenue / _.all(revenue)"), metric("buyer_share", type="derived", sql="buyers / _.all(buyers)"), metric("mode_priority", "mode", "o_orderpriority"),
+            metric("statuses", "string_agg", "o_orderstatus"), metric("skew", "skewness", "o_totalprice"), metric("kurt", "kurtosis", "o_totalprice"), metric("big_orders", "count_if", "o_totalprice > 200000"), metric("geo_price", "geometric_mean", "o_totalprice"),
+            metric("revenue_wow", type="time_comparison", base_metric="revenue", comparison_type="wow"), metric("running_max", type="cumulative", agg="max", sql="o_totalprice"), metric("revenue_rank", window_expression="rank()", window_order="revenue DESC"), metric("per_customer_price", "sum", "o_totalprice", distinct_key="o_custkey"),
         ],
-        "relationships": [{"name": "customer", "foreign_key": "o_custkey"}],
-        "pre_aggregations": [{"name": "monthly", "measures": ["revenue", "order_count", "min_price"], "dimensions": ["o_orderstatus", "o_custkey"], "time_dimension": "o_orderdate", "granularity": "month"}],
+        "relationships": [{"name": "customer", "foreign_key": "o_custkey"}, {"name": "any_region", "type": "cross"}],
+        "pre_aggregations": [{"name": "mixed", "type": "lambda", "measures": ["revenue"], "dimensions": ["o_orderstatus"], "time_dimension": "o_orderdate", "granularity": "month", "build_range_end": "1996-01-01", "partition_granularity": "year"}, {"name": "monthly", "measures": ["revenue", "order_count", "min_price"], "dimensions": ["o_orderstatus", "o_custkey"], "time_dimension": "o_orderdate", "granularity": "month"}],
     })
     layer.add_model({
         "name": "lineitem", "source_uri": uri("lineitem"), "primary_key": ["l_orderkey", "l_linenumber"],
@@ -56,6 +60,12 @@ def sample_layer(spark: SparkSession, sf_dir: str, **options) -> SemanticLayer:
         "metrics": [metric("quantity", "sum", "l_quantity"), metric("net", "sum", "l_extendedprice * (1 - l_discount)"), metric("lines", "count")],
         "relationships": [{"name": "orders", "foreign_key": "l_orderkey"}],
     })
+    layer.add_model({
+        "name": "part", "source_uri": uri("part"), "primary_key": "p_partkey", "dimensions": [dim("p_partkey", "numeric")], "metrics": [metric("parts", "count")],
+        "relationships": [{"name": "supplier", "type": "many_to_many", "through": "supply", "through_foreign_key": "l_partkey", "related_foreign_key": "l_suppkey"}],
+    })
+    layer.add_model({"name": "supply", "source_uri": uri("lineitem")})
+    layer.add_model({"name": "supplier", "source_uri": uri("supplier"), "primary_key": "s_suppkey", "dimensions": [dim("s_suppkey", "numeric")]})
     layer.add_model({
         "name": "events", "source_uri": uri("events"), "primary_key": "event_id", "default_time_dimension": None,
         "dimensions": [dim("event_type"), dim("user_id", "numeric"), dim("ts", "time")],
@@ -112,15 +122,28 @@ def with_calcs(spark: SparkSession, sf_dir: str) -> DataFrame:
     ])
 
 
-def routed(metrics: list[str], dimensions: list[str], filters: list[str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+def routed(metrics: list[str], dimensions: list[str], filters: list[str] | None = None, name: str = "monthly") -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         layer = sample_layer(spark, sf_dir)
-        rollups.refresh(layer, "orders", "monthly")
+        layer.graph.models["orders"].pre_aggregations = [p for p in layer.graph.models["orders"].pre_aggregations if p.name == name]
+        rollups.refresh(layer, "orders", name)
         return layer.query(metrics=metrics, dimensions=dimensions, filters=filters, use_preaggregations=True, strict_rollups=True)
 
     return run
 
 
+def secured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = sample_layer(spark, sf_dir)
+    layer.graph.models["customer"].security = SecurityPolicy("{{ user.role == 'analyst' }}", ["{model}.c_mktsegment IN ({{ user.segments }})"])
+    return layer.query(["orders.order_count"], ["customer.c_mktsegment"], user_attributes={"role": "analyst", "segments": ["BUILDING", "MACHINERY"]})
+
+
+def with_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    layer = sample_layer(spark, sf_dir)
+    layer.add_parameter({"name": "least", "type": "number", "default_value": 100000})
+    return layer.query(["orders.order_count"], ["orders.o_orderstatus"], ["orders.o_totalprice >= {{ least }} {% if urgent %}AND orders.o_orderpriority = '1-URGENT'{% endif %}"], parameters={"urgent": True})
+
+
 MONTH = "date_trunc('month', o_orderdate)"
 #: Key -> (query, SQL or None).
 WORKLOAD: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
@@ -139,6 +162,18 @@ WORKLOAD: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
     "window_dimension": (ask(metrics=["customer.customers"], dimensions=["customer.c_mktsegment"], filters=["customer.spending_rank <= 10"]), "SELECT c_mktsegment, count(*) AS customers FROM (SELECT *, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_acctbal DESC, c_custkey) AS r FROM customer) WHERE r <= 10 GROUP BY 1"),
     "ungrouped": (ask(metrics=["orders.revenue"], dimensions=["orders.o_orderstatus"], ungrouped=True), "SELECT o_orderstatus, o_orderkey, o_totalprice AS revenue FROM orders"),
     "distinct_dimensions": (ask(dimensions=["orders.o_orderstatus", "orders.is_big"]), "SELECT DISTINCT o_orderstatus, o_totalprice > 200000 AS is_big FROM orders"),
+    "share_of_total": (rounded(ask(metrics=["orders.share", "orders.buyer_share"], dimensions=["orders.o_orderstatus"]), 4), "SELECT o_orderstatus, round(100 * sum(o_totalprice) / (SELECT sum(o_totalprice) FROM orders), 4) AS share, round(count(DISTINCT o_custkey) / (SELECT count(DISTINCT o_custkey) FROM orders), 4) AS buyer_share FROM orders GROUP BY 1"),
+    "more_aggregates": (rounded(ask(metrics=["orders.statuses", "orders.big_orders", "orders.geo_price"], dimensions=["orders.o_orderpriority"])), "SELECT o_orderpriority, (SELECT string_agg(s, ', ' ORDER BY s) FROM (SELECT DISTINCT o_orderstatus AS s FROM orders i WHERE i.o_orderpriority = o.o_orderpriority)) AS statuses, count(*) FILTER (o_totalprice > 200000) AS big_orders, round(exp(avg(ln(o_totalprice))), 2) AS geo_price FROM orders o GROUP BY 1"),
+    "moments": (ask(metrics=["orders.skew", "orders.kurt", "orders.mode_priority"], dimensions=["orders.o_orderstatus"]), None),
+    "wow": (rounded(ask(metrics=["orders.revenue_wow"], dimensions=["orders.o_orderdate__day"])), "WITH m AS (SELECT CAST(date_trunc('day', o_orderdate) AS TIMESTAMP) AS t, sum(o_totalprice) AS r FROM orders GROUP BY 1) SELECT a.t AS o_orderdate__day, round(a.r, 2) AS revenue, round((a.r - b.r) / nullif(b.r, 0) * 100, 2) AS revenue_wow FROM m a LEFT JOIN m b ON b.t = a.t - INTERVAL 7 DAY"),
+    "running_max": (rounded(ask(metrics=["orders.running_max"], dimensions=["orders.o_orderdate__month"])), f"SELECT t AS o_orderdate__month, round(x, 2) AS running_max_base, round(max(x) OVER (ORDER BY t), 2) AS running_max FROM (SELECT CAST({MONTH} AS TIMESTAMP) AS t, max(o_totalprice) AS x FROM orders GROUP BY 1)"),
+    "window_expression": (rounded(ask(metrics=["orders.revenue", "orders.revenue_rank"], dimensions=["orders.o_orderpriority"])), "SELECT o_orderpriority, round(sum(o_totalprice), 2) AS revenue, CAST(rank() OVER (ORDER BY sum(o_totalprice) DESC) AS INTEGER) AS revenue_rank FROM orders GROUP BY 1"),
+    "timezone": (ask(metrics=["events.event_count"], dimensions=["events.ts__day"], timezone="America/New_York"), "SELECT CAST(date_trunc('day', timezone('America/New_York', CAST(ts AS TIMESTAMP) AT TIME ZONE 'UTC')) AS TIMESTAMP) AS ts__day, count(*) AS event_count FROM events GROUP BY 1"),
+    "row_security": (secured, "SELECT c_mktsegment, count(*) AS order_count FROM orders LEFT JOIN (SELECT * FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY')) ON o_custkey = c_custkey GROUP BY 1"),
+    "parameters": (with_parameters, "SELECT o_orderstatus, count(*) AS order_count FROM orders WHERE o_totalprice >= 100000 AND o_orderpriority = '1-URGENT' GROUP BY 1"),
+    "join_cross": (ask(metrics=["orders.order_count"], dimensions=["any_region.r_name"], filters=["orders.o_orderstatus = 'F'"]), "SELECT r_name, count(*) AS order_count FROM orders CROSS JOIN region WHERE o_orderstatus = 'F' GROUP BY 1"),
+    "join_junction": (ask(metrics=["part.parts"], dimensions=["supplier.s_suppkey"]), "SELECT s_suppkey, count(DISTINCT p_partkey) AS parts FROM part LEFT JOIN lineitem ON p_partkey = l_partkey LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1"),
+    "rollup_lambda": (rounded(routed(["orders.revenue"], ["orders.o_orderdate__quarter", "orders.o_orderstatus"], name="mixed")), "SELECT CAST(date_trunc('quarter', o_orderdate) AS TIMESTAMP) AS o_orderdate__quarter, o_orderstatus, round(sum(o_totalprice), 2) AS revenue FROM orders GROUP BY 1, 2"),
     "join_one_hop": (rounded(ask(metrics=["orders.revenue"], dimensions=["customer.c_mktsegment"])), "SELECT c_mktsegment, round(sum(o_totalprice), 2) AS revenue FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "join_two_hop": (rounded(ask(metrics=["lineitem.net", "lineitem.lines"], dimensions=["customer.c_mktsegment"])), "SELECT c_mktsegment, round(sum(l_extendedprice * (1 - l_discount)), 2) AS net, count(*) AS lines FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
     "join_four_hop": (rounded(ask(metrics=["lineitem.quantity"], dimensions=["region.r_name"])), "SELECT r_name, round(sum(l_quantity), 2) AS quantity FROM lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),

@@ -323,3 +323,20 @@ def test_inheritance_and_hierarchy():
     base = Model("base", table="t", dimensions=[{"name": "a"}, {"name": "b", "parent": "a"}], metrics=[{"name": "n", "agg": "count"}])
     child = base.extended_by(Model("child", table="u", dimensions=[{"name": "c", "parent": "b"}]))
     assert child.hierarchy("c") == ["a", "b", "c"] and child.drill_down("a") == "b" and child.drill_up("c") == "b" and child.metric("n") and child.table == "u"
+
+
+def test_totals_over_all_groups(shop):
+    layer = shop()
+    model = layer.graph.models["orders"]
+    model.metrics += [Metric("share", type="derived", sql="revenue / _.all(revenue)"), Metric("mid", "median", "amount"), Metric("mid_share", type="derived", sql="mid / _.all(mid)")]
+    got = rows(layer.query(["orders.share", "orders.mid_share"], ["orders.status"], ["orders.amount > 30"]))
+    assert got == [("open", pytest.approx(70 / 220), 1.0), ("paid", pytest.approx(150 / 220), pytest.approx(75 / 70))]
+    with pytest.raises(DefinitionError):
+        layer.query(["orders.share"], ["orders.status"], ungrouped=True)
+
+
+def test_units_and_types_as_names(spark):
+    spark.sql("SELECT 2024 AS year, date'2024-01-05' AS date, 3 AS month UNION ALL SELECT 2023, date'2023-01-05', 4").createOrReplaceTempView("t_units")
+    layer = SemanticLayer(spark)
+    layer.add_model({"name": "u", "table": "t_units", "dimensions": [{"name": "year", "type": "numeric"}, {"name": "date", "type": "time"}], "metrics": [{"name": "n", "agg": "sum", "sql": "month"}]})
+    assert rows(layer.query(["u.n"], ["u.year"], ["date >= date '2023-12-01' AND date < cast('2024-01-04' as date) + INTERVAL '3' day"])) == [(2024, 3)]

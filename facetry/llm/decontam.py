@@ -186,5 +186,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame
     """``docs`` without the documents that hold an item of the benchmark. Rows whose id is
     null can't be named in the report and stay."""
     key = columns.get("key", "doc_id")
-    held = overlaps(docs, benchmark, **columns).select(F.col("doc_id").alias("_held")).distinct()
-    return docs.join(held, F.col(key) == F.col("_held"), "left_anti")
+    held = overlaps(docs, benchmark, **columns).select(F.col("doc_id").alias("__held")).distinct()
+    return docs.join(held, F.col(key) == F.col("__held"), "left_anti")

@@ -91,8 +91,10 @@ def plan_mix(measured: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat:
 
 def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its copies say, same columns."""
-    planned = plan_mix(measure(docs, seed), **options).filter("mix_copies > 0")
-    return planned.withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+    # the record travels as one column, so that no name of its own can clash
+    packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    planned = plan_mix(measure(packed, seed), **options).filter("mix_copies > 0")
+    return planned.select("__row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("__copy")).select("__row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ slot p div n, so shard counts differ by one at most and slots have no gap.
 Edge cases: an empty table gives an empty result; a null text has no bytes; rows
 without an id scatter by their text; repeated rows are kept, each with its own
 place (equal rows may swap places, which the result can't show). Extra columns
-are carried along; a column named like an output column must be renamed first.
+are carried along; columns named ``shard`` and ``slot`` give way to the new ones.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -51,36 +52,36 @@ def shuffle_into_shards(
     docs: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES
 ) -> DataFrame:
     """``docs`` with ``shard`` (int, from 0) and ``slot`` (long, from 0 in each shard)."""
-    clash = {"shard", "slot", "_bucket", "_order", "_offset"} & set(docs.columns)
-    if clash:
-        raise ValueError(f"rename these columns first: {sorted(clash)}")
+    docs = docs.drop("shard", "slot")
     spark = docs.sparkSession
     hashed = scatter_hash(key, text, seed)
     total = docs.agg(F.sum(F.octet_length(text) + F.lit(64))).first()[0] or 0
     buckets = max(-(-total // bucket_bytes), shuffle_partitions(spark))
-    bucket = F.pmod(hashed, F.lit(buckets)).alias("_bucket")
-    offsets = docs.groupBy(bucket).agg(F.count(F.lit(1)).alias("_n"))
-    running = F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = offsets.select("_bucket", F.coalesce(running, F.lit(0)).alias("_offset"))
+    bucket = F.pmod(hashed, F.lit(buckets)).alias("__bucket")
+    offsets = docs.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    running = F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = offsets.select("__bucket", F.coalesce(running, F.lit(0)).alias("__offset"))
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    placed = docs.withColumns({"_bucket": bucket, "_order": hashed}).join(offsets, "_bucket")
-    kept = docs.schema.fields
-    schema = T.StructType([*kept, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
+    # the record travels as one column, so that no name of its own can clash
+    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), bucket, hashed.alias("__order")).join(offsets, "__bucket")
+    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     out = arrow_type(schema)
-    names = [f.name for f in kept]
+    names = docs.columns
 
     def shuffled(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        columns = dict(zip(names, pa.chunked_array(group["__row"]).combine_chunks().flatten()))
         # canonical order first, so that the result doesn't depend on how rows arrived
-        ties = [(n, "ascending") for n in (key, text) if n in names]
-        group = group.combine_chunks().sort_by([("_order", "ascending"), *ties])
-        at = int(group["_bucket"][0].as_py())
-        place = int(group["_offset"][0].as_py()) + np.arange(group.num_rows)
-        group = group.take(pa.array(fisher_yates(group.num_rows, seed, at)))
-        columns = [group[n].cast(out.field(n).type) for n in names]
-        return pa.table([*columns, pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], schema=out)
-
-    return placed.groupBy("_bucket").applyInArrow(shuffled, schema)
+        sorting = pa.table([group["__order"], columns[key], columns[text]], names=["order", "key", "text"])
+        canonical = pc.sort_indices(sorting, [("order", "ascending"), ("key", "ascending"), ("text", "ascending")])
+        at = int(group["__bucket"][0].as_py())
+        place = int(group["__offset"][0].as_py()) + np.arange(group.num_rows)
+        order = canonical.take(pa.array(fisher_yates(group.num_rows, seed, at)))
+        made = [columns[n].take(order).cast(out.field(n).type) for n in names]
+        return pa.table([*made, pa.array((place % shards).astype(np.int32)), pa.array(place // shards)], schema=out)
+
+    return placed.groupBy("__bucket").applyInArrow(shuffled, schema)
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:

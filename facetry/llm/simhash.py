@@ -277,9 +277,9 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     """One document of each component: the one with the smallest id. Rows whose id
     is null have no identity to compare and stay."""
     heads = simhash_components(docs.filter(F.col(key).isNotNull()), key, text)
-    heads = heads.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("_head")).agg(F.count(F.lit(1)).alias("_rows"))
+    heads = heads.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__head")).agg(F.count(F.lit(1)).alias("__rows"))
     heads = settle(heads, "heads")
-    kept = docs.join(heads.select("_head"), F.col(key) == F.col("_head"), "left_semi")
-    if not heads.filter("_rows > 1").isEmpty():  # an id that repeats keeps one row
+    kept = docs.join(heads.select("__head"), F.col(key) == F.col("__head"), "left_semi")
+    if not heads.filter("__rows > 1").isEmpty():  # an id that repeats keeps one row
         kept = kept.dropDuplicates([key])
     return kept.union(docs.filter(F.col(key).isNull()))

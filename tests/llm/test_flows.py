@@ -41,8 +41,14 @@ def test_shards_written(spark, tmp_path):
     shuffle_shards.write_shards(df, str(tmp_path / "out"), shards=4)
     back = spark.read.parquet(str(tmp_path / "out"))
     assert sorted((r.doc_id, r.text) for r in back.collect()) == sorted((r.doc_id, r.text) for r in df.collect())
-    with pytest.raises(ValueError):
-        shuffle_shards.shuffle_into_shards(df.withColumnRenamed("text", "slot"), text="slot")
+
+
+def test_clashing_names(spark):
+    df = spark.createDataFrame([(i, f"w {i}", "s", "a", 1, 2.0, i) for i in range(30)], "doc_id bigint, text string, source string, shard string, mix_size int, __copy double, _bucket int")
+    sharded = shuffle_shards.shuffle_into_shards(df)
+    assert dict(sharded.dtypes)["shard"] == "int" and sorted(r._bucket for r in sharded.collect()) == list(range(30))
+    mixed = mixing.mix(df)
+    assert mixed.dtypes == df.dtypes and {r.mix_size for r in mixed.collect()} == {1} and mixed.count() == 30
 
 
 # mixing

@@ -236,7 +236,8 @@ class SemanticLayer:
         having = []
         for text in after:  # metrics that are only filtered on are computed, too
             def named(a: str | None, b: str) -> str | None:
-                hit = self.graph.find_metric(f"{a}.{b}" if a else b)
+                near = next((h for o, _ in found if o and not a and (h := self.graph.find_metric(f"{o}.{b}"))), None)
+                hit = near or self.graph.find_metric(f"{a}.{b}" if a else b)
                 if not hit:
                     return None
                 for ref, (owner, metric) in zip(refs, found):
@@ -279,7 +280,8 @@ class SemanticLayer:
         for text in (p for f in filters for p in split_top(f, "and") if p):
             text = f"({text})" if len(split_top(text, "or")) > 1 else text
             about = any(a in self.graph.models and self.graph.models[a].metric(b) for a, b in dotted(text))
-            names = {m.name for _, m in found} | set(self.graph.metrics)
+            owners = {o for o, _ in found if o}
+            names = {m.name for _, m in found} | set(self.graph.metrics) | {m.name for o in owners for m in self.graph.models[o].metrics}
             dims = {d.name for m in self.graph.models.values() for d in m.dimensions}
             about |= any(n in names and n not in dims for n in bare(text))
             (after if about else rows).append(text if about else self._qualified(text))

@@ -153,19 +153,24 @@ def kt_one(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 class Nodes:
     """Nodes of one depth and bit: sorted keys (context, node), counts of both bits, and for each
-    (context, byte) row of the depth the node it passes."""
+    (context, byte) row of the deepest contexts the node it passes. Counts are kept where the
+    top needs them, at depth 2; elsewhere what is derived from them is enough."""
 
-    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, bit: int):
+    def __init__(self, contexts: np.ndarray, symbols: np.ndarray, n: np.ndarray, bit: int, depth: int):
         node = (np.uint64(1 << bit)) | (symbols >> np.uint64(8 - bit))
         one = (symbols >> np.uint64(7 - bit)) & np.uint64(1)
         keys = contexts << np.uint64(8) | node
         new = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, bool)
         self.keys = keys[new]
-        self.of_row = np.cumsum(new) - 1
-        self.one_of_row = one.astype(bool)
-        self.ones = np.bincount(self.of_row, n * one, len(self.keys)).astype(np.float64)
-        self.zeros = np.bincount(self.of_row, n, len(self.keys)) - self.ones
-        self.estimate = log_kt(self.zeros, self.ones)
+        of_row = (np.cumsum(new) - 1).astype(np.int32)
+        ones = np.bincount(of_row, n * one, len(self.keys)).astype(np.float64)
+        zeros = np.bincount(of_row, n, len(self.keys)) - ones
+        if depth == DEPTH:
+            self.of_row, self.one_of_row = of_row, one.astype(bool)
+        if depth == 2:
+            self.zeros, self.ones = zeros, ones
+        self.one = kt_one(zeros, ones)
+        self.estimate = log_kt(zeros, ones)
         self.weighted = self.estimate
 
     def parents(self) -> np.ndarray:
@@ -173,15 +178,16 @@ class Nodes:
         return self.keys >> np.uint64(16) << np.uint64(8) | self.keys & np.uint64(255)
 
     def mix(self, deeper: Nodes) -> None:
-        deeper.up = np.searchsorted(self.keys, deeper.parents())
+        deeper.up = np.searchsorted(self.keys, deeper.parents()).astype(np.int32)
         below = np.bincount(deeper.up, deeper.weighted, len(self.keys))
         self.weighted = np.logaddexp(self.estimate, below) - np.log(2)
 
     def descend(self, mixed: np.ndarray, left: np.ndarray, last: bool) -> None:
         """From what the shorter contexts give (probability of a one so far, weight left)."""
         stop = np.ones(len(self.keys)) if last else np.exp(self.estimate - np.log(2) - self.weighted)
-        self.mixed = mixed + left * stop * kt_one(self.zeros, self.ones)
+        self.mixed = mixed + left * stop * self.one
         self.left = left * (1 - stop)
+        del self.one, self.estimate, self.weighted
 
 
 class Top:
@@ -220,7 +226,7 @@ def levels_of(keys: np.ndarray, n: np.ndarray) -> list[list[Nodes]]:
             merged, place = np.unique(contexts >> np.uint64(8) << np.uint64(8) | symbols, return_inverse=True)
             n = np.bincount(place, n, len(merged))
             contexts, symbols = merged >> np.uint64(8), merged & np.uint64(255)
-        level = [Nodes(contexts, symbols, n, bit) for bit in range(8)]
+        level = [Nodes(contexts, symbols, n, bit, depth) for bit in range(8)]
         if found:
             for nodes, deeper in zip(level, found[-1]):
                 nodes.mix(deeper)

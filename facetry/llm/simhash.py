@@ -23,13 +23,22 @@ any other; fewer than three words make one shingle; repeated rows are one node
 through their fingerprint and are all returned; a null id is returned and counts
 only where its whole component has no id (component_id is then null); an empty
 table gives an empty result; extra columns are ignored.
+
+Near-dedup of a corpus (``drop_near_duplicates``) links texts whose sets of word
+shingles have a Jaccard similarity of ``SIMILAR`` or more. Their fingerprints are up
+to a dozen bits apart, more than any grid join affords, so candidates come from
+minima instead: each text has the minima of ``BAND_ROWS`` times ``bands_of`` hash
+functions over its shingles, and texts that agree on all minima of a band share a cell.
+A pair at the threshold shares none with a probability of ``MISS`` at most, a closer one
+with far less. In a cell the whole shingle sets are compared, so every link is exact;
+pairs that links already join are skipped.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import log2
+from math import ceil, log, log2
 
 import numpy as np
 import pyarrow as pa
@@ -47,20 +56,39 @@ SEGMENTS = 32
 BLOCK = 2048
 #: Pairs compared at a time in a task.
 PAIRS = 1 << 20
+#: Near-dedup of a corpus: words of a shingle, and the Jaccard similarity that links.
+CORPUS_SHINGLE = 5
+SIMILAR = 0.8
+#: Minima in a band, and the share of pairs at the threshold that may share no band.
+BAND_ROWS = 5
+MISS = 1e-5
+#: Texts of a cell that one task compares, with their shingles, with as many others.
+SET_BLOCK = 1024
+#: Texts to compare that are looked up by broadcast; more are met in a shuffle.
+BROADCAST_NODES = 4_000_000
+
+
+def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
+    """XXH64 of every run of ``size`` words; of all the words where they are fewer."""
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = b" ".join(words)
+    if len(words) <= size:
+        return np.array([xxhash.xxh64_intdigest(joined, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    starts = np.concatenate(([0], ends[:-size])).tolist()
+    hashed = xxhash.xxh64_intdigest
+    stops = (ends[size - 1 :] - 1).tolist()
+    return np.fromiter((hashed(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, len(starts))
 
 
 def fingerprint(words: list[bytes]) -> int:
     """Majority of the bits of the shingles' XXH64; 0 without words."""
     if not words:
         return 0
-    joined = b" ".join(words)
-    if len(words) <= SHINGLE:
-        return xxhash.xxh64_intdigest(joined, SEED)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    starts = np.concatenate(([0], ends[:-SHINGLE])).tolist()
-    hashed = xxhash.xxh64_intdigest
-    stops = (ends[SHINGLE - 1 :] - 1).tolist()
-    values = np.fromiter((hashed(joined[i:j], SEED) for i, j in zip(starts, stops)), np.uint64, len(starts))
+    values = shingle_hashes(words, SHINGLE)
+    if len(values) == 1:
+        return int(values[0])
     counts = np.zeros(64, np.int64)
     for at in range(0, len(values), 1 << 15):  # 64 bytes a shingle are unpacked at a time
         piece = values[at : at + (1 << 15)]
@@ -273,12 +301,149 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return marked.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One document of each component: the one with the smallest id. Rows whose id
-    is null have no identity to compare and stay."""
-    heads = simhash_components(docs.filter(F.col(key).isNotNull()), key, text)
-    heads = heads.filter(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("__head")).agg(F.count(F.lit(1)).alias("__rows"))
-    heads = settle(heads, "heads")
+def bands_of(similarity: float) -> int:
+    """Bands so that a pair of this similarity shares none with a probability of MISS at most."""
+    return ceil(log(MISS) / log(1 - similarity**BAND_ROWS)) if similarity < 1 else 1
+
+
+def band_cells(hashes: np.ndarray, bands: int) -> np.ndarray:
+    """The cell of each band: its minima of the shingles' hashes, mixed."""
+    rng = np.random.default_rng(SEED)
+    factors, shifts = rng.integers(0, 1 << 32, (2, bands * BAND_ROWS, 1), np.uint32)
+    factors |= np.uint32(1)
+    short = (hashes >> np.uint64(32)).astype(np.uint32)
+    minima = np.full(bands * BAND_ROWS, (1 << 32) - 1, np.uint32)
+    for at in range(0, len(short), 2048):
+        np.minimum(minima, (short[at : at + 2048] * factors + shifts).min(axis=1), out=minima)
+    parts = minima.astype(np.uint64).reshape(bands, BAND_ROWS)
+    cell = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for row in range(BAND_ROWS):
+        cell = (cell ^ parts[:, row]) * np.uint64(0xD6E8FEB86659FD93)
+        cell ^= cell >> np.uint64(29)
+    return cell
+
+
+def node_of(words: list[bytes]) -> int:
+    """A text's identity: XXH3 of its lower-cased words; 0 without words."""
+    return xxhash.xxh3_64_intdigest(b" ".join(words), SEED) if words else 0
+
+
+def words_of(text: bytes) -> list[bytes]:
+    return text.translate(ASCII_LOWER).split()
+
+
+def nodes_with_bands(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(key, node, bands): a row for each of ``docs``."""
+    bands = bands_of(similarity)
+
+    def run(batch: pa.RecordBatch) -> dict:
+        nodes, cells = [], []
+        for raw in text_bytes(batch.column(1)):
+            words = words_of(raw)
+            nodes.append(node_of(words))
+            cells.append(band_cells(shingle_hashes(words, shingle), bands).view(np.int64).tolist() if words else [])
+        return {key: batch.column(0), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "bands": cells}
+
+    return map_batches(docs.select(F.col(key).cast("long").alias(key), text), f"{key} bigint, node bigint, bands array<bigint>", run)
+
+
+def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
+    """(node, held): of each wanted node, its distinct shingle hashes in order, as bytes."""
+
+    def named(batch: pa.RecordBatch) -> dict:
+        return {"node": pa.array(np.array([node_of(words_of(t)) for t in text_bytes(batch.column(0))], np.uint64).view(np.int64)), "text": batch.column(0)}
+
+    def run(batch: pa.RecordBatch) -> dict:
+        return {"node": batch.column(0), "held": [np.unique(shingle_hashes(words_of(t), shingle)).tobytes() for t in text_bytes(batch.column(1))]}
+
+    few = wanted.count() <= BROADCAST_NODES
+    found = map_batches(docs.select(F.col(text).alias("text")), "node bigint, text string", named)
+    found = found.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
+    return map_batches(found, "node bigint, held binary", run).groupBy("node").agg(F.first("held").alias("held"))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    """Whether the Jaccard similarity of two sets of ordered hashes reaches the threshold."""
+    both = np.concatenate((a, b))
+    both.sort(kind="stable")  # merges two ordered runs
+    shared = np.count_nonzero(both[1:] == both[:-1])
+    return shared >= similarity * (len(both) - shared) - 1e-9
+
+
+def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what similar pairs join; with two sides, of pairs across."""
+    sets = [np.frombuffer(h, np.uint64) for h in held]
+    order = np.argsort([len(x) for x in sets], kind="stable")
+    sizes = np.array([len(x) for x in sets])[order]
+    piece = np.arange(len(order))
+    sides, across = side[order], side.any()
+    links = []
+    for j in range(1, len(order)):
+        low = int(np.searchsorted(sizes[:j], similarity * sizes[j] - 1e-9))  # smaller sets can't reach it
+        open_ = np.arange(low, j)
+        if across:
+            open_ = open_[sides[low:j] != sides[j]]
+        open_ = open_[piece[open_] != piece[j]][::-1]
+        while len(open_):
+            i, open_ = int(open_[0]), open_[1:]
+            if similar(sets[order[i]], sets[order[j]], similarity):
+                links.append((int(nodes[order[i]]), int(nodes[order[j]])))
+                piece[piece == piece[i]] = piece[j]
+                open_ = open_[piece[open_] != piece[j]]
+    return links
+
+
+def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
+    """(node, bands) distinct -> (src, dst): links that connect what similar pairs connect."""
+    placed = nodes.select(F.explode("bands").alias("cell"), "node").repartition("cell")
+    # bands that bring the same texts together count once
+    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
+    crowded = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1")
+    crowded = crowded.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "n")
+    blocks = F.ceil(F.col("n") / SET_BLOCK).cast("int")
+    shared = placed.join(crowded, "cell").select("cell", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
+    shared = settle(shared, "cells")
+    # a text of block b meets every block: as the left side of (b, c), c >= b, and the right side of (a, b), a < b
+    meets = F.transform(
+        F.sequence(F.lit(0), F.col("blocks") - 1),
+        lambda c: F.struct(F.least("block", c).alias("a"), F.greatest("block", c).alias("b"), (c < F.col("block")).cast("int").alias("side")),
+    )
+    dealt = shared.select("cell", "node", F.explode(meets).alias("at"))
+    dealt = dealt.select(F.xxhash64("cell", "at.a", "at.b").alias("task"), F.col("at.side").alias("side"), "node")
+    sets = settle(shingle_sets(docs, shared.select("node").distinct(), text, shingle), "sets")
+    dealt = dealt.join(sets, "node").select("task", "side", "node", "held")
+    dealt = dealt.repartition(shuffle_partitions(nodes.sparkSession), "task").sortWithinPartitions("task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, own = None, []
+
+        def done() -> pa.RecordBatch:
+            found = similar_links(*(np.array([x[at] for x in own], np.int64) for at in (1, 0)), [x[2] for x in own], similarity)
+            return pa.RecordBatch.from_arrays([pa.array([x[at] for x in found], pa.int64()) for at in (0, 1)], names=["src", "dst"])
+
+        for batch in batches:
+            for now, *row in zip(*(batch.column(n).to_pylist() for n in ("task", "side", "node", "held"))):
+                if now != task and own:
+                    yield done()
+                    own = []
+                task = now
+                own.append(row)
+        if own:
+            yield done()
+
+    return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
+
+
+def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = CORPUS_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
+    """One document of each group that similar texts connect: the one with the smallest
+    id. Rows whose id is null have no identity to compare and stay."""
+    own = docs.filter(F.col(key).isNotNull())
+    marked = settle(nodes_with_bands(own, key, text, shingle, similarity), "marked")
+    nodes = settle(marked.groupBy("node").agg(F.min(key).alias("low"), F.first("bands").alias("bands")), "nodes")
+    found = components(similar_pairs(nodes, own, text, shingle, similarity)).withColumnRenamed("node", "__node")
+    rooted = nodes.join(found, F.col("node") == F.col("__node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    best = rooted.groupBy("root").agg(F.min("low").alias("__head")).select("__head")
+    heads = settle(marked.join(best, F.col(key) == F.col("__head")).groupBy("__head").agg(F.count(F.lit(1)).alias("__rows")), "heads")
     kept = docs.join(heads.select("__head"), F.col(key) == F.col("__head"), "left_semi")
     if not heads.filter("__rows > 1").isEmpty():  # an id that repeats keeps one row
         kept = kept.dropDuplicates([key])

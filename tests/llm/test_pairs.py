@@ -107,6 +107,43 @@ def test_near_dedup_keeps_one_of_each_group(spark):
     assert sorted(r.doc_id if r.doc_id is not None else -1 for r in kept.collect()) == [-1, 0, 2, 3]
 
 
+def shingles_of(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+@pytest.mark.parametrize("block", [1024, 8])
+def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SET_BLOCK", block)
+    random.seed(21)
+    vocabulary = [f"w{i}" for i in range(900)]
+    texts = [" ".join(random.choices(vocabulary, k=random.randint(3, 200))) for _ in range(30)]
+    for n in [*range(4, 60, 3), *[150] * 12]:  # copies with a few words changed, on both sides of the threshold
+        base = random.choices(vocabulary, k=n)
+        for changes in (0, 1, 1, 2, 3):
+            words = list(base)
+            for at in random.sample(range(n), min(changes, n)):
+                words[at] = "other"
+            texts.append(" ".join(words))
+    base = random.choices(vocabulary, k=100)
+    for _ in range(60):  # a large group
+        words = list(base)
+        words[random.randrange(100)] = random.choice(vocabulary)
+        texts.append(" ".join(words))
+    held = [shingles_of(t) for t in texts]
+    root = list(range(len(texts)))
+    far = 0
+    for i, j in combinations(range(len(texts)), 2):
+        shared = len(held[i] & held[j])
+        if 5 * shared >= 4 * (len(held[i]) + len(held[j]) - shared):
+            far += (brute_fingerprint(texts[i]) ^ brute_fingerprint(texts[j])).bit_count() > 3
+            low, high = sorted((root[i], root[j]))
+            root = [low if r == high else r for r in root]
+    assert far > 100  # beyond the bits of op6
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(root))
+
+
 # decontamination
 
 

@@ -45,6 +45,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import ASCII_LOWER, map_batches, settle, shuffle_partitions, text_bytes
 
@@ -434,17 +435,32 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, si
     return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
+def with_nodes(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` and each row's node as ``__node``."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = np.array([node_of(words_of(t)) for t in text_bytes(batch.column(at))], np.uint64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes.view(np.int64))], names=[*batch.schema.names, "__node"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
+
+
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = CORPUS_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
-    """One document of each group that similar texts connect: the one with the smallest
-    id. Rows whose id is null have no identity to compare and stay."""
-    own = docs.filter(F.col(key).isNotNull())
-    marked = settle(nodes_with_bands(own, key, text, shingle, similarity), "marked")
+    """One row of each group that similar texts connect: one with the smallest id. Rows
+    whose id is null have no identity to compare and stay."""
+    without = docs.filter(F.col(key).isNull())
+    docs = docs.filter(F.col(key).isNotNull())
+    marked = settle(nodes_with_bands(docs, key, text, shingle, similarity), "marked")
     nodes = settle(marked.groupBy("node").agg(F.min(key).alias("low"), F.first("bands").alias("bands")), "nodes")
-    found = components(similar_pairs(nodes, own, text, shingle, similarity)).withColumnRenamed("node", "__node")
-    rooted = nodes.join(found, F.col("node") == F.col("__node"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    best = rooted.groupBy("root").agg(F.min("low").alias("__head")).select("__head")
-    heads = settle(marked.join(best, F.col(key) == F.col("__head")).groupBy("__head").agg(F.count(F.lit(1)).alias("__rows")), "heads")
-    kept = docs.join(heads.select("__head"), F.col(key) == F.col("__head"), "left_semi")
-    if not heads.filter("__rows > 1").isEmpty():  # an id that repeats keeps one row
-        kept = kept.dropDuplicates([key])
-    return kept.union(docs.filter(F.col(key).isNull()))
+    found = components(similar_pairs(nodes, docs, text, shingle, similarity)).withColumnRenamed("node", "__found")
+    rooted = nodes.join(found, F.col("node") == F.col("__found"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
+    best = F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("best")
+    heads = rooted.groupBy("root").agg(best).select(F.col("best.low").alias("__head"), F.col("best.node").alias("__text"))
+    heads = settle(heads, "heads")
+    kept = with_nodes(docs, text).join(heads, (F.col("__node") == F.col("__text")) & F.col(key).cast("long").eqNullSafe(F.col("__head")), "left_semi")
+    rows = marked.join(heads, (F.col("node") == F.col("__text")) & F.col(key).eqNullSafe(F.col("__head")), "left_semi")
+    if rows.count() > heads.count():  # rows of one id and text
+        kept = kept.dropDuplicates(["__node"])
+    return kept.drop("__node").union(without)

@@ -144,6 +144,12 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(root))
 
 
+def test_near_dedup_of_ids_that_repeat(spark):
+    rows = [(1, "first text of the id"), (1, "quite another text than that"), (0, "kept before the others"), (2, "kept before the others"), (2, "only here are these words"), (3, "same again"), (3, "same again")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(tuple(r) for r in simhash.drop_near_duplicates(df).collect()) == sorted({*rows} - {rows[3]})
+
+
 # decontamination
 
 

@@ -19,7 +19,7 @@ once for each chunk, so the broadcast never grows with the data.
 
 Edge cases: null and empty texts match nothing; items of fewer than five words are
 too short to tell and match nothing; repeated rows are reported for each; a null id
-is reported as null; empty tables give empty results; extra columns are ignored.
+is reported as null (and its row goes with the others); empty tables give empty results; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -182,9 +182,18 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: s
     return docs.sparkSession.createDataFrame([], SCHEMA) if found is None else found
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **columns) -> DataFrame:
-    """``docs`` without the documents that hold an item of the benchmark. Rows whose id is
-    null can't be named in the report and stay."""
-    key = columns.get("key", "doc_id")
-    held = overlaps(docs, benchmark, **columns).select(F.col("doc_id").alias("__held")).distinct()
-    return docs.join(held, F.col(key) == F.col("__held"), "left_anti")
+def decontaminate(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """``docs`` without the rows that hold an item of the benchmark. Each row is judged by
+    its own text, whatever its ``key``: rows without an id go too, and rows that share one don't
+    decide for each other."""
+    at, schema = docs.columns.index(text), docs.schema
+    for part in chunks(benchmark, item, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(Chunk(part))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = [not shared.value.overlaps(word_hashes(words_of(raw))) for raw in text_bytes(batch.column(at))]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -448,10 +448,8 @@ def with_nodes(docs: DataFrame, text: str) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = CORPUS_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
-    """One row of each group that similar texts connect: one with the smallest id. Rows
-    whose id is null have no identity to compare and stay."""
-    without = docs.filter(F.col(key).isNull())
-    docs = docs.filter(F.col(key).isNotNull())
+    """One row of each group that similar texts connect: one with the smallest id, or
+    without an id where the whole group has none."""
     marked = settle(nodes_with_bands(docs, key, text, shingle, similarity), "marked")
     nodes = settle(marked.groupBy("node").agg(F.min(key).alias("low"), F.first("bands").alias("bands")), "nodes")
     found = components(similar_pairs(nodes, docs, text, shingle, similarity)).withColumnRenamed("node", "__found")
@@ -461,6 +459,6 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     heads = settle(heads, "heads")
     kept = with_nodes(docs, text).join(heads, (F.col("__node") == F.col("__text")) & F.col(key).cast("long").eqNullSafe(F.col("__head")), "left_semi")
     rows = marked.join(heads, (F.col("node") == F.col("__text")) & F.col(key).eqNullSafe(F.col("__head")), "left_semi")
-    if rows.count() > heads.count():  # rows of one id and text
+    if rows.count() > heads.count():  # rows of one id and text, or of one text without an id
         kept = kept.dropDuplicates(["__node"])
-    return kept.drop("__node").union(without)
+    return kept.drop("__node")

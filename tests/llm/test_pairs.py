@@ -144,6 +144,13 @@ def test_near_dedup_against_all_pairs(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == sorted(set(root))
 
 
+def test_near_dedup_of_rows_without_id(spark):
+    rows = [(None, "one two three four five six"), (None, "One two three four five six"), (None, "alone"), (4, "with an id"), (None, "with an id"), (None, None), (None, " ")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    kept = [tuple(r) for r in simhash.drop_near_duplicates(df).collect()]
+    assert sorted((i or 0, len((t or "").split())) for i, t in kept) == [(0, 0), (0, 1), (0, 6), (4, 3)]
+
+
 def test_near_dedup_of_ids_that_repeat(spark):
     rows = [(1, "first text of the id"), (1, "quite another text than that"), (0, "kept before the others"), (2, "kept before the others"), (2, "only here are these words"), (3, "same again"), (3, "same again")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
@@ -197,6 +204,14 @@ def test_overlaps_against_brute_force(spark, monkeypatch):
     assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {i for i, _ in got}
 
 
+def test_decontamination_by_row(spark):
+    item = "what is the name of the longest river that runs through the old town"
+    docs = spark.createDataFrame([(None, f"so {item} then"), (1, f"{item} again"), (1, "clean"), (None, "clean, too"), (2, None)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(0, item), (1, None)], "item_id bigint, text string")
+    assert decontam.overlaps(docs, bench).count() == 2
+    assert sorted(str(r.text) for r in decontam.decontaminate(docs, bench).collect()) == ["None", "clean", "clean, too"]
+
+
 def test_decontamination_of_nothing(spark):
     docs = spark.createDataFrame([(1, "a b c d e f")], "doc_id bigint, text string")
     none = spark.createDataFrame([], "item_id bigint, text string")

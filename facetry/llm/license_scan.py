@@ -5,7 +5,8 @@ characters), joined by single blanks. A notice may differ in up to ``errors_of``
 (characters changed, added or lost). Cut into one piece more than that, at least one
 piece occurs unchanged (pigeonhole): an automaton finds all pieces of all notices in one
 pass, and around each find the regex library's bounded-error matching decides, counts
-the edits and gives the span. Overlapping finds of one notice count once.
+the edits and gives the span. Overlapping finds of one notice count once; a notice that
+is part of a longer one counts only where the longer one isn't found.
 
 Base places, where a base phrase's words stand exactly, are found by exact search and
 always reported.
@@ -34,6 +35,7 @@ BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved"
 #: Notices to find with errors, in normal form, and their labels.
 NOTICES = {
     "all rights reserved": "reserved",
+    "general public license": "gpl",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
     "gnu affero general public license": "agpl",
@@ -57,6 +59,12 @@ _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <
 SPAN = "struct<label:string,start:int,stop:int,first_word:int,end_word:int,errors:int>"
 
 
+@cache
+def wider_notices() -> dict[str, set[str]]:
+    """Of each notice, the notices that hold it."""
+    return {n: {w for w in NOTICES if n != w and n in w} for n in NOTICES}
+
+
 def errors_of(notice: str) -> int:
     return max(1, len(notice) // CHARACTERS_PER_EDIT)
 
@@ -107,6 +115,7 @@ def fuzzy_places(flat: str) -> list[tuple[int, int, str, int, float]]:
     notice and place. Of overlapping places of one notice the first stays, of those of several
     notices the ones that agree best."""
     automaton, rules = scanner()
+    wider = wider_notices()
     starts: dict[int, set[int]] = {}
     for last, (length, places) in automaton.iter(flat):
         for rule, offset in places:
@@ -122,8 +131,9 @@ def fuzzy_places(flat: str) -> list[tuple[int, int, str, int, float]]:
             match = pattern.search(flat, low, high)
             if match:
                 edits = sum(match.fuzzy_counts)
-                found.append((*match.span(), label, edits, 1 - edits / len(notice)))
+                found.append((*match.span(), label, edits, 1 - edits / len(notice), notice))
                 done = match.end()
+    found = [x[:5] for x in found if not any(y[5] in wider[x[5]] and y[0] < x[1] and x[0] < y[1] for y in found)]
     return [x for x in found if not any(y[0] < x[1] and x[0] < y[1] and y[4] > x[4] for y in found)]
 
 

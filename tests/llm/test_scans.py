@@ -36,6 +36,14 @@ def test_license_with_errors(spark):
     assert [s["label"] for s in L.scan(b"licensed under cc by-nc 4.0")["spans"]] == ["cc-by-nc-4.0"]
 
 
+def test_gpl_without_gnu():
+    found = L.scan(b"Under the General Public Licence of old")
+    assert [(s["label"], s["errors"]) for s in found["spans"]] == [("gpl", 1)] and found["score"] > 0.9
+    # where a longer notice stands, it alone is told
+    for text, label in ((b"GNU General Public License", "gpl"), (b"the GNU Leser General Public License", "lgpl"), (b"GNU Affero General Public Licence", "agpl")):
+        assert [s["label"] for s in L.scan(text)["spans"]] == [label]
+
+
 SECRETS = [f"the key of the shop is password={i:018x} and so the day goes on with words" for i in range(12, 90)]
 PLAIN = [f"order {i} of 20{i} costs {i * 7}.50 at www.shop{i}.com for mr smith and the rest" for i in range(12, 90)]
 

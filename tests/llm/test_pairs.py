@@ -166,12 +166,30 @@ def test_masks_hit_all_windows_with_two_substitutions():
         assert any(all(o + i not in wrong for i, c in enumerate(m) if c == "1") for m in decontam.MASKS for o in range(n - len(m) + 1))
 
 
+@pytest.mark.parametrize("n", range(1, 21))
+def test_every_accepted_pattern_of_every_length(n):
+    """All ways to change words that the rule accepts, for items of 1 to 20 words (of 13 and
+    more: all of a window of 13 words), are found in a text with other words around."""
+    item = [b"i%d" % i for i in range(n)]
+    chunk = decontam.Chunk([(7, b" ".join(item))])
+    least = min(n, decontam.MIN_WORDS)
+    for first in range(n - least + 1):
+        for changes in range(least + 1):
+            if (5 * (least - changes) < 4 * least) or (n < decontam.FEWEST and changes):
+                continue
+            for wrong in combinations(range(first, first + least), changes):
+                words = [w if first <= i < first + least and i not in wrong else b"other" for i, w in enumerate(item)]
+                found = chunk.overlaps(decontam.word_hashes([b"a", b"b", *words, b"c"]))
+                assert [(chunk.ids[k], same, whole) for k, _, _, same, whole in found] == [(7, least - changes, n)], (first, wrong)
+
+
 def brute_held(doc, item):
-    """Some stretch on a diagonal of enough words that agrees in 0.8 or more."""
+    """Some stretch on a diagonal of enough words that agrees in 0.8 or more; items of one to
+    four words are quoted exactly."""
     d, w = decontam.words_of(doc.encode()), decontam.words_of(item.encode())
     least = min(decontam.MIN_WORDS, len(w))
     if len(w) < decontam.FEWEST:
-        return False
+        return bool(w) and any(d[i : i + len(w)] == w for i in range(len(d)))
     for diagonal in range(-len(w) + 1, len(d)):
         same = [d[i] == w[i - diagonal] for i in range(max(0, diagonal), min(len(d), diagonal + len(w)))]
         for i in range(len(same)):
@@ -184,24 +202,29 @@ def brute_held(doc, item):
 def test_overlaps_against_brute_force(spark, monkeypatch):
     random.seed(11)
     vocabulary = [f"w{i}" for i in range(40)]
-    items = [" ".join(random.choices(vocabulary, k=n)) for n in (4, 6, 13, 20, 40)] + [None, ""]
+    items = [" ".join(random.choices(vocabulary, k=n)) for n in (4, 6, 13, 20, 40, 1, 2, 3, 5, 7, 8, 9, 10, 11, 12)] + [None, ""]
     docs = [None, "", "w1 w2"]
-    for item in items[:5]:
+    for item in items[:-2]:
         for changes in (0, 1, 2, 3, 6):
             words = item.split()
             for i in random.sample(range(len(words)), min(changes, len(words))):
                 words[i] = "changed"
             docs.append(" ".join(random.choices(vocabulary, k=30) + words + random.choices(vocabulary, k=30)).title())
     docs.append(" ".join(random.choices(vocabulary, k=20_000)) + ", " + items[3].upper())
+    assert any(brute_held(t, items[0]) for t in docs[3:8])
     df = spark.createDataFrame([(i, t, 1) for i, t in enumerate(docs)], "doc_id bigint, text string, item_id int")
     bench = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
     want = {(i, k) for i, t in enumerate(docs[:-1]) for k, item in enumerate(items) if t and item and brute_held(t, item)} | {(len(docs) - 1, 3)}
-    got = {(r.doc_id, r.item_id) for r in decontam.overlaps(df, bench).collect()}
-    assert {p for p in got if p[0] < len(docs) - 1} | {(len(docs) - 1, 3)} == want and (len(docs) - 1, 3) in got
+    found = decontam.overlaps(df, bench).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert len(found) == len(got) and {p for p in got if p[0] < len(docs) - 1} | {(len(docs) - 1, 3)} == want and (len(docs) - 1, 3) in got
+    long_enough = {(r.doc_id, r.item_id) for r in found if r.item_words >= decontam.FEWEST}
+    assert {(r.doc_id, r.item_id) for r in decontam.overlaps(df, bench, fewest=decontam.FEWEST).collect()} == long_enough
     monkeypatch.setattr(decontam, "CHUNK_WORDS", 10)  # several chunks give the same
     assert {(r.doc_id, r.item_id) for r in decontam.overlaps(df, bench).collect()} == got
     clean = decontam.decontaminate(df, bench)
-    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {i for i, _ in got}
+    assert {i for i, k in got if k == 5} - {i for i, _ in long_enough}  # the one-word item alone drops nothing
+    assert clean.columns == df.columns and {r.doc_id for r in clean.collect()} == set(range(len(docs))) - {i for i, _ in long_enough}
 
 
 def test_decontamination_by_row(spark):

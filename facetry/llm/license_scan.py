@@ -1,12 +1,18 @@
 """Fuzzy search for short licence notices.
 
 A text is scanned as its words (A-Z lower-cased, runs of letters, digits and non-ASCII
-characters), joined by single blanks. A notice may differ in up to ``errors_of`` edits
-(characters changed, added or lost). Cut into one piece more than that, at least one
-piece occurs unchanged (pigeonhole): an automaton finds all pieces of all notices in one
-pass, and around each find the regex library's bounded-error matching decides, counts
-the edits and gives the span. Overlapping finds of one notice count once; a notice that
-is part of a longer one counts only where the longer one isn't found.
+characters), joined by single blanks. A place of a notice is a run of whole words that
+differs from it in up to ``errors_of`` edits (characters changed, added or lost). The words
+that tell licences apart (``TELLING``: names, versions, "sa", "nc" ...) admit no edit, or one
+if they are long; each stretch between them admits one edit for every
+``CHARACTERS_PER_EDIT_OF_PART`` of its characters.
+
+Cut into one piece more than its edits, at least one piece of a notice occurs unchanged
+(pigeonhole): an automaton finds all pieces of all notices in one pass, and around each
+find the regex library's bounded-error matching decides, counts the edits and gives the
+span. Overlapping finds of one notice count once; a notice that is part of a longer one
+counts only where the longer one isn't found; of overlapping places of several notices
+those that agree best stay. All passes take time in proportion to the text and its finds.
 
 Base places, where a base phrase's words stand exactly, are found by exact search and
 always reported.
@@ -19,6 +25,7 @@ table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from functools import cache
 
 import ahocorasick
@@ -27,7 +34,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, text_bytes
+from .common import ASCII_LOWER, map_batches, text_bytes
 
 #: Fixed by the contract: phrases whose exact places are counted, and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -38,21 +45,48 @@ NOTICES = {
     "general public license": "gpl",
     "gnu general public license": "gpl",
     "gnu lesser general public license": "lgpl",
+    "gnu library general public license": "lgpl",
     "gnu affero general public license": "agpl",
+    "gnu free documentation license": "gfdl",
+    "apache license version 2 0": "apache-2.0",
     "licensed under the apache license version 2 0": "apache-2.0",
     "mozilla public license v 2 0": "mpl-2.0",
+    "mozilla public license version 2 0": "mpl-2.0",
+    "eclipse public license": "epl",
+    "european union public licence": "eupl",
+    "common development and distribution license": "cddl",
+    "boost software license": "bsl",
+    "artistic license": "artistic",
+    "sil open font license": "ofl",
+    "open database license": "odbl",
     "licensed under the mit license": "mit",
     "permission is hereby granted free of charge to any person": "mit",
+    "licensed under the bsd license": "bsd",
     "redistribution and use in source and binary forms": "bsd",
+    "licensed under the isc license": "isc",
+    "permission to use copy modify and or distribute this software for any purpose": "isc",
     "licensed under cc by 4 0": "cc-by-4.0",
     "licensed under cc by sa 4 0": "cc-by-sa-4.0",
     "licensed under cc by nc 4 0": "cc-by-nc-4.0",
     "creative commons attribution": "cc-by",
+    "creative commons attribution sharealike": "cc-by-sa",
+    "creative commons attribution noncommercial": "cc-by-nc",
+    "creative commons attribution noderivatives": "cc-by-nd",
+    "creative commons zero": "cc0",
     "dedicated to the public domain": "public-domain",
+    "free and unencumbered software released into the public domain": "unlicense",
+    "no rights reserved": "cc0",
     "confidential and proprietary": "proprietary",
+    "unauthorized copying of this file": "proprietary",
 }
-#: A notice may have an edit for each so many characters.
+#: Words that tell licences apart: up to four characters admit no edit, longer ones admit one.
+TELLING = {
+    "all", "no", "gnu", "mit", "bsd", "isc", "sil", "cc", "by", "sa", "nc", "zero", "v", "0", "1", "2", "3", "4",
+    "apache", "mozilla", "eclipse", "boost", "lesser", "library", "affero", "free",
+}
+#: A notice may have an edit for each so many characters, and so may each stretch between telling words.
 CHARACTERS_PER_EDIT = 9
+CHARACTERS_PER_EDIT_OF_PART = 5
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 _WORD_TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -76,15 +110,33 @@ def pieces(notice: str) -> list[tuple[int, str]]:
     return [(a, notice[a:b]) for a, b in zip(cuts, cuts[1:])]
 
 
+def parts_of(notice: str) -> list[tuple[str, int]]:
+    """The notice as stretches of words: (stretch, edits it admits)."""
+    parts: list[tuple[list[str], bool]] = []
+    for word in notice.split():
+        if parts and not parts[-1][1] and word not in TELLING:
+            parts[-1][0].append(word)
+        else:
+            parts.append(([word], word in TELLING))
+    joined = [(" ".join(words), telling) for words, telling in parts]
+    free = lambda part: min(errors_of(notice), max(1, len(part) // CHARACTERS_PER_EDIT_OF_PART))
+    return [(part, int(len(part) > 4) if telling else free(part)) for part, telling in joined]
+
+
+def pattern_of(notice: str) -> regex.Pattern:
+    """Matches whole words: the stretches with their edits, single blanks between."""
+    inner = " ".join(f"(?:{regex.escape(part)}){{e<={k}}}" if k else regex.escape(part) for part, k in parts_of(notice))
+    return regex.compile(f"(?b)(?<= ){inner}(?= )")
+
+
 @cache
 def scanner() -> tuple[ahocorasick.Automaton, list[tuple[str, str, regex.Pattern, int]]]:
     """The automaton over all pieces, and for each notice its label, pattern and edits."""
     rules, found = [], {}
     for notice, label in NOTICES.items():
-        k = errors_of(notice)
         for offset, part in pieces(notice):
             found.setdefault(part, []).append((len(rules), offset))
-        rules.append((notice, label, regex.compile(f"(?b)(?:{regex.escape(notice)}){{e<={k}}}"), k))
+        rules.append((notice, label, pattern_of(notice), errors_of(notice)))
     automaton = ahocorasick.Automaton()
     for part, places in found.items():
         automaton.add_word(part, (len(part), places))
@@ -103,38 +155,54 @@ def base_places(flat: bytes) -> list[tuple[int, str]]:
     found = []
     for phrase, label in BASE.items():
         sought = f" {phrase} ".encode()
-        at = flat.find(sought)
+        at, word, counted = flat.find(sought), 0, 0
         while at >= 0:
-            found.append((flat.count(b" ", 0, at), label))
+            word += flat.count(b" ", counted, at)
+            counted = at
+            found.append((word, label))
             at = flat.find(sought, at + 1)
     return sorted(found)
 
 
-def fuzzy_places(flat: str) -> list[tuple[int, int, str, int, float]]:
-    """(start, end, label, edits, share of the notice that agrees) in the flat text, by
-    notice and place. Of overlapping places of one notice the first stays, of those of several
-    notices the ones that agree best."""
+def notice_places(flat: str) -> list[tuple[int, int, str, int]]:
+    """(start, end, notice, edits) of each notice's places, which don't overlap each other."""
     automaton, rules = scanner()
-    wider = wider_notices()
     starts: dict[int, set[int]] = {}
     for last, (length, places) in automaton.iter(flat):
         for rule, offset in places:
             starts.setdefault(rule, set()).add(last - length + 1 - offset)
     found = []
-    for rule in sorted(starts):
-        notice, label, pattern, k = rules[rule]
+    for rule, own in starts.items():
+        notice, _, pattern, k = rules[rule]
         done = 0
-        for start in sorted(starts[rule]):
-            low, high = max(done, start - k), min(len(flat), start + len(notice) + k)
+        for start in sorted(own):
+            low, high = max(done, start - k), min(len(flat), start + len(notice) + k + 1)
             if high - low < len(notice) - k:
                 continue
             match = pattern.search(flat, low, high)
-            if match:
-                edits = sum(match.fuzzy_counts)
-                found.append((*match.span(), label, edits, 1 - edits / len(notice), notice))
+            if match and sum(match.fuzzy_counts) <= k:
+                found.append((*match.span(), notice, sum(match.fuzzy_counts)))
                 done = match.end()
-    found = [x[:5] for x in found if not any(y[5] in wider[x[5]] and y[0] < x[1] and x[0] < y[1] for y in found)]
-    return [x for x in found if not any(y[0] < x[1] and x[0] < y[1] and y[4] > x[4] for y in found)]
+    return sorted(found)
+
+
+def fuzzy_places(flat: str) -> list[tuple[int, int, str, int, float]]:
+    """(start, end, label, edits, share of the notice that agrees) in the flat text, by
+    place. Of overlapping places those of wider notices, and then those that agree best, stay."""
+    wider = wider_notices()
+    found = notice_places(flat)
+
+    def near(places: list) -> list[list]:
+        """Of each place, those that it overlaps: only starts at most one longest place away can."""
+        longest = max((x[1] - x[0] for x in places), default=0)
+        starts = [x[0] for x in places]
+        return [
+            [y for y in places[bisect_left(starts, x[0] - longest) : bisect_left(starts, x[1])] if y is not x and y[0] < x[1] and x[0] < y[1]] for x in places
+        ]
+
+    found = [x for x, others in zip(found, near(found)) if not any(y[2] in wider[x[2]] for y in others)]
+    scored = [(a, b, NOTICES[notice], edits, 1 - edits / len(notice)) for a, b, notice, edits in found]
+    return [x for x, others in zip(scored, near(scored)) if not any(y[4] > x[4] for y in others)]
 
 
 def scan(text: bytes) -> dict:
@@ -145,14 +213,16 @@ def scan(text: bytes) -> dict:
     fuzzy = fuzzy_places(decoded)
     spans = []
     if fuzzy:
-        places = [m.span() for m in WORD.finditer(text.decode().translate({c: c + 32 for c in range(65, 91)}))]
+        places = [m.span() for m in WORD.finditer(text.translate(ASCII_LOWER).decode())]
+        word, counted = -1, 0  # blanks up to a place are the words before it, and one
         for start, end, label, edits, _ in fuzzy:
             inside = decoded[start:end]
-            start += len(inside) - len(inside.lstrip())
-            end -= len(inside) - len(inside.rstrip())
-            first = decoded.count(" ", 0, start + 1) - 1
-            last = decoded.count(" ", 0, end) - 1
-            spans.append({"label": label, "start": places[first][0], "stop": places[last][1], "first_word": first, "end_word": last + 1, "errors": edits})
+            start += len(inside) - len(inside.lstrip(" "))
+            end -= len(inside) - len(inside.rstrip(" "))
+            word += decoded.count(" ", counted, start)
+            counted = start
+            last = word + decoded.count(" ", start, end)
+            spans.append({"label": label, "start": places[word][0], "stop": places[last][1], "first_word": word, "end_word": last + 1, "errors": edits})
     score = 1.0 if base else max((x[4] for x in fuzzy), default=0.0)
     return {"n_words": n_words, "base": base, "spans": spans, "score": score}
 

@@ -1,4 +1,8 @@
+import random
 import re
+import time
+
+import pytest
 
 from facetry.llm import license_scan as L
 from facetry.llm import secret_crf as S
@@ -44,6 +48,81 @@ def test_gpl_without_gnu():
         assert [s["label"] for s in L.scan(text)["spans"]] == [label]
 
 
+def test_words_that_tell_licences_apart():
+    for text, labels in (
+        ("licensed under the bsd license", {"bsd"}),
+        ("licensed under the gpl license", set()),
+        ("licensed under the isc license", {"isc"}),
+        ("licensed under the MIT licence", {"mit"}),
+        ("cc by 3.0", set()),
+        ("licensed under cc by-sa 4.0", {"cc-by-sa-4.0"}),
+        ("mozilla public license v 1.1", set()),
+        ("mozila public license v 2.0", {"mpl-2.0"}),
+        ("apache license version 1 1", set()),
+        ("apache license, Version 2.0", {"apache-2.0"}),
+        ("small rights reserved", set()),
+        ("call rights reserved", set()),
+        ("no rights reserved", {"cc0"}),
+    ):
+        assert {s["label"] for s in L.scan(text.encode())["spans"]} == labels, text
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_places(flat, notice):
+    """{(start, end): fewest edits} of every run of whole words that the rule accepts, by edit-distance tables."""
+    parts, k = L.parts_of(notice), L.errors_of(notice)
+    found = {}
+    for start in (i + 1 for i, c in enumerate(flat) if c == " "):
+        ends = {start: 0}
+        for n, (part, most) in enumerate(parts):
+            new = {}
+            for at, cost in ends.items():
+                if n:
+                    if flat[at : at + 1] != " ":
+                        continue
+                    at += 1
+                for stop in range(at + max(0, len(part) - most), min(len(flat), at + len(part) + most) + 1):
+                    own = edits(part, flat[at:stop])
+                    if own <= most and cost + own <= k:
+                        new[stop] = min(new.get(stop, k), cost + own)
+            ends = new
+        found |= {(start, stop): cost for stop, cost in ends.items() if flat[stop : stop + 1] == " "}
+    return found
+
+
+@pytest.mark.parametrize("notice", L.NOTICES)
+def test_notices_against_edit_distance_tables(notice):
+    rng = random.Random(notice)
+    k = L.errors_of(notice)
+    for changes in [*range(k + 3), *range(k + 1)]:
+        text = list(notice)
+        for _ in range(changes):
+            at = rng.randrange(len(text))
+            text[at : at + 1] = rng.choice([[], [rng.choice("etaoin ")], [text[at], rng.choice("etaoin")]])
+        _, flat = L.normal(" ".join(rng.choices(["the", "public", "license", "all", "and", "x"], k=4) + ["".join(text)] + rng.choices(["v", "rights", "2", "free"], k=4)).encode())
+        want = brute_places(flat.decode(), notice)
+        got = [x for x in L.notice_places(flat.decode()) if x[2] == notice]
+        assert bool(got) == bool(want), flat
+        for start, end, _, cost in got:
+            assert cost == want.get((start, end), -1), flat
+
+
+def test_many_notices_take_time_in_proportion():
+    text = " ".join(f"All rigths reserved, cc by {i}" for i in range(20_000)).encode()
+    start = time.perf_counter()
+    found = L.scan(text)
+    assert len(found["spans"]) == len(found["base"]) == 20_000 and time.perf_counter() - start < 20
+    assert found["spans"][-1]["first_word"] == 6 * 19_999 and found["base"][-1] == (6 * 19_999 + 3, "cc-by")
+
+
 SECRETS = [f"the key of the shop is password={i:018x} and so the day goes on with words" for i in range(12, 90)]
 PLAIN = [f"order {i} of 20{i} costs {i * 7}.50 at www.shop{i}.com for mr smith and the rest" for i in range(12, 90)]
 

@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,6 +94,33 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
+#: Groups of equal rows are looked up by broadcast up to so many (about 60 bytes each).
+BROADCAST_GROUPS = 1_000_000
+
+
+def number_repeats(rows: DataFrame, by: list[str]) -> DataFrame:
+    """``rows`` with ``__nth``: 0, 1, ... among the rows that agree in ``by`` (null agrees with null).
+
+    Which of the equal rows has which number is open, the numbers are not. Rows that don't
+    repeat stay where they are. Of a group of any size, each task numbers what lies in its own
+    part of the table, after those that lie in parts before: nothing gathers a group."""
+    groups = settle(rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"), "groups")
+    n = groups.count()
+    if n == 0:
+        return rows.withColumn("__nth", F.lit(0).cast("long"))
+    same = [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in by]
+    shown = F.broadcast(groups) if n <= BROADCAST_GROUPS else groups
+    single = rows.join(shown, same, "left_anti").withColumn("__nth", F.lit(0).cast("long"))
+    repeated = rows.withColumns({"__part": F.spark_partition_id(), "__place": F.monotonically_increasing_id()})
+    repeated = settle(repeated.join(shown, same, "left_semi"), "repeated")
+    before = Window.partitionBy(*by).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = repeated.groupBy(*by, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    parts = parts.select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*by, "__part").orderBy("__place")) - 1
+    numbered = repeated.withColumn("__inside", inside).join(parts, [*same, F.col("__part") == F.col("__of")])
+    return single.unionByName(numbered.select(*rows.columns, (F.col("__before") + F.col("__inside")).alias("__nth")))
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """crc32 of the id as text; a null id counts as empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))

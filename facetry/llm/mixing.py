@@ -2,12 +2,15 @@
 
 Tokens are summed per source, targets are filled like water up to a cap of
 ``max_repeat`` times the source, and a source's repetition rate is target over
-size. A document is emitted floor(rate) times, and once more if a hash of its
-id (seeded, so reruns agree) falls under the rate's fraction.
+size. A document is emitted floor(rate) times, and once more if a hash (seeded, so
+reruns agree) of its id, its text and its number among equal rows falls under the
+rate's fraction.
 
 Edge cases: null text has size 0; null is a source of its own, last in order;
-a source without words has rate 0 and target 0; a null id draws by its text;
-repeated rows draw alike and each counts; an empty table gives an empty result.
+a source without words has rate 0 and target 0; a null id draws like any other;
+repeated rows draw apart, by their number, and each counts; texts of any length are
+measured without a list of their words; an empty table gives an empty result; extra
+columns are carried along.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import BLANKS, settle
+from .common import number_repeats, settle
 
 SEED = "mix-1"
 WEIGHTS = (1, 2, 3)
@@ -29,17 +32,17 @@ GAP = r"[\x20\x09-\x0D]+"
 
 
 def word_count(text: Column) -> Column:
-    """Runs of other than blank and U+0009-U+000D: pieces between gaps, without
-    the empty one before a leading and after a trailing gap."""
-    blank = [F.lit(c) for c in BLANKS]
-    edges = F.substring(text, 1, 1).isin(blank).cast("long") + F.substring(text, -1, 1).isin(blank).cast("long")
-    return F.when(F.coalesce(text, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.size(F.split(text, GAP)) - edges)
+    """Runs of other than blank and U+0009-U+000D: blanks of the text with single
+    blanks between words, and one."""
+    flat = F.trim(F.regexp_replace(text, GAP, " "))
+    gaps = F.octet_length(flat) - F.octet_length(F.replace(flat, F.lit(" "), F.lit("")))
+    return F.when(F.coalesce(flat, F.lit("")) == "", F.lit(0)).otherwise(gaps + 1).cast("long")
 
 
-def draw(key: Column, text: Column, seed: str) -> Column:
+def draw(key: Column, digest: Column, nth: Column, seed: str) -> Column:
     """A number in [0, 1) of 48 hashed bits; any engine with md5 can repeat it."""
-    named = F.coalesce(key.cast("string"), F.concat(F.lit("text:"), F.coalesce(text, F.lit(""))))
-    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), named)), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    named = F.concat_ws(":", F.lit(seed), F.coalesce(key.cast("string"), F.lit("null")), digest, nth.cast("string"))
+    return F.conv(F.substring(F.md5(named), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -72,9 +75,15 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_repea
     return filled.select("source", "source_size", target.alias("target"))
 
 
-def measure(docs: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``mix_size`` (words) and ``mix_draw`` (a number in [0, 1))."""
-    return docs.withColumns({"mix_size": word_count(F.col("text")), "mix_draw": draw(F.col("doc_id"), F.col("text"), seed)})
+def measure(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``mix_size`` (words) and ``mix_digest`` (of the text)."""
+    return docs.withColumns({"mix_size": word_count(F.col("text")), "mix_digest": F.md5(F.coalesce("text", F.lit("")).cast("binary"))})
+
+
+def drawn(measured: DataFrame, seed: str = SEED) -> DataFrame:
+    """``measured`` with ``mix_draw``, a number in [0, 1)."""
+    numbered = number_repeats(measured, ["doc_id", "mix_digest"])
+    return numbered.withColumn("mix_draw", draw(F.col("doc_id"), F.col("mix_digest"), F.col("__nth"), seed)).drop("__nth")
 
 
 def plan_mix(measured: DataFrame, weights: Sequence[int] = WEIGHTS, max_repeat: int = MAX_REPEAT) -> DataFrame:
@@ -93,14 +102,14 @@ def mix(docs: DataFrame, seed: str = SEED, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` as often as its copies say, same columns."""
     # the record travels as one column, so that no name of its own can clash
     packed = docs.select("doc_id", "text", "source", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
-    planned = plan_mix(measure(packed, seed), **options).filter("mix_copies > 0")
+    planned = plan_mix(drawn(measure(packed), seed), **options).filter("mix_copies > 0")
     return planned.select("__row", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("__copy")).select("__row.*")
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:
     """Contract of op5. The measured rows are kept without their texts, so texts are read once."""
     measured = settle(measure(docs.select("doc_id", "text", "source")).drop("text"), "mix-sizes")
-    return plan_mix(measured).select(
+    return plan_mix(drawn(measured)).select(
         "doc_id",
         F.col("mix_size").alias("size"),
         F.col("mix_source_size").alias("source_size"),
@@ -111,7 +120,8 @@ def mix_digest(docs: DataFrame) -> DataFrame:
 
 MIX_SQL = """
 WITH sized AS (
-  SELECT doc_id, text, source,
+  SELECT doc_id, source, md5(coalesce(text, '')) AS digest,
+         row_number() OVER (PARTITION BY doc_id, coalesce(text, '')) - 1 AS nth,
          CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents
 ), s AS (
@@ -133,7 +143,7 @@ WITH sized AS (
 ), r AS (
   SELECT d.doc_id, d.size, g.source_size, g.target,
          least(CASE WHEN g.source_size = 0 THEN 0.0 ELSE g.target / g.source_size END, 3.0) AS rate,
-         CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'text:' || coalesce(d.text, ''))), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u
+         CAST(CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null') || ':' || d.digest || ':' || d.nth), 1, 12) AS BIGINT) AS DOUBLE) / 281474976710656.0 AS u
   FROM sized d JOIN g ON d.source IS NOT DISTINCT FROM g.source
 )
 SELECT doc_id, size, source_size, target,

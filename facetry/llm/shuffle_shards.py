@@ -1,14 +1,19 @@
 """Sharding by a two-pass external shuffle.
 
-Pass 1 scatters records uniformly into buckets by a seeded hash; the number of
-buckets follows the bytes, so a bucket fits in a task's memory. Pass 2 sorts a
+Pass 1 scatters records uniformly into buckets by a seeded hash of id, text and the
+record's number among equal records, so that neither an id nor a record that repeats
+without bound meets in one bucket; the number of buckets follows the bytes, so a bucket
+fits in a task's memory (with its longest text, which isn't cut). Pass 2 sorts a
 bucket canonically, shuffles it by Fisher-Yates with a generator seeded by
 (seed, bucket), and writes it. A record's place in the whole order is its
 bucket's offset plus its place in the bucket; place p goes to shard p mod n,
 slot p div n, so shard counts differ by one at most and slots have no gap.
 
+A bucket's offset is the sum of the counts before it, a window over one row a bucket
+(six million at 100 TB) in one task.
+
 Edge cases: an empty table gives an empty result; a null text has no bytes; rows
-without an id scatter by their text; repeated rows are kept, each with its own
+without an id scatter by text and number; repeated rows are kept, each with its own
 place (equal rows may swap places, which the result can't show). Extra columns
 are carried along; columns named ``shard`` and ``slot`` give way to the new ones.
 """
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_type, shuffle_partitions
+from .common import arrow_type, number_repeats, shuffle_partitions
 
 #: Text bytes of a bucket that a task holds while it shuffles.
 BUCKET_BYTES = 16 << 20
@@ -43,9 +48,8 @@ def fisher_yates(n: int, seed: int, bucket: int) -> np.ndarray:
     return np.array(order, dtype=np.int64)
 
 
-def scatter_hash(key: str, text: str, seed: int) -> Column:
-    spread = F.xxhash64(F.lit(seed), F.col(key))
-    return F.when(F.col(key).isNull(), F.xxhash64(F.lit(seed), F.lit("text"), F.col(text))).otherwise(spread)
+def scatter_hash(key: str, seed: int) -> Column:
+    return F.xxhash64(F.lit(seed), F.coalesce(F.col(f"`{key}`").cast("string"), F.lit("null")), "__text", "__nth")
 
 
 def shuffle_into_shards(
@@ -54,17 +58,20 @@ def shuffle_into_shards(
     """``docs`` with ``shard`` (int, from 0) and ``slot`` (long, from 0 in each shard)."""
     docs = docs.drop("shard", "slot")
     spark = docs.sparkSession
-    hashed = scatter_hash(key, text, seed)
+    hashed = F.col("__order")
     total = docs.agg(F.sum(F.octet_length(text) + F.lit(64))).first()[0] or 0
     buckets = max(-(-total // bucket_bytes), shuffle_partitions(spark))
     bucket = F.pmod(hashed, F.lit(buckets)).alias("__bucket")
-    offsets = docs.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
+    # the record travels as one column, so that no name of its own can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    packed = docs.select(row.alias("__row"), F.col(f"`{key}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__text"))
+    marked = number_repeats(packed, ["__id", "__text"]).select("__row", scatter_hash("__id", seed).alias("__order"))
+    offsets = marked.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = offsets.select("__bucket", F.coalesce(running, F.lit(0)).alias("__offset"))
     if buckets <= BROADCAST_BUCKETS:
         offsets = F.broadcast(offsets)
-    # the record travels as one column, so that no name of its own can clash
-    placed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), bucket, hashed.alias("__order")).join(offsets, "__bucket")
+    placed = marked.select("__row", bucket, "__order").join(offsets, "__bucket")
     schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
     out = arrow_type(schema)
     names = docs.columns
@@ -85,9 +92,9 @@ def shuffle_into_shards(
 
 
 def write_shards(docs: DataFrame, path: str, **options) -> None:
-    """Write each shard in its shuffled order: one folder a shard, rows sorted by slot."""
-    sharded = shuffle_into_shards(docs, **options)
-    sharded.repartition("shard", F.floor(F.col("slot") / 65536)).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    """Write each bucket where it was shuffled: one folder a shard, whose files hold runs of
+    slots in order and no slot twice."""
+    shuffle_into_shards(docs, **options).sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
 def shard_digest(docs: DataFrame) -> DataFrame:

@@ -96,6 +96,52 @@ def test_mix_against_brute_force(spark):
     assert mixing.mix_digest(df.limit(0)).collect() == []
 
 
+def test_repeated_rows_draw_apart(spark, tmp_path):
+    import duckdb
+
+    rows = [(7, "one two three", "a")] * 700 + [(None, "one two three", "a")] * 300 + [(i, "w " * 10, "b") for i in range(400)] + [(5, None, "a"), (5, "", "a"), (5, "\tx  y\n", "a")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix_digest(df.repartition(7)).collect()
+    assert len(got) == len(rows)
+    for source_size in {r.source_size for r in got}:
+        own = [r for r in got if r.source_size == source_size]
+        assert sum(r.taken for r in own) == pytest.approx(own[0].target, rel=0.05)
+    assert len({r.taken for r in got if r.doc_id == 7 and r.size == 3}) == 2
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_digest(df.repartition(3)).collect()))
+    assert mixing.mix(df).count() == pytest.approx(sum(r.taken // r.size for r in got if r.size), abs=3)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(mixing.MIX_SQL).fetchall()
+    shown = lambda rs: sorted((str(d), s, z, round(t, 6), n) for d, s, z, t, n in rs)
+    assert shown(map(tuple, got)) == shown(want)
+
+
+def test_word_counts_of_long_texts(spark):
+    texts = ["w " * 500_000, " " * 100_000, "x" * 300_000, "a\u00a0b\x0bc\x85d"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert [r.mix_size for r in mixing.measure(df).orderBy("doc_id").collect()] == [500_000, 0, 1, 2]
+
+
+def test_hot_rows_are_scattered(spark):
+    rows = [(1, "same text")] * 3000 + [(2, f"text {i}") for i in range(3000)] + [(None, None)] * 3000
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = shuffle_shards.shuffle_into_shards(df.repartition(5), bucket_bytes=20_000)
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(str(r) for r in df.collect())
+    places = [r.shard + 8 * r.slot for r in got.collect()]
+    assert sorted(places) == list(range(9000))
+    for key in (1, 2, None):  # no stretch of the order belongs to one id
+        own = sorted(r.slot * 8 + r.shard for r in got.collect() if r.doc_id == key)
+        assert max(b - a for a, b in zip(own, own[1:])) < 60
+    assert sorted(map(str, got.collect())) == sorted(map(str, shuffle_shards.shuffle_into_shards(df.repartition(2), bucket_bytes=20_000).collect()))
+
+
+def test_very_long_texts_are_sharded(spark):
+    df = spark.createDataFrame([(i, "é" * (3_000_000 if i % 7 == 0 else 3)) for i in range(20)], "doc_id bigint, text string")
+    got = shuffle_shards.shuffle_into_shards(df, bucket_bytes=1 << 20).collect()
+    assert {(r.doc_id, len(r.text)) for r in got} == {(i, 3_000_000 if i % 7 == 0 else 3) for i in range(20)}
+
+
 # toxicity
 
 

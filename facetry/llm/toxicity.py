@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier of character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the distinct n-grams (orders ``ORDERS``) of the lower-cased text's UTF-8
-bytes with runs of blanks as one blank, hashed to ``1 << HASH_BITS`` cells. Over all
+Features are the distinct n-grams (orders ``ORDERS``) of the lower-cased text's
+characters (code points) with runs of blanks as one blank, hashed to ``1 << HASH_BITS`` cells. Over all
 labelled training rows, spread over the cluster, each cell gets the number of toxic
 and other documents that hold it; r = log of the ratio of the smoothed shares. The
 ``FEATURES`` cells whose shares differ most, in standard errors, stay. A logistic regression on
@@ -35,7 +35,7 @@ FEATURES = 4096
 #: Labelled rows that the regression is fitted to at most.
 FIT_ROWS = 4000
 #: Labels are broadcast up to so many (about 30 bytes each).
-BROADCAST_LABELS = 4_000_000
+BROADCAST_LABELS = 1_000_000
 FOLDS = 5
 #: Documents added to each cell, dealt to the labels by their shares, so that a rare cell leans to neither.
 SMOOTHING = 2.0
@@ -47,7 +47,8 @@ _BLANK_TABLE = bytes(32 if c in b"\t\n\x0b\x0c\r" else ASCII_LOWER[c] for c in r
 
 def cells_of(text: bytes) -> list[np.ndarray]:
     """For each order, the hashed n-grams of a text at each position."""
-    data = np.frombuffer(b" " + b" ".join(text.translate(_BLANK_TABLE).split()) + b" ", np.uint8).astype(np.uint32)
+    flat = b" " + b" ".join(text.translate(_BLANK_TABLE).split()) + b" "
+    data = np.frombuffer(flat, np.uint8).astype(np.uint32) if flat.isascii() else np.frombuffer(flat.decode().encode("utf-32-le"), np.uint32)
     out = []
     for order in ORDERS:
         n = len(data) - order + 1

@@ -170,6 +170,72 @@ def test_toxicity_on_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if not r.predicted}
 
 
+def brute_grams(text):
+    """Distinct character n-grams, and for each the cell by definition."""
+    flat = " " + " ".join((text or "").translate({**{c: c + 32 for c in range(65, 91)}, **{c: 32 for c in (9, 10, 11, 12, 13)}}).split(" ")) + " "
+    while "  " in flat:
+        flat = flat.replace("  ", " ")
+    if flat == " ":
+        flat = "  "
+    cells = {}
+    for order in toxicity.ORDERS:
+        for at in range(len(flat) - order + 1):
+            value = order
+            for c in flat[at : at + order]:
+                value = (value * 0x01000193 + ord(c)) % (1 << 32)
+            cells[flat[at : at + order]] = value * 0x9E3779B1 % (1 << 32) >> 32 - toxicity.HASH_BITS
+    return cells
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    words = ["Stein", "Fluß", "слово", "дом", "雨が降る", "garden", "été", "𝔘𝔫", "a", "blockhead"]
+    texts = [" \t".join(rng.choice(words, int(rng.integers(1, 12)))) for _ in range(120)] + ["", None, "x"]
+    marks = [int("blockhead" in (t or "")) for t in texts]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id bigint, toxic int")
+    grams = [brute_grams(t) for t in texts]
+    for t, g in zip(texts, grams):
+        found = toxicity.cells_of((t or "").encode())
+        assert set(np.concatenate(found).tolist() if found else []) == set(g.values())
+    training = [i for i in range(len(texts)) if zlib.crc32(str(i).encode()) % 5]
+    counts = Counter((c, marks[i]) for i in training for c in set(grams[i].values()))
+    rows = toxicity.labelled(docs, toxicity.training_labels(labels), True, ("text",))
+    assert {(r.cell, m): n for r in toxicity.cell_counts(rows).collect() for m, n in ((1, r.positive), (0, r.negative)) if n} == dict(counts)
+    n = Counter(marks[i] for i in training)
+    share = n[1] / (n[0] + n[1])
+    model = toxicity.train(docs, labels)
+    cells = sorted({c for c, _ in counts})
+    ratio = toxicity.log_ratios(*(np.array([counts[c, m] for c in cells]) for m in (1, 0)), n[1], n[0])
+    for c, r in zip(cells, ratio):
+        assert r == pytest.approx(log((counts[c, 1] + 2 * share) / (n[1] + 2)) - log((counts[c, 0] + 2 * (1 - share)) / (n[0] + 2)))
+    # weights are multiples of the ratio: they vanish with it and nothing but features has one
+    assert set(np.flatnonzero(model.table).tolist()) <= set(cells)
+    scores = {r.doc_id: r.score for r in toxicity.score_documents(docs, model).collect()}
+    for i, g in enumerate(grams):
+        total = model.bias + sum(float(model.table[c]) for c in set(g.values()))
+        assert scores[i] == pytest.approx(1 / (1 + np.exp(-total)), abs=1e-6)
+
+
+def test_regression_reaches_its_optimum():
+    """Against plain gradient descent on the same loss, by definition."""
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(60, 5)) * (rng.random((60, 5)) < 0.5)
+    y = (x @ np.array([2.0, -1, 0.5, 0, 0]) + rng.normal(size=60) > 0).astype(float)
+    rows, cols = np.nonzero(x)
+    weights, bias = toxicity.fit_logistic(cols, rows, x[rows, cols], y, 5)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def loss(w, b):
+        return -(share * np.log(1 / (1 + np.exp(-(2 * y - 1) * (x @ w + b))))).sum() + toxicity.RIDGE / 2 * (w * w).sum()
+
+    w, b = np.zeros(5), 0.0
+    for _ in range(20_000):
+        error = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        w, b = w - 0.5 * (x.T @ error + toxicity.RIDGE * w), b - 0.5 * error.sum()
+    assert loss(weights, bias) == pytest.approx(loss(w, b), rel=0.02)
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, quality int, toxic int")

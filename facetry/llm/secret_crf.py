@@ -2,11 +2,14 @@
 
 The field tags a text's tokens (runs of letters and digits, other characters one by one)
 as secret begin, inside or outside. Features are a token's shape, the words beside it
-and features of the file; tags are decoded by Viterbi. It is trained here: the fixed
-patterns label a sample of about ``SAMPLE_DOCS`` documents (chosen by a hash of the id),
-of which at most ``TRAIN_WINDOWS`` windows are fitted by gradient ascent on the
-conditional likelihood. In half of the labelled windows the assignment sign is hidden,
-so that the field also learns secrets that no pattern reaches.
+and features of the file; tags are decoded by Viterbi. It is trained here. The fixed
+patterns label every document; fitted by gradient ascent on the conditional likelihood
+are at most ``TRAIN_WINDOWS`` windows, in the order of a hash: half of them from all
+documents with secrets, the others from about ``SAMPLE_DOCS`` documents chosen by a hash of
+the id. A window of more than ``WINDOW`` tokens is cut into parts of that size, and of a
+token at most ``TOKEN_CHARS`` characters are kept for training, so that what is collected
+is bounded. In half of the labelled windows the assignment sign is hidden, so that the
+field also learns secrets that no pattern reaches.
 
 Whole texts are decoded without scoring every plain word: a token of letters only (no
 key word, no ``LONG`` letters) or one character whose neighbours within ``REACH`` are plain
@@ -21,7 +24,8 @@ always stay. Places are code points, ends exclusive.
 
 Edge cases: null and empty texts have no spans; without labelled windows the field adds
 nothing; repeated rows are each returned; a null id is returned as null and trains
-nothing; an empty table gives an empty result; extra columns are ignored.
+nothing; an empty table gives an empty result; extra columns are ignored; texts of any
+length are decoded whole.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_LOWER, map_batches, text_bytes
+from .common import ASCII_LOWER, map_batches, settle, text_bytes
 
 #: Fixed by the contract.
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -44,8 +48,12 @@ _ASSIGN_WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_k
 
 SAMPLE_DOCS = 6000
 TRAIN_WINDOWS = 3000
+WINDOW = 60
+TOKEN_CHARS = 64
 ROUNDS = 80
 LONG = 20
+#: Tokens whose shapes are remembered at a time.
+REMEMBERED = 1 << 16
 REACH = 2
 LABELS = 3
 BEGIN, INSIDE, OUTSIDE = range(LABELS)
@@ -88,29 +96,49 @@ def kind_of(token: str) -> str:
     return "alnum"
 
 
+#: All kinds; "edge" is what lies beyond the text.
+KIND_NAMES = ("edge", "key", "digit", "mark", *"=:\"'-_./+", *(f"{x}{y}" for x in ("", "long-") for y in ("lower", "upper", "title", "mixed")), "digits", "hex", "caps", "alnum")
+_KIND_AT = {k: i for i, k in enumerate(KIND_NAMES)}
 #: The only feature of a plain token among plain ones.
 FLAT = "flat|plain"
 #: Templates of any other token.
 TEMPLATES = 9
+SIZES, TURNS, FILES = 11, 6, 6
 
 
-def size_of(token: str) -> str:
-    return str(min(10, len(token) // 4))
+def size_of(token: str) -> int:
+    return min(SIZES - 1, len(token) // 4)
 
 
-def turns_of(token: str) -> str:
+def turns_of(token: str) -> int:
     """Changes between letters and digits, at most 5."""
-    return str(min(5, sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:]))))
+    return min(TURNS - 1, sum(a.isdigit() != b.isdigit() for a, b in zip(token, token[1:])))
 
 
-def file_features(tokens: list[str]) -> str:
+_SHAPES: dict[str, tuple[int, int, int, bool]] = {}
+
+
+def shape_of(token: str) -> tuple[int, int, int, bool]:
+    """(place of its kind, size, turns, whether it is plain)."""
+    known = _SHAPES.get(token)
+    if known is None:
+        known = _KIND_AT[kind_of(token)], size_of(token), turns_of(token), is_plain(token)
+        if len(token) <= TOKEN_CHARS:
+            if len(_SHAPES) >= REMEMBERED:
+                _SHAPES.clear()
+            _SHAPES[token] = known
+    return known
+
+
+def file_features(tokens: list[str]) -> int:
     """A class of the whole text: does it name keys, are digits frequent."""
-    keys = any(t in _KEYS for t in tokens)
-    numbers = sum(not is_plain(t) and not t.isalpha() for t in tokens)
-    return f"{int(keys)}{min(2, numbers * 50 // (len(tokens) + 1))}"
+    special = [t for t in tokens if not is_plain(t)]
+    keys = any(t in _KEYS for t in special)
+    numbers = sum(not t.isalpha() for t in special)
+    return 3 * keys + min(2, numbers * 50 // (len(tokens) + 1))
 
 
-def features(tokens: list[str], at: int, file: str) -> list[str]:
+def features(tokens: list[str], at: int, file: int) -> list[str]:
     """Feature names of a token; templates are the text before the first '|'."""
 
     def near(k: int) -> str:
@@ -137,57 +165,104 @@ def features(tokens: list[str], at: int, file: str) -> list[str]:
 
 
 class Field:
-    """Weights: three a feature, and transitions [from, to]; the state before and after is outside."""
+    """Weights: three a feature, and transitions [from, to]; the state before and after is outside.
+
+    For decoding, each template's weights are a table by the numbers of ``shape_of``."""
 
     def __init__(self, weights: dict[str, np.ndarray], moves: np.ndarray):
         self.weights, self.moves = weights, moves
         # most that a path gains in transitions by another tag than outside, between any two tags
         gains = moves[:, None, :] + moves.T[None, :, :] - moves[:, OUTSIDE][:, None, None] - moves[OUTSIDE][None, :, None]
         self.prunes = self.plain_lead() > gains[:, :, :OUTSIDE].max()
+        none = np.zeros(LABELS)
+        one = lambda name: weights.get(name, none)
+        self.flat = one(FLAT)
+        self.near = {t: np.array([one(f"{t}|{k}") for k in KIND_NAMES]) for t in ("own", "before", "before2", "after", "after2")}
+        self.plain_shape = np.array([one(f"shape|{k}") for k in KIND_NAMES])
+        self.shape = np.array([[one(f"shape|{k}|{z}") for z in range(SIZES)] for k in KIND_NAMES])
+        self.turns = np.array([[one(f"turns|{k}|{u}") for u in range(TURNS)] for k in KIND_NAMES])
+        self.key = np.array([[one(f"key|{x}|{k}") for k in KIND_NAMES] for x in (False, True)])
+        self.file = np.array([[one(f"file|{x}|{k}") for k in KIND_NAMES] for x in range(FILES)])
 
     def plain_lead(self) -> float:
         """The lead of outside over begin and inside at a plain token among plain ones."""
         flat = self.weights.get(FLAT, np.zeros(LABELS))
         return float(flat[OUTSIDE] - max(flat[BEGIN], flat[INSIDE]))
 
-    def viterbi(self, names: list[list[str]]) -> list[int]:
-        none = np.zeros(LABELS)
-        emit = [sum((self.weights.get(n, none) for n in ns), none) for ns in names]
-        best, back = self.moves[OUTSIDE] + emit[0], []
-        for e in emit[1:]:
-            way = best[:, None] + self.moves
-            back.append(way.argmax(axis=0))
-            best = way.max(axis=0) + e
-        tags = [int((best + self.moves[:, OUTSIDE]).argmax())]
-        for b in reversed(back):
-            tags.append(int(b[tags[-1]]))
-        return tags[::-1]
-
-    def tag(self, tokens: list[str]) -> dict[int, int]:
-        """Tags of the tokens that aren't outside, by place."""
-        runs = windows(tokens) if self.prunes else [(0, len(tokens))] if tokens else []
-        if not runs:
-            return {}
-        file = file_features(tokens)
-        tags = {}
+    def emissions(self, tokens: list[str], runs: list[tuple[int, int]], file: int) -> list[np.ndarray]:
+        """For each run of tokens, the score of each token's tags: the sum of ``features``' weights."""
+        out = []
+        edge = (0, 0, 0, True)
         for start, end in runs:
-            for i, t in enumerate(self.viterbi([features(tokens, j, file) for j in range(start, end)])):
-                if t != OUTSIDE:
-                    tags[start + i] = t
-        return tags
+            shapes = [shape_of(tokens[i]) if 0 <= i < len(tokens) else edge for i in range(start - REACH, end + REACH)]
+            kind, size, turns, plain = (np.array(x) for x in zip(*shapes))
+            n = end - start
+            own, size, turns, mine = (x[REACH : REACH + n] for x in (kind, size, turns, plain))
+            at = lambda k: kind[REACH + k : REACH + k + n]
+            quiet = np.ones(n, bool)
+            for k in range(-REACH, REACH + 1):
+                quiet &= plain[REACH + k : REACH + k + n]
+            key = ((at(-1) == _KIND_AT["key"]) | (at(-2) == _KIND_AT["key"])).astype(int)
+            score = self.near["own"][own] + np.where(mine[:, None], self.plain_shape[own], self.shape[own, size]) + self.turns[own, turns]
+            for k, name in ((-1, "before"), (-2, "before2"), (1, "after"), (2, "after2")):
+                score += self.near[name][at(k)]
+            score += self.key[key, own] + self.file[file, own]
+            out.append(np.where(quiet[:, None], self.flat, score))
+        return out
+
+    def viterbi(self, emits: list[np.ndarray]) -> list[np.ndarray]:
+        """The best tags of each run, all runs together, a token a step."""
+        order = sorted(range(len(emits)), key=lambda i: -len(emits[i]))
+        lengths = np.array([len(emits[i]) for i in order])
+        first = np.cumsum(lengths) - lengths
+        flat = np.concatenate([emits[i] for i in order])
+        best, back = self.moves[OUTSIDE] + flat[first], []
+        for t in range(1, int(lengths[0])):
+            open_ = int(np.searchsorted(-lengths, -t))  # runs with a token t
+            way = best[:open_, :, None] + self.moves
+            back.append(way.argmax(axis=1).astype(np.int8))
+            best = np.concatenate((way.max(axis=1) + flat[first[:open_] + t], best[open_:]))
+        tags = np.zeros(len(flat), np.int8)
+        now = (best + self.moves[:, OUTSIDE]).argmax(axis=1)
+        tags[first + lengths - 1] = now
+        for t in range(int(lengths[0]) - 1, 0, -1):
+            step = back[t - 1]
+            now[: len(step)] = step[np.arange(len(step)), now[: len(step)]]
+            tags[first[: len(step)] + t - 1] = now[: len(step)]
+        out: list[np.ndarray] = [tags] * len(emits)
+        for i, a, n in zip(order, first, lengths):
+            out[i] = tags[a : a + n]
+        return out
 
     def spans(self, text: str) -> list[tuple[int, int]]:
-        tags = self.tag(TOKEN.findall(text))
-        if not tags:
-            return []
-        places = [m.span() for m in TOKEN.finditer(text)]
-        found: list[list[int]] = []
-        for i in sorted(tags):
-            if tags[i] == INSIDE and found and i - 1 in tags:
-                found[-1][1] = places[i][1]
-            else:
-                found.append(list(places[i]))
-        return [(a, b) for a, b in found]
+        return self.spans_of([text])[0]
+
+    def spans_of(self, texts: list[str]) -> list[list[tuple[int, int]]]:
+        """Of each text, (start, end) of what is tagged begin or inside."""
+        found: list[list[tuple[int, int]]] = [[] for _ in texts]
+        sought, emits = [], []
+        for row, text in enumerate(texts):
+            tokens = TOKEN.findall(text)
+            runs = windows(tokens) if self.prunes else [(0, len(tokens))] if tokens else []
+            if runs:
+                sought += [(row, start) for start, _ in runs]
+                emits += self.emissions(tokens, runs, file_features(tokens))
+        if not emits:
+            return found
+        tagged: dict[int, dict[int, int]] = {}
+        for (row, start), tags in zip(sought, self.viterbi(emits)):
+            for i in np.flatnonzero(tags != OUTSIDE).tolist():
+                tagged.setdefault(row, {})[start + i] = int(tags[i])
+        for row, tags in tagged.items():
+            places = [m.span() for m in TOKEN.finditer(texts[row])]
+            own: list[list[int]] = []
+            for i in sorted(tags):
+                if tags[i] == INSIDE and own and i - 1 in tags:
+                    own[-1][1] = places[i][1]
+                else:
+                    own.append(list(places[i]))
+            found[row] = [(a, b) for a, b in own]
+        return found
 
 
 def windows(tokens: list[str]) -> list[tuple[int, int]]:
@@ -202,8 +277,9 @@ def windows(tokens: list[str]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in runs]
 
 
-def labelled_windows(text: str, raw: bytes) -> list[tuple[list[str], list[int], str]]:
-    """(tokens, tags, file) of the windows of a text, with some plain words around; tags from the base spans."""
+def labelled_windows(text: str, raw: bytes) -> list[tuple[list[str], list[int], int]]:
+    """(tokens, tags, file) of the windows of a text, with some plain words around, cut into
+    parts of WINDOW tokens; tags from the base spans."""
     tokens = TOKEN.findall(text)
     runs = windows(tokens)
     if not runs:
@@ -222,12 +298,13 @@ def labelled_windows(text: str, raw: bytes) -> list[tuple[list[str], list[int],
     out = []
     for start, end in runs:
         start, end = max(0, start - REACH), min(len(tokens), end + REACH)
-        if end - start <= 60:
-            out.append((tokens[start:end], tags[start:end], file))
+        for at in range(start, end, WINDOW):
+            stop = min(end, at + WINDOW)
+            out.append(([t[:TOKEN_CHARS] for t in tokens[at:stop]], tags[at:stop], file))
     return out
 
 
-def fit(samples: list[tuple[list[str], list[int], str]]) -> Field:
+def fit(samples: list[tuple[list[str], list[int], int]]) -> Field:
     """Maximum likelihood with a ridge, by Adam; windows are padded and worked on together."""
     names: dict[str, int] = {}
     longest = max(len(s[0]) for s in samples)
@@ -304,25 +381,28 @@ def marginals(emit: np.ndarray, moves: np.ndarray, there: np.ndarray) -> tuple[n
 
 
 def train(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Field | None:
-    """The field of a bounded sample; None if the sample shows no secret."""
+    """The field of a bounded sample of windows; None if no document shows a secret."""
     rows = docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
     n = rows.count()
-    if n > SAMPLE_DOCS:
-        rows = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < int((1 << 40) * SAMPLE_DOCS / n)).limit(2 * SAMPLE_DOCS)
+    share = min(1 << 40, (1 << 40) * SAMPLE_DOCS // max(1, n))
+    rows = rows.withColumn("sampled", F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < share)
 
     def run(batch: pa.RecordBatch) -> dict:
-        out: dict[str, list] = {"id": [], "tokens": [], "tags": [], "file": []}
-        for doc, raw in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1))):
-            for tokens, tags, file in labelled_windows(raw.decode(), raw):
-                for name, value in zip(out, (doc, tokens, tags, file)):
-                    out[name].append(value)
+        out: dict[str, list] = {"id": [], "tokens": [], "tags": [], "file": [], "secret": []}
+        for doc, raw, sampled in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            text = raw.decode()
+            if sampled or base_spans(text, raw):
+                for tokens, tags, file in labelled_windows(text, raw):
+                    secret = any(t != OUTSIDE for t in tags)
+                    if secret or sampled:
+                        for name, value in zip(out, (doc, tokens, tags, file, secret)):
+                            out[name].append(value)
         return out
 
-    found = map_batches(rows, "id bigint, tokens array<string>, tags array<int>, file string", run)
-    secret = F.exists("tags", lambda t: t != OUTSIDE)
-    order = (F.xxhash64("id"), F.col("id"), F.xxhash64("tokens"))
+    found = settle(map_batches(rows, "id bigint, tokens array<string>, tags array<int>, file int, secret boolean", run), "windows")
+    order = (F.xxhash64("id"), F.col("id"), F.xxhash64("tokens"), F.col("tags"))
     half = TRAIN_WINDOWS // 2
-    picked = [found.filter(c).orderBy(*order).limit(half).select("tokens", "tags", "file").collect() for c in (secret, ~secret)]
+    picked = [found.filter(c).orderBy(*order).limit(half).select("tokens", "tags", "file").collect() for c in (F.col("secret"), ~F.col("secret"))]
     samples = [(list(r.tokens), list(r.tags), r.file) for part in picked for r in part]
     return fit(samples) if picked[0] else None
 
@@ -334,10 +414,11 @@ def secret_scan(docs: DataFrame, field: Field | None, key: str = "doc_id", text:
 
     def run(batch: pa.RecordBatch) -> dict:
         base, added = [], []
-        for raw in text_bytes(batch.column(1)):
-            text = raw.decode()
+        raws = text_bytes(batch.column(1))
+        texts = [raw.decode() for raw in raws]
+        tagged = shared.value.spans_of(texts) if shared.value else [[]] * len(texts)
+        for text, raw, more in zip(texts, raws, tagged):
             fixed = base_spans(text, raw)
-            more = shared.value.spans(text) if shared.value else []
             more = [(a, b, "field") for a, b in more if not any(a < e and s < b for s, e, _ in fixed)]
             for out, spans in ((base, fixed), (added, more)):
                 out.append([{"start": a, "stop": b, "kind": k} for a, b, k in spans])
@@ -360,5 +441,3 @@ def secret_digest(docs: DataFrame) -> DataFrame:
         F.sha2(shown(F.col("base")).cast("binary"), 256).alias("base_sha256"),
         shown(ranked).alias("spans"),
     )
-
-

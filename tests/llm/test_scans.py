@@ -1,7 +1,9 @@
 import random
 import re
 import time
+from itertools import product
 
+import numpy as np
 import pytest
 
 from facetry.llm import license_scan as L
@@ -174,11 +176,48 @@ def test_pruned_decoding_is_exact():
         assert field.spans(text) == whole.spans(text)
 
 
-def test_marginals_against_enumeration():
-    from itertools import product
+def test_emissions_are_the_features_weights():
+    field = trained()
+    for text in SECRETS[:10] + PLAIN[:10] + ["", "a=b", "token: AbCdEf0123456789AbCdEf é—ß 12 0xff" + " x" * 9]:
+        tokens = S.TOKEN.findall(text)
+        if not tokens:
+            continue
+        file = S.file_features(tokens)
+        (got,) = field.emissions(tokens, [(0, len(tokens))], file)
+        for i, row in enumerate(got):
+            want = sum((field.weights.get(f, np.zeros(3)) for f in S.features(tokens, i, file)), np.zeros(3))
+            assert np.allclose(row, want), (text, i)
+
+
+def test_viterbi_against_enumeration():
+    rng = np.random.default_rng(5)
+    field = S.Field({}, rng.normal(size=(3, 3)))
+    emits = [rng.normal(size=(n, 3)) for n in (4, 1, 6, 2, 6)]
+    for emit, tags in zip(emits, field.viterbi(emits)):
+        def score(path):
+            full = [S.OUTSIDE, *path, S.OUTSIDE]
+            return sum(emit[i, t] for i, t in enumerate(path)) + sum(field.moves[a, b] for a, b in zip(full, full[1:]))
+
+        assert tags.tolist() == list(max(product(range(3), repeat=len(emit)), key=score))
 
-    import numpy as np
 
+def test_long_windows_are_cut_not_dropped():
+    dense = " ".join(f"k{i}={i}" for i in range(200)) + " password=" + "ab12" * 500
+    parts = S.labelled_windows(dense, dense.encode())
+    assert len(parts) > 5 and all(len(t) <= S.WINDOW and max(map(len, t)) <= S.TOKEN_CHARS for t, _, _ in parts)
+    assert sum(len(t) for t, _, _ in parts) == len(S.TOKEN.findall(dense)) and any(S.BEGIN in m for _, m, _ in parts)
+
+
+def test_rare_secrets_are_learnt(spark, monkeypatch):
+    """Secrets outside the sampled documents train the field, too; other columns' names don't matter."""
+    monkeypatch.setattr(S, "SAMPLE_DOCS", 20)
+    rows = [(i, t, "x", 1) for i, t in enumerate(["plain words only here"] * 3000 + SECRETS[:40] + PLAIN[:40])]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, base string, spans int")
+    field = S.train(df)
+    assert field is not None and len(S.secret_scan(df, field).filter("size(base) > 0").collect()) == 40
+
+
+def test_marginals_against_enumeration():
     rng = np.random.default_rng(3)
     emit, moves = rng.normal(size=(1, 4, 3)), rng.normal(size=(3, 3))
     tags, pairs = S.marginals(emit, moves, np.ones((1, 4), bool))

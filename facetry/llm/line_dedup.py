@@ -13,19 +13,23 @@ A key is the 128-bit hash of its line as two longs, so a table row has a bounded
 ``LineIndex.insert`` adds documents and ``delete`` takes documents out again: counts go
 up and down by the documents' own keys, and a shard's filter inserts keys that reach
 ``min_docs`` and deletes keys that fall below it, touching no other key. Deleting what
-was inserted restores every table.
+was inserted restores every table. A change reads the tables but writes only what it
+changes, as a layer over them; every ``LAYERS`` changes the layers are merged, and if the
+repeated keys have outgrown their shards, the filters are dealt to more shards.
 
-Dropping lines: the filters, which hold about two bytes a repeated key, go to the
-tasks; a line that its shard's filter doesn't know stays, without a look-up. Lines that
-pass are joined with the exact counts, which removes the filter's false positives. If
-the filters outgrow ``FILTER_BYTES`` they aren't sent, and all lines take the exact join.
+Dropping lines: a line that its shard's filter doesn't know stays, without a look-up.
+Lines that pass are joined with the exact counts, which removes the filter's false
+positives. Filters hold about two bytes a repeated key; up to ``FILTER_BYTES`` all of them
+go to all tasks, beyond that every filter goes to the lines of its shard, which are
+parted into blocks of about ``BLOCK_ROWS`` lines, so that no shard is too large for a task.
 
 A key with ``min_docs`` references loses all its lines except in the largest document
 that holds it.
 
 Edge cases: a null or empty text is one empty line; a null id counts as one document
 below all others; repeated rows hold the same keys once and are each returned; an empty
-table gives an empty result; extra columns are ignored.
+table gives an empty result; extra columns are ignored. Inserting a document that is
+held raises an error, since its lines would count twice.
 """
 
 from __future__ import annotations
@@ -46,6 +50,10 @@ MIN_DOCS = 5
 SHARD_KEYS = 1 << 16
 #: Filters are broadcast up to this many bytes.
 FILTER_BYTES = 64 << 20
+#: Lines of a shard that one task checks at a time where filters aren't broadcast.
+BLOCK_ROWS = 1 << 20
+#: Changes after which the layers of an index are merged.
+LAYERS = 8
 #: Stands for a null id.
 NO_ID = -(1 << 63)
 _BLANKS = BLANKS.encode()
@@ -179,8 +187,8 @@ def build_filters(repeated: DataFrame) -> DataFrame:
 
 
 def update_filters(filters: DataFrame, changes: DataFrame, counts: DataFrame, min_docs: int) -> DataFrame:
-    """Filters after keys in ``changes`` (shard, k2, step) were inserted (1) or deleted (-1).
-    A filter without room is built anew from the exact counts of its shard."""
+    """Filters of the shards in ``changes`` (shard, k2, step), after keys were inserted (1) or
+    deleted (-1). A filter without room is built anew from the exact counts of its shard."""
 
     def change(key: tuple, old: pa.Table, new: pa.Table) -> pa.Table:
         shard = key[0].as_py() if hasattr(key[0], "as_py") else key[0]
@@ -191,20 +199,26 @@ def update_filters(filters: DataFrame, changes: DataFrame, counts: DataFrame, mi
         fits = made.insert(np.sort(hashes[steps > 0]))
         return pa.table({"shard": pa.array([shard], pa.int32()), "slots": pa.array([made.slots.tobytes() if fits else None], pa.binary())})
 
-    changed = filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, "shard int, slots binary")
-    changed = settle(changed, "filters")
+    touched = filters.join(changes.select("shard").distinct(), "shard", "left_semi")
+    changed = settle(touched.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(change, "shard int, slots binary"), "filters")
     full = changed.filter("slots IS NULL").select("shard")
     if full.isEmpty():
         return changed
-    anew = build_filters(counts.filter(F.col("n_docs") >= min_docs).join(F.broadcast(full), "shard", "left_semi"))
-    return changed.filter("slots IS NOT NULL").union(anew)
+    anew = build_filters(counts.filter(F.col("n_docs") >= min_docs).join(full, "shard", "left_semi"))
+    return settle(changed.filter("slots IS NOT NULL").union(anew), "filters")
+
+
+def overlaid(below: DataFrame, above: DataFrame, by: list[str]) -> DataFrame:
+    """Rows of ``above``, and those of ``below`` whose ``by`` it lacks."""
+    return below.join(above.select(*by), by, "left_anti").select(*below.columns).union(above.select(*below.columns))
 
 
 class LineIndex:
     """The state of an incremental line dedup: postings, counts and filters as tables."""
 
-    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_docs: int):
-        self.postings, self.counts, self.filters, self.shards, self.min_docs = postings, counts, filters, shards, min_docs
+    def __init__(self, postings: DataFrame, counts: DataFrame, filters: DataFrame, shards: int, min_docs: int, layers: int = 0):
+        self.postings, self.filters, self.shards, self.min_docs, self.layers = postings, filters, shards, min_docs, layers
+        self.counts = with_shard(counts.select("k1", "k2", "n_docs", "last_doc"), shards)
 
     @classmethod
     def build(cls, docs: DataFrame, min_docs: int = MIN_DOCS, key: str = "doc_id", text: str = "text") -> LineIndex:
@@ -216,47 +230,69 @@ class LineIndex:
             postings = postings.distinct()
         postings = settle(postings, "postings")
         counts = settle(count_keys(postings), "counts")
+        shards, filters = cls.dealt(counts, min_docs)
+        return cls(postings, counts, filters, shards, min_docs)
+
+    @staticmethod
+    def dealt(counts: DataFrame, min_docs: int) -> tuple[int, DataFrame]:
+        """(number of shards, their filters) of all repeated keys."""
         repeated = counts.filter(F.col("n_docs") >= min_docs)
         shards = 1 + repeated.count() // SHARD_KEYS
-        counts = with_shard(counts, shards)
-        filters = settle(build_filters(with_shard(repeated, shards)), "filters")
-        return cls(postings, counts, filters, shards, min_docs)
+        return shards, settle(build_filters(with_shard(repeated, shards)), "filters")
 
-    def _apply(self, delta: DataFrame, postings: DataFrame) -> LineIndex:
-        """State after key counts changed by ``delta`` (k1, k2, step)."""
-        touched = delta.groupBy("k1", "k2").agg(F.sum("step").alias("step"))
-        # the largest document of a touched key is read off the new postings of those keys
-        latest = count_keys(postings.join(touched.select("k1", "k2"), ["k1", "k2"], "left_semi"))
-        old = self.counts.select("k1", "k2", F.col("n_docs").alias("before"))
-        moved = settle(
-            touched.join(old, ["k1", "k2"], "left").join(latest, ["k1", "k2"], "left").withColumns({"before": F.coalesce("before", F.lit(0)), "n_docs": F.coalesce("n_docs", F.lit(0))}),
-            "moved",
-        )
-        kept = self.counts.join(moved.select("k1", "k2"), ["k1", "k2"], "left_anti").select("k1", "k2", "n_docs", "last_doc")
-        counts = settle(kept.union(moved.filter("n_docs > 0").select("k1", "k2", "n_docs", "last_doc")), "counts")
-        counts = with_shard(counts, self.shards)
+    def _changed(self, postings: DataFrame, moved: DataFrame) -> LineIndex:
+        """The index after the keys of ``moved`` (k1, k2, before, n_docs, last_doc) took new counts."""
+        counts = overlaid(self.counts.drop("shard"), moved, ["k1", "k2"]).filter("n_docs > 0")
         now, was = F.col("n_docs") >= self.min_docs, F.col("before") >= self.min_docs
-        changes = with_shard(moved.filter(now != was), self.shards).select("shard", "k2", F.when(now, 1).otherwise(-1).alias("step"))
-        filters = settle(update_filters(self.filters, changes, counts, self.min_docs), "filters")
-        return LineIndex(postings, counts, filters, self.shards, self.min_docs)
+        changes = settle(with_shard(moved.filter(now != was), self.shards).select("shard", "k2", F.when(now, 1).otherwise(-1).alias("step")), "changes")
+        filters = self.filters
+        if not changes.isEmpty():
+            filters = overlaid(filters, update_filters(filters, changes, with_shard(counts, self.shards), self.min_docs), ["shard"])
+        made = LineIndex(postings, counts, filters, self.shards, self.min_docs, self.layers + 1)
+        return made.merged() if made.layers >= LAYERS else made
+
+    def merged(self) -> LineIndex:
+        """The same index with its layers written as one table each."""
+        postings, counts = settle(self.postings, "postings"), settle(self.counts.drop("shard"), "counts")
+        repeated = counts.filter(F.col("n_docs") >= self.min_docs).count()
+        if repeated // SHARD_KEYS > 2 * self.shards:
+            shards, filters = self.dealt(counts, self.min_docs)
+        else:
+            shards, filters = self.shards, settle(self.filters, "filters")
+        return LineIndex(postings, counts, filters, shards, self.min_docs)
 
     def insert(self, docs: DataFrame, key: str = "doc_id", text: str = "text") -> LineIndex:
         """The index with ``docs``, whose ids must be new to it."""
         own = settle(postings_of(docs, key, text).distinct(), "postings")
-        return self._apply(own.select("k1", "k2", F.lit(1).alias("step")), settle(self.postings.union(own), "postings"))
+        if not self.postings.join(own.select("doc_id").distinct(), "doc_id", "left_semi").isEmpty():
+            raise ValueError("documents to insert are already in the index: delete them first")
+        new = count_keys(own).withColumnRenamed("last_doc", "new_last").withColumnRenamed("n_docs", "step")
+        old = self.counts.select("k1", "k2", F.col("n_docs").alias("held"), "last_doc")
+        before = F.coalesce("held", F.lit(0))
+        moved = new.join(old, ["k1", "k2"], "left").select(
+            "k1", "k2", before.alias("before"), (before + F.col("step")).alias("n_docs"), F.greatest("last_doc", "new_last").alias("last_doc")
+        )
+        return self._changed(self.postings.union(own), settle(moved, "moved"))
 
     def delete(self, ids: DataFrame) -> LineIndex:
         """The index without the documents in the single column of ``ids``."""
-        gone = ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct()
-        own = self.postings.join(gone, "doc_id")
-        rest = settle(self.postings.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id"), "postings")
-        return self._apply(own.select("k1", "k2", F.lit(-1).alias("step")), rest)
+        gone = settle(ids.select(F.coalesce(F.col(ids.columns[0]).cast("long"), F.lit(NO_ID)).alias("doc_id")).distinct(), "gone")
+        rest = self.postings.join(gone, "doc_id", "left_anti").select("k1", "k2", "doc_id")
+        lost = count_keys(self.postings.join(gone, "doc_id", "left_semi")).select("k1", "k2", F.col("n_docs").alias("step"), F.col("last_doc").alias("gone_last"))
+        touched = settle(self.counts.join(lost, ["k1", "k2"]), "touched")
+        # where the largest document went, the remaining postings of the key tell the next
+        open_ = touched.filter((F.col("gone_last") == F.col("last_doc")) & (F.col("n_docs") > F.col("step")))
+        latest = rest.join(open_.select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.max("doc_id").alias("next_last"))
+        moved = touched.join(latest, ["k1", "k2"], "left").select(
+            "k1", "k2", F.col("n_docs").alias("before"), (F.col("n_docs") - F.col("step")).alias("n_docs"), F.coalesce("next_last", "last_doc").alias("last_doc")
+        )
+        return self._changed(rest, settle(moved, "moved"))
 
     def maybe_repeated(self) -> DataFrame:
         """Postings that their shard's filter knows: all that repeat, and a few more."""
         size = self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0
         if size > FILTER_BYTES:
-            return self.postings
+            return self.maybe_repeated_by_shard()
         held = {r[0]: CuckooFilter(np.frombuffer(r[1], np.uint16).reshape(-1, CuckooFilter.SLOTS)) for r in self.filters.collect()}
         shared = self.postings.sparkSession.sparkContext.broadcast(held)
         shards = self.shards
@@ -274,6 +310,23 @@ class LineIndex:
 
         return self.postings.mapInArrow(run, self.postings.schema)
 
+    def maybe_repeated_by_shard(self) -> DataFrame:
+        """The same, with every filter met by the postings of its shard, a block at a time."""
+        placed = with_shard(self.postings, self.shards)
+        blocks = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))  # a row a shard
+        blocks = settle(blocks, "blocks")
+        left = placed.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("doc_id"), "blocks").cast("int")).drop("blocks")
+        right = self.filters.join(blocks, "shard").select("shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "slots")
+
+        def check(postings: pa.Table, filters: pa.Table) -> pa.Table:
+            postings = postings.select(["k1", "k2", "doc_id"])
+            if not filters.num_rows:
+                return postings.slice(0, 0)
+            known = CuckooFilter(np.frombuffer(filters["slots"][0].as_py(), np.uint16).reshape(-1, CuckooFilter.SLOTS))
+            return postings.filter(pa.array(known.contains(postings["k2"].to_numpy())))
+
+        return left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(check, self.postings.schema)
+
     def drops(self) -> DataFrame:
         """(doc_id, keys): of each document that loses lines, the keys it loses."""
         repeated = self.counts.filter(F.col("n_docs") >= self.min_docs).select("k1", "k2", "last_doc")
@@ -283,10 +336,13 @@ class LineIndex:
     def save(self, path: str) -> None:
         for name in ("postings", "counts", "filters"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        spark = self.postings.sparkSession
+        spark.createDataFrame([(self.shards, self.min_docs)], "shards int, min_docs int").write.mode("overwrite").parquet(f"{path}/parameters")
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str, shards: int, min_docs: int = MIN_DOCS) -> LineIndex:
-        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "counts", "filters")), shards, min_docs)
+    def load(cls, spark: SparkSession, path: str) -> LineIndex:
+        told = spark.read.parquet(f"{path}/parameters").first()
+        return cls(*(spark.read.parquet(f"{path}/{n}") for n in ("postings", "counts", "filters")), told.shards, told.min_docs)
 
 
 def drop_lines(docs: DataFrame, index: LineIndex, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -5,6 +5,7 @@ from collections import defaultdict
 import numpy as np
 import pytest
 
+from facetry.llm import line_dedup
 from facetry.llm.line_dedup import NO_ID, CuckooFilter, LineIndex, dedup_digest, drop_lines
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -72,6 +73,45 @@ def test_built_is_inserted(spark):
     assert state(grown) == state(whole)
 
 
+def test_filters_by_shard(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 8)
+    monkeypatch.setattr(line_dedup, "BLOCK_ROWS", 50)
+    rows = [(i, "\n".join(f"line {j} of many, which several of the documents hold" for j in [*range(60), 1000 + i] if (i * j) % 4 == 0 or j > 60)) for i in range(40)]
+    index = LineIndex.build(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert index.shards > 3
+    want = sorted(map(tuple, index.maybe_repeated().collect()))
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", 0)
+    assert sorted(map(tuple, index.maybe_repeated().collect())) == want and 0 < len(want) < index.postings.count()
+    assert sorted(map(tuple, dedup_digest(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()), key=str) == brute(rows)
+
+
+def test_held_documents_are_not_inserted_again(spark):
+    df = spark.createDataFrame([(i, LONG) for i in range(6)], "doc_id bigint, text string")
+    index = LineIndex.build(df)
+    with pytest.raises(ValueError, match="already"):
+        index.insert(df.limit(2))
+    assert state(index.delete(df.filter("doc_id < 2").select("doc_id")).insert(df.filter("doc_id < 2"))) == state(index)
+
+
+def test_many_changes_are_merged(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(line_dedup, "LAYERS", 2)
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    line = lambda j: f"line {j} of many, which several of the documents hold"
+    part = lambda at: spark.createDataFrame([(i, "\n".join(line(j) for j in range(i % 30))) for i in range(at, at + 10)], "doc_id bigint, text string")
+    index = LineIndex.build(part(0))
+    for at in (10, 20, 30):
+        index = index.insert(part(at))
+    index = index.delete(part(10).select("doc_id"))
+    whole = LineIndex.build(part(0).union(part(20)).union(part(30)))
+    counts = lambda x: sorted(map(tuple, x.counts.drop("shard").collect()))
+    assert counts(index) == counts(whole) and index.layers < 2 and index.shards > 1
+    index.save(str(tmp_path / "index"))
+    back = LineIndex.load(spark, str(tmp_path / "index"))
+    assert (back.shards, back.min_docs) == (index.shards, index.min_docs)
+    drops = lambda x: sorted((r.doc_id, sorted(map(tuple, r["keys"]))) for r in x.drops().collect())
+    assert drops(back) == drops(whole) == drops(index)
+
+
 @pytest.mark.parametrize("n", [0, 1, 5000])
 def test_cuckoo_filter(n):
     random.seed(1)

@@ -13,18 +13,24 @@ significant slice downward: rows known to be in the top k, rows still tied. The
 tied at the boundary are resolved exactly, by score and then smaller id.
 
 Blocks report k rows a query at most, and the best k of those are the result. Queries
-go to the tasks ``QUERIES`` at a time, so what is broadcast doesn't grow.
-
-Edge cases: null vectors and vectors with null or non-finite components take no part,
-as query or candidate; vectors of another length than the query's aren't its
-candidates; a null id takes no part; equal scores go by smaller id; a repeated row is a
-candidate each time but one query, never its own candidate; an empty table gives an empty
-result; extra columns are ignored. Scores must fit 62 bits: a block and query whose
-bound is larger raise an error rather than wrap.
+go to the tasks ``QUERIES`` at a time; each part is a job of its own whose result is
+written before the next part is sent, so neither a plan nor what is broadcast grows.
+
+Edge cases: null vectors and vectors with null or non-finite components (256 x that is
+no finite double counts as such) take no part, as query or candidate; vectors of another
+length than the query's aren't its candidates; a null id takes no part; equal scores go by
+smaller id; a repeated row is a candidate each time but one query, never its own candidate;
+an empty table gives an empty result; extra columns are ignored. Vectors with a component
+beyond ``WIDE`` aren't sliced, and where scores might not fit 62 bits slices aren't added:
+there scores are added up as integers of any length. A score beyond a long is returned as
+the nearest long and ranked as a double.
 """
 
 from __future__ import annotations
 
+import heapq
+import sys
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_type, settle, shuffle_partitions
+from .common import arrow_type, scratch_dir, settle, shuffle_partitions
 
 SCALE = 256
 TOP = 5
@@ -41,15 +47,25 @@ EVERY = 50
 BLOCK = 8192
 #: Queries in one broadcast.
 QUERIES = 8192
-INDEX = "dims int, ids binary, low binary, bits binary, slices binary"
+#: Quantised components from here on are kept as they are.
+WIDE = float(1 << 40)
+LONGEST = (1 << 63) - 1
+LARGEST = int(sys.float_info.max)
+#: ``values`` has the components of a block that isn't sliced.
+INDEX = "dims int, ids binary, low binary, bits binary, slices binary, values binary"
+
+
+RESULT = "query_id bigint, rank int, vec_id bigint, score bigint"
+TYPES = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
 
 
 def quantised(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, q): floor(256 x) of usable vectors, as longs."""
-    x = F.col(vector).cast("array<double>")
+    """(id, q): floor(256 x) of usable vectors, as doubles (which hold it exactly)."""
+    x = F.transform(F.col(vector).cast("array<double>"), lambda v: v * SCALE)
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     used = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite & (F.size(vector) > 0))
-    return used.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.floor(v * SCALE).cast("long")).alias("q"))
+    # doubles beyond 2^53 are whole already
+    return used.select(F.col(key).cast("long").alias("id"), F.transform(x, lambda v: F.when(F.abs(v) < float(1 << 53), F.floor(v).cast("double")).otherwise(v)).alias("q"))
 
 
 def matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -59,8 +75,8 @@ def matrix(column: pa.Array, dims: int) -> np.ndarray:
 class Block:
     """Bitmaps of a block: ``slices[d]`` has ``bits[d]`` rows of packed words."""
 
-    def __init__(self, ids: np.ndarray, low: np.ndarray, bits: np.ndarray, slices: np.ndarray):
-        self.ids, self.low, self.bits, self.slices = ids, low, bits, slices
+    def __init__(self, ids: np.ndarray, low: np.ndarray, bits: np.ndarray, slices: np.ndarray, values: np.ndarray | None = None):
+        self.ids, self.low, self.bits, self.slices, self.wide = ids, low, bits, slices, values
         self.first = np.concatenate(([0], np.cumsum(bits)))
         self.words = -(-len(ids) // 64)
         self.rows = np.full(self.words, ~np.uint64(0))
@@ -69,6 +85,9 @@ class Block:
 
     @classmethod
     def of(cls, ids: np.ndarray, values: np.ndarray) -> Block:
+        if np.abs(values).max(initial=0) >= WIDE:
+            return cls(ids, np.zeros(values.shape[1], np.int64), np.zeros(values.shape[1], np.int64), np.zeros((0, -(-len(ids) // 64)), np.uint64), values)
+        values = values.astype(np.int64)
         low = values.min(axis=0)
         rest = (values - low).astype(np.uint64)
         bits = np.array([int(m).bit_length() for m in rest.max(axis=0)], np.int64)
@@ -83,12 +102,39 @@ class Block:
         return cls(ids, low, bits, slices.view(np.uint64))
 
     def row(self) -> dict:
-        return {"dims": len(self.low), "ids": self.ids.tobytes(), "low": self.low.tobytes(), "bits": self.bits.tobytes(), "slices": self.slices.tobytes()}
+        values = None if self.wide is None else self.wide.tobytes()
+        return {"dims": len(self.low), "ids": self.ids.tobytes(), "low": self.low.tobytes(), "bits": self.bits.tobytes(), "slices": self.slices.tobytes(), "values": values}
 
     @classmethod
     def read(cls, row: dict) -> Block:
         ids, low, bits = (np.frombuffer(row[n], np.int64) for n in ("ids", "low", "bits"))
-        return cls(ids, low, bits, np.frombuffer(row["slices"], np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64)))
+        values = None if row["values"] is None else np.frombuffer(row["values"], np.float64).reshape(len(ids), -1)
+        return cls(ids, low, bits, np.frombuffer(row["slices"], np.uint64).reshape(int(bits.sum()), -(-len(ids) // 64)), values)
+
+    def fits(self, query: np.ndarray) -> bool:
+        """Whether slices can be added for this query: all scores fit 62 bits."""
+        if self.wide is not None or np.abs(query).max(initial=0) >= WIDE:
+            return False
+        most = np.maximum(np.abs(self.low.astype(float)), np.abs(self.low + 2.0**self.bits))
+        return float((np.abs(query) * most).sum()) < 2.0**59
+
+    def components(self) -> list[list[int]]:
+        """The rows' components as integers of any length, read off the slices."""
+        if self.wide is not None:
+            return [[int(x) for x in row] for row in self.wide.tolist()]
+        columns = []
+        for d, n in enumerate(self.bits.tolist()):
+            own = np.full(len(self.ids), self.low[d])
+            for b in range(n):
+                digits = np.unpackbits(self.slices[self.first[d] + b].view(np.uint8), bitorder="little")[: len(self.ids)]
+                own = own + (digits.astype(np.int64) << b)
+            columns.append(own)
+        return np.stack(columns, axis=1).tolist()
+
+    def top_of_any_length(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
+        sought = [int(x) for x in query.tolist()]
+        scored = ((sum(a * b for a, b in zip(sought, row)), int(i)) for i, row in zip(self.ids, self.components()) if i != own_id)
+        return heapq.nsmallest(k, scored, key=lambda x: (-x[0], x[1]))
 
     def addends(self, query: np.ndarray) -> tuple[dict[int, list[np.ndarray]], int]:
         """Bitmaps to add up by weight, and the constant that completes the score."""
@@ -107,8 +153,6 @@ class Block:
                 if q >> j & 1:
                     for b in range(n):
                         by_weight.setdefault(b + j, []).append(own[b])
-        if by_weight and max(by_weight) + 1 + int(np.log2(sum(map(len, by_weight.values())) + 1)) >= 62:
-            raise ValueError("scores of a query don't fit 62 bits")
         return by_weight, constant
 
     def score_slices(self, by_weight: dict[int, list[np.ndarray]]) -> list[np.ndarray]:
@@ -135,6 +179,9 @@ class Block:
 
     def top(self, query: np.ndarray, own_id: int, k: int) -> list[tuple[int, int]]:
         """(score, id) of the k best rows, without the query's own id; best first."""
+        if not self.fits(query):
+            return self.top_of_any_length(query, own_id, k)
+        query = query.astype(np.int64)
         by_weight, constant = self.addends(query)
         slices = self.score_slices(by_weight)
         tied = self.rows.copy()
@@ -167,25 +214,29 @@ def rows_of(bitmap: np.ndarray) -> np.ndarray:
 
 
 def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """A row for each block of vectors of one length: ids, smallest values, bit counts, slices."""
+    """A row for each block of vectors of one length: ids, smallest values, bit counts, slices.
+    Vectors with wide components have blocks of their own."""
     out = arrow_type(vectors.sparkSession.createDataFrame([], INDEX).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        held: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
 
-        def made(dims: int) -> pa.RecordBatch:
-            ids, values = (np.concatenate(x) for x in zip(*held.pop(dims)))
+        def made(kind: tuple[int, bool]) -> pa.RecordBatch:
+            ids, values = (np.concatenate(x) for x in zip(*held.pop(kind)))
             return pa.RecordBatch.from_pylist([Block.of(ids[i : i + BLOCK], values[i : i + BLOCK]).row() for i in range(0, len(ids), BLOCK)], schema=out)
 
         for batch in batches:
             lengths = np.array([len(x) for x in batch.column(1)], np.int64)
             for dims in np.unique(lengths).tolist():
                 own = batch.filter(pa.array(lengths == dims))
-                held.setdefault(dims, []).append((own.column(0).to_numpy(), matrix(own.column(1), dims)))
-                if sum(len(x[0]) for x in held[dims]) >= BLOCK:
-                    yield made(dims)
-        for dims in list(held):
-            yield made(dims)
+                ids, values = own.column(0).to_numpy(), matrix(own.column(1), dims)
+                wide = np.abs(values).max(axis=1) >= WIDE
+                for kind in np.unique(wide).tolist():
+                    held.setdefault((dims, kind), []).append((ids[wide == kind], values[wide == kind]))
+                    if sum(len(x[0]) for x in held[dims, kind]) >= BLOCK:
+                        yield made((dims, kind))
+        for kind in list(held):
+            yield made(kind)
 
     return quantised(vectors, key, vector).mapInArrow(run, INDEX)
 
@@ -193,7 +244,8 @@ def build_index(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddin
 def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
     """(query_id, rank, vec_id, score): for queries (id, q), the k best rows of the index."""
     spark = index.sparkSession
-    found = None
+    path = f"{scratch_dir(spark)}/found-{uuid.uuid4().hex}"
+    spark.createDataFrame([], RESULT).write.parquet(path)
     for part in query_parts(queries):
         shared = spark.sparkContext.broadcast(part)
 
@@ -201,23 +253,20 @@ def search(index: DataFrame, queries: DataFrame, k: int = TOP) -> DataFrame:
             for batch in batches:
                 for row in batch.to_pylist():
                     block = Block.read(row)
-                    ids, scores, rows = [], [], []
+                    found = []
                     for query_id, query in zip(*shared.value):
                         if len(query) == row["dims"]:
-                            best = block.top(query, query_id, k)
-                            ids += [query_id] * len(best)
-                            scores += [s for s, _ in best]
-                            rows += [v for _, v in best]
-                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, rows, scores)], names=["query_id", "vec_id", "score"])
+                            found += [(query_id, v, max(-LONGEST, min(LONGEST, s)), float(max(-LARGEST, min(LARGEST, s)))) for s, v in block.top(query, query_id, k)]
+                    columns = zip(*found) if found else ([], [], [], [])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, TYPES)], names=["query_id", "vec_id", "score", "place"])
 
         # a block is much work: deal blocks to all cores
-        own = index.repartition(shuffle_partitions(spark)).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
-        found = own if found is None else found.union(own)
-    if found is None:
-        return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
-    ranked = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+        found = index.repartition(shuffle_partitions(spark)).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint, place double")
+        order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("place").desc(), "vec_id")
+        best = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best.select("query_id", "rank", "vec_id", "score").write.mode("append").parquet(path)
+        shared.destroy()
+    return spark.read.schema(RESULT).parquet(path)
 
 
 def query_parts(queries: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray]]]:
@@ -226,7 +275,7 @@ def query_parts(queries: DataFrame) -> Iterator[tuple[list[int], list[np.ndarray
     vectors: list[np.ndarray] = []
     for row in queries.toLocalIterator():
         ids.append(row["id"])
-        vectors.append(np.array(row["q"], np.int64))
+        vectors.append(np.array(row["q"], np.float64))
         if len(ids) >= QUERIES:
             yield ids, vectors
             ids, vectors = [], []

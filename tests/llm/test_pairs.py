@@ -263,5 +263,20 @@ def test_topk_against_brute_force(spark, monkeypatch, block, queries):
     assert {tuple(r) for r in bitslice.search_digest(df).collect()} == want
 
 
+def test_topk_of_huge_components(spark):
+    rows = [(i, [float(i % 7 - 3), 0.5 * i]) for i in range(1, 60)] + [(100, [1e20, 0.0]), (150, [0.0, -1e15]), (200, [-1e20, 1e300]), (250, [1e307, 0.0]), (300, [4e9, 4e9]), (350, [4e9, -4e9]), (400, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    usable = [(i, [int(np.floor(256 * x)) for x in v]) for i, v in rows if np.isfinite(256 * np.array(v)).all()]
+    assert len(usable) == len(rows) - 1
+    most = (1 << 63) - 1
+    want = set()
+    for q, a in usable:
+        if q % 50 == 0:
+            scored = [(max(-most, min(most, s)), float(max(-bitslice.LARGEST, min(bitslice.LARGEST, s))), i) for i, b in usable if i != q for s in [sum(x * y for x, y in zip(a, b))]]
+            scored.sort(key=lambda x: (-x[0], -x[1], x[2]))
+            want |= {(q, n, i, s) for n, (s, _, i) in enumerate(scored[:5], 1)}
+    assert {tuple(r) for r in bitslice.search_digest(df).collect()} == want
+
+
 def test_topk_of_nothing(spark):
     assert bitslice.search_digest(spark.createDataFrame([], "vec_id bigint, embedding array<float>")).collect() == []

@@ -194,16 +194,18 @@ def pairs_of_groups(starts: np.ndarray, sizes: np.ndarray) -> Iterator[tuple[np.
 
 
 def link_groups(fps: np.ndarray, starts: np.ndarray, ends: np.ndarray, side: np.ndarray) -> list[tuple[int, int]]:
-    """Spanning links of each group; in a group of two blocks (side 0 and 1), of pairs across."""
+    """Links that span what pairs within a group connect; in a group of two blocks (side 0 and
+    1), pairs across. Groups share what they have connected: no link is told twice."""
     links: list[tuple[int, int]] = []
+    parent: dict[int, int] = {}
     sizes = ends - starts
     small = (sizes >= 2) & (sizes <= 64)
     if small.any():
         for i, j in pairs_of_groups(starts[small], sizes[small]):
             kept = verified(fps[i], fps[j])
-            links += zip(fps[i[kept]].tolist(), fps[j[kept]].tolist())
+            links += spanning(fps[i[kept]], fps[j[kept]], parent)
     for s, e in zip(starts[sizes > 64].tolist(), ends[sizes > 64].tolist()):
-        own, across, parent = fps[s:e], side[s:e], {}
+        own, across = fps[s:e], side[s:e]
         second = across.any()
         step = max(1, PAIRS // len(own))
         for at in range(0, len(own), step):

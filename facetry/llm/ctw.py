@@ -9,11 +9,18 @@ training documents. A text's score is log10 of the probability that the trained
 gives it; ``code_length`` is bits per byte.
 
 Counts come from all training documents: tasks add up the keys (context, byte) that they
-see, and Spark adds up the tasks. The tree is computed from the summed keys a piece at a
-time; a piece is a range of the two bytes nearest to the predicted one with at most
-``PIECE_KEYS`` keys, and only the tops of the trees (depths 0 and 1, dense and of a fixed
-size) are shared by pieces. A piece's table goes to the tasks by broadcast, so the
-broadcast doesn't grow; with several pieces the documents are read once for each.
+see, and Spark adds up the tasks. The tree is computed by tasks from the summed keys, a
+piece each: a piece is a range of the two bytes nearest to the predicted one with at most
+``PIECE_KEYS`` keys. Only the tops of the trees (depths 0 and 1, of a fixed size) are
+shared by pieces; they are added up first. A piece's task gives the log probability of
+each of its keys, so that scoring a text is looking up its keys.
+
+Those tables reach the tasks by broadcast, ``TABLE_KEYS`` keys of 16 bytes at a time, and a
+text is read once for each. (To join the keys of texts with the tables instead would
+shuffle ten times the texts.) Every part is a job of its own and its table is dropped
+after it, so neither the plan nor what is held grows with the keys. Keys that no training
+document has, a few of a held-out text, are collected as distinct keys and go to
+the pieces, whose tasks walk down the tree for them.
 
 The base score, a smoothed unigram model of words, has a vocabulary without bound. The
 ``TOP_WORDS`` most frequent words, the only ones that can crowd a join, are broadcast;
@@ -28,7 +35,7 @@ an empty result; extra columns are ignored; a text of any length is worked on in
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +51,8 @@ START, END = b"\n", b"\0"
 SEGMENT = 2 << 20
 #: Keys of a piece: about 100 bytes each in a task, nodes included.
 PIECE_KEYS = 2_000_000
+#: Keys whose log probabilities are broadcast at a time.
+TABLE_KEYS = 4_000_000
 #: Keys or words that a task holds before it hands on its counts.
 HELD = 1_000_000
 TOP_WORDS = 1 << 16
@@ -284,52 +293,120 @@ class Piece:
             total += np.log10(np.where(bits, one, 1 - one))
         return total
 
-    def of_texts(self, texts: list[bytes]) -> np.ndarray:
-        """This piece's share of each text's score."""
-        total = np.zeros(len(texts))
-        for docs, starts, keys in keyed_segments(texts):
-            coded = pa.array(keys).dictionary_encode()
-            distinct = coded.dictionary.to_numpy()
-            near = (distinct >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
-            value = np.zeros(len(distinct))
-            own = (near >= self.low) & (near < self.high)
-            value[own] = self.scores(distinct[own])
-            np.add.at(total, docs, np.add.reduceat(value[coded.indices.to_numpy()], starts))
-        return total
+
+def look_up(texts: list[bytes], held: np.ndarray, logs: np.ndarray, low: int, high: int) -> tuple[np.ndarray, list[dict[int, int]]]:
+    """Of each text, the sum of the log probabilities of its keys in [low, high), and how
+    often it has keys of that range that the table (``held`` in order) lacks."""
+    total = np.zeros(len(texts))
+    lacking: list[dict[int, int]] = [{} for _ in texts]
+    for docs, starts, keys in keyed_segments(texts):
+        coded = pa.array(keys).dictionary_encode()
+        distinct, places = coded.dictionary.to_numpy(), coded.indices.to_numpy()
+        own = (distinct >= np.uint64(low)) & (distinct < np.uint64(high))
+        at = np.minimum(np.searchsorted(held, distinct), max(0, len(held) - 1))
+        known = own & (held[at] == distinct) if len(held) else np.zeros(len(distinct), bool)
+        np.add.at(total, docs, np.add.reduceat(np.where(known, logs[at] if len(held) else 0.0, 0.0)[places], starts))
+        new = np.flatnonzero((own & ~known)[places])
+        if len(new):
+            of = docs[np.searchsorted(starts, new, "right") - 1]
+            for doc, key in zip(of.tolist(), keys[new].tolist()):
+                lacking[doc][key] = lacking[doc].get(key, 0) + 1
+    return total, lacking
 
 
-def pieces_of(counts: DataFrame) -> list[tuple[int, int]]:
-    """Ranges of the nearest two bytes, covering all, each with at most PIECE_KEYS keys (or
-    one pair of bytes, whose keys are bounded by 256 ** (DEPTH - 1))."""
+def pieces_of(counts: DataFrame) -> list[tuple[int, int, int]]:
+    """(low, high, keys): ranges of the nearest two bytes, covering all, each with at most
+    PIECE_KEYS keys (or one pair of bytes, whose keys are bounded by 256 ** (DEPTH - 1))."""
     near = F.shiftrightunsigned("key", 8 * (DEPTH - 1)).alias("near")
     sizes = dict(counts.groupBy(near).count().collect())  # 65,536 rows at most
-    cuts, held = [0], 0
+    cuts, held = [0], [0]
     for at in sorted(sizes):
-        if held and held + sizes[at] > PIECE_KEYS:
+        if held[-1] and held[-1] + sizes[at] > PIECE_KEYS:
             cuts.append(at)
-            held = 0
-        held += sizes[at]
-    return list(zip(cuts, [*cuts[1:], 1 << 16]))
+            held.append(0)
+        held[-1] += sizes[at]
+    return list(zip(cuts, [*cuts[1:], 1 << 16], held))
 
 
-def load(counts: DataFrame, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+def tables_of(ranges: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Ranges of keys, covering all, of neighbouring pieces with at most TABLE_KEYS keys in all."""
+    cuts, held = [0], 0
+    for low, _, n in ranges:
+        if held and held + n > TABLE_KEYS:
+            cuts.append(low)
+            held = 0
+        held += n
     shift = 8 * (DEPTH - 1)
-    got = counts.filter((F.col("key") >= low << shift) & (F.col("key") < high << shift)).toArrow()
-    keys, n = got["key"].to_numpy().view(np.uint64), got["n"].to_numpy()
+    return [(a << shift, b << shift) for a, b in zip(cuts, [*cuts[1:], 1 << 16])]
+
+
+def with_piece(keys: DataFrame, ranges: list[tuple[int, int, int]]) -> DataFrame:
+    """``keys`` with the number of the piece that they lie in."""
+    cuts = F.array(*[F.lit(low) for low, _, _ in ranges])
+    near = F.shiftrightunsigned("key", 8 * (DEPTH - 1))
+    return keys.withColumn("piece", F.size(F.filter(cuts, lambda c: c <= near)) - 1)
+
+
+def sorted_keys(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    keys, n = group["key"].to_numpy().view(np.uint64), group["n"].to_numpy()
     order = np.argsort(keys)
     return keys[order], n[order].astype(np.float64)
 
 
-def fit(counts: DataFrame) -> Iterator[Piece]:
-    """The trained tree, a piece at a time."""
-    ranges = pieces_of(counts)
-    top, kept = Top(), None
-    for low, high in ranges:
-        kept = load(counts, low, high)
-        top.add(levels_of(*kept)[-1])
-    top.finish()
-    for low, high in ranges:
-        yield Piece(low, high, *(kept if len(ranges) == 1 else load(counts, low, high)), top)
+class Tree:
+    """The trained tree, as what tasks need to compute its pieces."""
+
+    def __init__(self, counts: DataFrame):
+        self.ranges = pieces_of(counts)
+        self.counts = with_piece(counts, self.ranges)
+
+        def upper(group: pa.Table) -> pa.Table:
+            own = Top()
+            own.add(levels_of(*sorted_keys(group))[-1])
+            at = np.flatnonzero(own.zeros + own.ones)
+            return pa.table({"cell": at, **{n: getattr(own, n).ravel()[at] for n in ("zeros", "ones", "below")}})
+
+        sums = self.counts.groupBy("piece").applyInArrow(upper, "cell bigint, zeros double, ones double, below double")
+        sums = sums.groupBy("cell").agg(*[F.sum(n).alias(n) for n in ("zeros", "ones", "below")]).toArrow()  # 65,536 rows at most
+        self.top = Top()
+        for name in ("zeros", "ones", "below"):
+            getattr(self.top, name).ravel()[sums["cell"].to_numpy()] = sums[name].to_numpy()
+        self.top.finish()
+
+    def _piece(self) -> Callable[[pa.Table, int], Piece]:
+        shared = self.counts.sparkSession.sparkContext.broadcast((self.top, self.ranges))
+
+        def piece(group: pa.Table, at: int) -> Piece:
+            top, ranges = shared.value
+            return Piece(*ranges[at][:2], *sorted_keys(group), top)
+
+        return piece
+
+    def logs(self) -> DataFrame:
+        """(key, log): log10 of the probability of each trained key's byte in its context."""
+        piece = self._piece()
+
+        def run(group: pa.Table) -> pa.Table:
+            made = piece(group, group["piece"][0].as_py())
+            return pa.table({"key": made.keys.view(np.int64), "log": made.log})
+
+        return self.counts.groupBy("piece").applyInArrow(run, "key bigint, log double")
+
+    def logs_of_unseen(self, keys: DataFrame) -> DataFrame:
+        """(key, log) of distinct keys that no training document has."""
+        piece = self._piece()
+
+        def run(at: tuple, trained: pa.Table, sought: pa.Table) -> pa.Table:
+            own = sought["key"].to_numpy()
+            if not len(own):
+                return pa.table({"key": pa.array([], pa.int64()), "log": pa.array([], pa.float64())})
+            number = at[0].as_py() if hasattr(at[0], "as_py") else at[0]
+            made = piece(trained.select(["key", "n"]), number)
+            logs = np.concatenate([made.unseen(own[i : i + SEGMENT].view(np.uint64)) for i in range(0, len(own), SEGMENT)])
+            return pa.table({"key": own, "log": logs})
+
+        sought = with_piece(keys, self.ranges)
+        return self.counts.groupBy("piece").cogroup(sought.groupBy("piece")).applyInArrow(run, "key bigint, log double")
 
 
 def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,15 +424,30 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     floor = float(np.log10(tokens + SMOOTHING * (distinct + 1)))
     top = {r.word.encode(): float(np.log10(r.n + SMOOTHING)) for r in words.orderBy(F.col("n").desc(), "word").limit(TOP_WORDS).collect()}
     end = float(np.log10(n_training + SMOOTHING))
-    pieces = fit(counts)
-    shared = spark.sparkContext.broadcast((next(pieces), top))
+    tree = Tree(counts)
+    logs = settle(tree.logs(), "logs")
+    tables = tables_of(tree.ranges)
     numbered = rows.withColumn("row", F.monotonically_increasing_id())
-    rest = next(pieces, None)
-    if rest is not None:  # several readings must see the same numbers
+    if len(tables) > 1:  # several readings must see the same numbers
         numbered = settle(numbered, "numbered")
 
+    def table(low: int, high: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+        got = logs.filter((F.col("key") >= low) & (F.col("key") < high)).toArrow()
+        keys, values = got["key"].to_numpy().view(np.uint64), got["log"].to_numpy()
+        order = np.argsort(keys)
+        return keys[order], values[order], low, high
+
+    def sums(texts: list[bytes], held: tuple[np.ndarray, np.ndarray, int, int]) -> dict:
+        total, lacking = look_up(texts, *held)
+        cuts = pa.array(np.cumsum([0, *map(len, lacking)]), pa.int32())
+        unseen = pa.array([k for x in lacking for k in x], pa.int64())
+        often = pa.array([n for x in lacking for n in x.values()], pa.int64())
+        return {"part": total, "unseen": pa.ListArray.from_arrays(cuts, unseen), "often": pa.ListArray.from_arrays(cuts, often)}
+
+    shared = spark.sparkContext.broadcast((table(*tables[0]), top))
+
     def run(batch: pa.RecordBatch) -> dict:
-        piece, frequent = shared.value
+        held, frequent = shared.value
         texts = text_bytes(batch.column("text"))
         n_words, known, base = [], [], []
         rare: list[bytes] = []
@@ -384,30 +476,33 @@ def score_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
             "base_top": base,
             "rare": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rare, pa.binary()).cast(pa.string())),
             "times": pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(times, pa.int64())),
-            "part": piece.of_texts(texts),
             "n_bytes": [len(t) for t in texts],
+            **sums(texts, held),
         }
 
-    schema = "row bigint, doc_id bigint, n_tokens bigint, n_top bigint, base_top double, rare array<string>, times array<bigint>, part double, n_bytes bigint"
+    own = "row bigint, part double, unseen array<bigint>, often array<bigint>"
+    schema = f"{own}, doc_id bigint, n_tokens bigint, n_top bigint, base_top double, rare array<string>, times array<bigint>, n_bytes bigint"
     read = settle(map_batches(numbered, schema, run), "scored")
+    shared.destroy()
     sparse = read.select("row", F.inline(F.arrays_zip("rare", "times")))
     sparse = sparse.join(words, F.col("rare") == F.col("word"), "left").groupBy("row").agg(
         F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + SMOOTHING)).alias("base_rare"),
         F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("n_rare"),
     )
-    several = rest is not None
     parts = read.select("row", "part")
-    while rest is not None:
-        more = spark.sparkContext.broadcast(rest)
-
-        def share(batch: pa.RecordBatch, more=more) -> dict:
-            return {"row": batch.column("row"), "part": more.value.of_texts(text_bytes(batch.column("text")))}
-
-        parts = parts.union(map_batches(numbered, "row bigint, part double", share))
-        rest = next(pieces, None)
-    whole = read.select("row", "doc_id", "n_tokens", "n_top", "base_top", "n_bytes", "part").join(sparse, "row", "left")
-    if several:
+    lacking = read.select("row", F.inline(F.arrays_zip("unseen", "often")))
+    for part in tables[1:]:
+        more = spark.sparkContext.broadcast(table(*part))
+        found = settle(map_batches(numbered, own, lambda batch, more=more: {"row": batch.column("row"), **sums(text_bytes(batch.column("text")), more.value)}), "scored")
+        more.destroy()
+        parts = parts.union(found.select("row", "part"))
+        lacking = lacking.union(found.select("row", F.inline(F.arrays_zip("unseen", "often"))))
+    unseen = settle(tree.logs_of_unseen(lacking.select(F.col("unseen").alias("key")).distinct()), "unseen")
+    walked = lacking.join(unseen, F.col("unseen") == F.col("key")).groupBy("row").agg(F.sum(F.col("often") * F.col("log")).alias("walked"))
+    whole = read.select("row", "doc_id", "n_tokens", "n_top", "base_top", "n_bytes", "part").join(sparse, "row", "left").join(walked, "row", "left")
+    if len(tables) > 1:
         whole = whole.drop("part").join(parts.groupBy("row").agg(F.sum("part").alias("part")), "row")
+    whole = whole.withColumn("part", F.col("part") + F.coalesce("walked", F.lit(0.0)))
     return whole.select(
         "doc_id",
         held_out(F.col("doc_id")).alias("held_out"),

@@ -293,6 +293,7 @@ def brute_ctw(texts, scored):
 @pytest.mark.parametrize("pieces", [2_000_000, 40])
 def test_ctw_and_base_against_brute_force(spark, monkeypatch, pieces):
     monkeypatch.setattr(ctw, "PIECE_KEYS", pieces)
+    monkeypatch.setattr(ctw, "TABLE_KEYS", 2 * pieces)
     monkeypatch.setattr(ctw, "TOP_WORDS", 3)
     monkeypatch.setattr(ctw, "SEGMENT", 64)
     texts = ["the cat sat on the mat", "The dog sat", None, "", "abracadabra " * 12, "ünïcode the\tcat\x0b", "qqq", "the cat sat on the mat", "zz top the", "on on on"] * 2

@@ -18,37 +18,50 @@ def _shift(start: str, n: int, unit: str) -> str:
     return f"add_months({start}, {months})"
 
 
-def period(phrase: str) -> tuple[str, str] | None:
-    """(first day, day after the last) of a relative date as SQL; None if it is none."""
+def point(phrase: str) -> str | None:
+    """The day that a relative date stands for beside <, <=, > and >=; None if it is none."""
     phrase = phrase.strip().lower()
     today = "current_date()"
     named = {"today": 0, "yesterday": -1, "tomorrow": 1}
     if phrase in named:
-        n = named[phrase]
-        start = today if n == 0 else f"date_add({today}, {n})"
-        return start, f"date_add({today}, {n + 1})"
+        return _shift(today, named[phrase], "day") if named[phrase] else today
     found = _PHRASE.match(phrase)
     if not found:
         return None
-    which, count, unit = found[1].lower(), found[2], found[3].lower()
-    if count:  # a running span of so many units: 'last 7 days' ends with today
-        n = int(count)
-        if which == "last":
-            return _shift(today, -n, unit), f"date_add({today}, 1)"
-        if which == "next":
-            return today, f"date_add({_shift(today, n, unit)}, 1)"
+    which, count, unit = found[1], found[2], found[3]
+    if count and unit in ("day", "week"):
+        return None if which == "this" else _shift(today, int(count) * (1 if which == "next" else -1), unit)
+    if (count and which != "last") or (unit == "day" and not count):
         return None
-    start = today if unit == "day" else f"cast(date_trunc('{unit}', {today}) as date)"
-    at = {"last": -1, "this": 0, "next": 1}[which]
-    return (_shift(start, at, unit) if at else start), (_shift(start, at + 1, unit) if at + 1 else start)
+    start = f"cast(date_trunc('{unit}', {today}) as date)"
+    n = {"last": -int(count or 1), "this": 0, "next": 1}[which]
+    return _shift(start, n, unit) if n else start
+
+
+def period(phrase: str) -> tuple[str, str | None] | None:
+    """(first day, day after the last, None if open) of a relative date as SQL; None if it is none.
+
+    'last 7 days' starts so many days ago and is open; 'next 7 days' is today and so many days
+    more; months, quarters and years are whole ones: 'last 3 months' ends with the last month."""
+    phrase = phrase.strip().lower()
+    day = point(phrase)
+    if day is None:
+        return None
+    found = _PHRASE.match(phrase)
+    if not found:
+        return day, f"date_add({day}, 1)"
+    which, count, unit = found[1], found[2], found[3]
+    if count and unit in ("day", "week"):
+        return (day, None) if which == "last" else ("current_date()", f"date_add({day}, 1)")
+    return day, _shift(day, int(count or 1), unit)
 
 
 def expand(text: str) -> str:
-    """A filter whose value is a relative date becomes a range; any other stays."""
+    """A filter whose value is a relative date becomes a range, or a comparison with its day; any other stays."""
     m = _FILTER.match(text)
     span = m and period(m["value"])
     if not span:
         return text
     column, (start, end) = m["col"], span
-    inside = f"{column} >= {start} AND {column} < {end}"
-    return {"=": f"({inside})", "!=": f"NOT ({inside})", "<>": f"NOT ({inside})"}.get(m["op"], f"{column} {m['op']} {start}")
+    inside = f"{column} >= {start}" + (f" AND {column} < {end}" if end else "")
+    return {"=": f"({inside})", "!=": f"NOT ({inside})", "<>": f"NOT ({inside})"}.get(m["op"], f"{column} {m['op']} {point(m['value'])}")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.relative_dates import expand
-from .functions.templates import allowed, with_parameters
+from .functions.templates import with_parameters
 from .graph import Graph
 from .model import DefinitionError, Dimension, Explore, Metric, Model, Parameter, SavedQuery
 from .plans import events, rollups, windows
@@ -17,6 +18,10 @@ from .plans.live import Compiler, Context, Field, Planner, is_window, split_grai
 from .plans.text import bare, dotted, lenient, replace_bare, replace_dotted, split_top
 
 
+#: Queries that the log keeps.
+LOG_LENGTH = 10_000
+
+
 class SemanticLayer:
     """Models and metrics over a Spark session. Queries return DataFrames that nothing has run yet."""
 
@@ -24,7 +29,7 @@ class SemanticLayer:
         self.spark, self.graph = spark, Graph()
         self.use_preaggregations, self.default_limit, self.max_limit = use_preaggregations, default_limit, max_limit
         self.enforce_visibility = enforce_visibility
-        self.log: list[rollups.Asked] = []
+        self.log: deque[rollups.Asked] = deque(maxlen=LOG_LENGTH)
 
     # declarations
 
@@ -94,10 +99,12 @@ class SemanticLayer:
             raise DefinitionError("a query needs metrics or dimensions")
         ctx = Context(self.spark, self.graph, timezone, user_attributes)
         dimensions = self._with_default_time(metrics, dimensions)
+        if self.enforce_visibility:
+            self._check_visible(filters, segments or [], order_by or [])
         filters = [expand(with_parameters(f, self.graph.parameters, parameters or {})) for f in [*filters, *self._segments(segments or [])]]
         found = [self._metric(m) for m in metrics]
         fields = self._fields(dimensions, [m.name for _, m in found], aliases or {})
-        self._check_access(fields, found, user_attributes)
+        self._check_access(ctx, fields, found)
         self.log.append(rollups.Asked(tuple(sorted({o for o, _ in found if o})), tuple(metrics), tuple(dimensions)))
         special = [m for _, m in found if m.type in ("conversion", "retention", "cohort")]
         if special:
@@ -211,22 +218,52 @@ class SemanticLayer:
             out.append("(" + replace_bare(sql, lambda n: f"{owner}.{n}" if n in columns else None) + ")")
         return out
 
-    def _check_access(self, fields: list[Field], found: list, user: dict | None) -> None:
+    def _check_access(self, ctx: Context, fields: list[Field], found: list) -> None:
         for name in {*(f.model for f in fields), *(o for o, _ in found if o)}:
-            model = self.graph.model(name)
-            if model.security and not allowed(model.security.access, user):
-                raise PermissionError(f"model {name} is closed to this user")
+            ctx.admit(self.graph.model(name))
         if self.enforce_visibility:
             hidden = [f.name for f in fields if not self.graph.model(f.model).dimension(f.name).public] + [m.name for _, m in found if not m.public]
             if hidden:
                 raise PermissionError(f"{hidden[0]} isn't public")
 
+    def _check_visible(self, filters: list[str], segments: list[str], order_by: list[str]) -> None:
+        """Fields that aren't public can't be filtered or sorted by, either."""
+        refs = {(a, split_grain(self.graph, a, b)[0]) for f in filters for a, b in dotted(self._qualified(f)) if a in self.graph.models}
+        refs |= {tuple(x.split()[0].split(".", 1)) for x in order_by if "." in x.split()[0]}
+        for owner, name in refs:
+            if owner in self.graph.models:
+                field = self.graph.models[owner].dimension(name) or self.graph.models[owner].metric(name)
+                if field and not field.public:
+                    raise PermissionError(f"{owner}.{name} isn't public")
+        for ref in segments:
+            owner, _, name = ref.partition(".")
+            segment = self.graph.model(owner).segment(name)
+            if segment and not segment.public:
+                raise PermissionError(f"{ref} isn't public")
+
     def _plan(self, ctx, found, refs, fields, filters, aliases, ungrouped, totals, routed, strict) -> DataFrame:
         rows, after = self._staged(filters, found)
         compiler = Compiler(ctx)
         window = windows.Windows(ctx, compiler, fields)
         outputs: list[tuple[str, str]] = []  # (column, formula over leaves)
+        hidden: set[str] = set()  # outputs that only formulas need
+
+        def windowed(owner: str | None, metric: Metric) -> str | None:
+            """A window metric within a formula is a column of its own."""
+            if not windows.needs(metric):
+                return None
+            name = f"__w_{owner or ''}_{metric.name}"
+            if name not in {w.output for w in window.asked}:
+                there = {o for o, _ in outputs}
+                window.ask(owner, metric, name, outputs)
+                hidden.update({o for o, _ in outputs} - there)
+            return f"`{name}`"
+
+        compiler.windowed = windowed
         for ref, (owner, metric) in zip(refs, found):
+            if ref not in aliases and not windows.needs(metric) and dict(outputs).get(metric.name) == compiler.metric(owner, metric):
+                hidden.discard(metric.name)  # there already, as what a window metric stands on
+                continue
             taken = {f.output for f in fields} | {o for o, _ in outputs} | {w.output for w in window.asked}
             name = aliases.get(ref) or (metric.name if metric.name not in taken else f"{owner}_{metric.name}")
             if windows.needs(metric):
@@ -249,6 +286,8 @@ class SemanticLayer:
             text = replace_dotted(text, lambda a, b: named(a, b) if a in self.graph.models else None)
             having.append(replace_bare(text, lambda n: None if n in names else named(None, n)))
         planner = Planner(ctx, fields, rows, [x.model for x in compiler.leaves])
+        for name in planner.participants(x.model for x in compiler.leaves):
+            ctx.admit(self.graph.model(name))
         if routed and compiler.leaves:
             hit = rollups.route(self, planner, compiler.leaves, strict)
             out = hit if hit is not None else planner.aggregate(compiler.leaves, totals)
@@ -265,14 +304,17 @@ class SemanticLayer:
             kept = [F.col(f.internal).alias(f.output) for f in fields]
             extra = [F.col(c) for c in out.columns if ungrouped and not c.startswith(("__d_", "__leaf", "__total"))] + ([F.col("_is_total")] if totals else [])
             leaves = [F.col(f"__leaf{i}") for i in range(len(compiler.leaves)) if f"__leaf{i}" in out.columns]
-            out = out.select(*kept, *extra, *leaves, *[F.col(f"__total{i}") for i in over_all], *[F.expr(formula).alias(name) for name, formula in outputs])
+            late = [(name, formula) for name, formula in outputs if "`__w_" in formula]
+            early = [F.expr(formula).alias(name) for name, formula in outputs if "`__w_" not in formula]
+            out = out.select(*kept, *extra, *leaves, *[F.col(f"__total{i}") for i in over_all], *early)
             if totals and window.asked:
                 raise DefinitionError("totals can't be combined with window metrics")
             if window.asked:
                 out = window.apply(out)
+            out = out.select("*", *[F.expr(formula).alias(name) for name, formula in late])
             for text in having:
                 out = out.filter(text)
-        return out.drop(*[c for c in out.columns if c.startswith(("__leaf", "__total"))])
+        return out.drop(*[c for c in out.columns if c.startswith(("__leaf", "__total", "__w_")) or c in hidden])
 
     def _staged(self, filters: list[str], found: list) -> tuple[list[str], list[str]]:
         """Filters on rows and filters on metrics; ANDs are taken apart."""

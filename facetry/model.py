@@ -34,10 +34,17 @@ AGGREGATES = {
     "list": "collect_list({x})",
     "geometric_mean": "exp(avg(ln({x})))",
     "product": "product({x})",
+    "entropy": "entropy({x})",
+    # by a sketch, in memory that doesn't grow with the group
+    "approx_median": "percentile_approx({x}, 0.5)",
 }
 METRIC_TYPES = ("ratio", "derived", "cumulative", "time_comparison", "conversion", "retention", "cohort")
 
 
+#: Keys that describe a field and change no number; they may be given anywhere.
+DESCRIPTIVE = {"meta", "tags", "label", "description", "owner", "format", "value_format_name", "drill_fields", "synonyms", "public"}
+
+
 class DefinitionError(ValueError):
     """A definition or query that can't be right."""
 
@@ -46,6 +53,9 @@ class Declared:
     @classmethod
     def of(cls, given: dict[str, Any]):
         known = {f.name for f in fields(cls)}
+        unknown = [k for k in given if k not in known | DESCRIPTIVE]
+        if unknown:
+            raise DefinitionError(f"{cls.__name__.lower()} {given.get('name', '')}: unknown key {unknown[0]!r}")
         return cls(**{k: v for k, v in given.items() if k in known})
 
 
@@ -122,7 +132,7 @@ class Metric(Declared):
     public: bool = True
 
     def __post_init__(self):
-        if self.agg and self.agg not in AGGREGATES and self.agg != "percentile":
+        if self.agg and self.agg not in AGGREGATES and self.agg not in ("percentile", "approx_percentile"):
             raise DefinitionError(f"metric {self.name}: unknown aggregate {self.agg!r}")
         if self.type is not None and self.type not in METRIC_TYPES:
             raise DefinitionError(f"metric {self.name}: unknown type {self.type!r}")

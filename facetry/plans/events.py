@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import AGGREGATES, DefinitionError, Metric, Model
 from .live import Context, Field, Leaf, Planner, dimension_sql, inline_refs, resolve_names, strip_model
-from .text import dotted, lenient
+from .text import dotted, lenient, native
 from .windows import interval
 
 
@@ -90,18 +90,12 @@ def funnel(ctx: Context, model: Model, metric: Metric, fields: list[Field], filt
     rows = rows_of(ctx, model, fields, filters, made)
     rows = rows.filter(F.expr(" OR ".join(f"__is{i}" for i in range(len(steps)))))
     keys = [*(f.output for f in fields), "__entity"]
-    reached = rows.groupBy(*keys).agg(F.min(F.when(F.col("__is0"), F.col("__time"))).alias("__at0"))
-    for i in range(1, len(steps)):
-        before = reached.filter(F.col(f"__at{i - 1}").isNotNull()).select(*[F.col(k).alias(f"__b_{k}") for k in keys], F.col(f"__at{i - 1}").alias("__before"))
-        condition = F.lit(True)
-        for k in keys:
-            condition = condition & F.col(k).eqNullSafe(F.col(f"__b_{k}"))
-        later = rows.filter(F.col(f"__is{i}")).join(before, condition).filter("__time >= __before").groupBy(*keys).agg(F.min("__time").alias(f"__at{i}"))
-        later = later.select(*[F.col(k).alias(f"__l_{k}") for k in keys], f"__at{i}")
-        condition = F.lit(True)
-        for k in keys:
-            condition = condition & F.col(k).eqNullSafe(F.col(f"__l_{k}"))
-        reached = reached.join(later, condition, "left").drop(*[f"__l_{k}" for k in keys])
+    # every step's first time at or after the step before, over rows that one shuffle brings together
+    over = Window.partitionBy(*keys)
+    for i in range(len(steps)):
+        due = F.col(f"__is{i}") if i == 0 else F.col(f"__is{i}") & (F.col("__time") >= F.col(f"__at{i - 1}"))
+        rows = rows.withColumn(f"__at{i}", F.min(F.when(due, F.col("__time"))).over(over))
+    reached = rows.groupBy(*keys).agg(*[F.min(f"__at{i}").alias(f"__at{i}") for i in range(len(steps))])
     counts = [F.count("__at0").alias("total_entities")]
     counts += [F.count(f"__at{i}").alias(f"step_{i + 1}_count") for i in range(len(steps))]
     counts.append(F.count(f"__at{len(steps) - 1}").alias(metric.name))
@@ -145,10 +139,10 @@ def cohort(ctx: Context, model: Model, metric: Metric, fields: list[Field], filt
     made = {"__entity": sql_of(ctx, model, metric.entity)}
     for i, m in enumerate(inner):
         raw = m.sql or ("1" if m.agg == "count" else m.name)
-        made[f"__x{i}"] = f"CASE WHEN {' AND '.join(strip_model(f, model.name) for f in m.filters)} THEN {raw} END" if m.filters else raw
+        made[f"__x{i}"] = f"CASE WHEN {' AND '.join(f'({strip_model(f, model.name)})' for f in m.filters)} THEN {raw} END" if m.filters else raw
     rows = rows_of(ctx, model, fields, filters, made)
     dims = [f.output for f in fields]
-    aggs = [F.expr(AGGREGATES[m.agg or "sum"].replace("{x}", f"`__x{i}`")).alias(m.name) for i, m in enumerate(inner)]
+    aggs = [F.expr(native(AGGREGATES[m.agg or "sum"]).replace("{x}", f"`__x{i}`")).alias(m.name) for i, m in enumerate(inner)]
     entities = rows.groupBy(*dims, "__entity").agg(*aggs) if aggs else rows.select(*dims, "__entity").distinct()
     if metric.having:
         entities = entities.filter(metric.having)

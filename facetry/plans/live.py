@@ -8,15 +8,16 @@ each (dimensions, primary key). Parts meet in a null-safe full join on the dimen
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.templates import allowed, render_secure
 from ..graph import Graph, Hop
 from ..model import AGGREGATES, GRAINS, DefinitionError, Metric, Model
-from .text import aggregate_calls, bare, dotted, lenient, replace_bare, replace_dotted
+from .text import aggregate_calls, bare, dotted, lenient, native, replace_bare, replace_dotted
 
 
 @dataclass(frozen=True)
@@ -67,6 +68,16 @@ class Context:
     frames: dict[str, DataFrame] = field(default_factory=dict)  # models replaced, as by roll-ups
     render: object = None  # renders templates
 
+    def admit(self, model: Model) -> None:
+        """Raise unless the model's policy, if it has one, lets this user in. A policy can't be
+        got round by giving no user attributes."""
+        if not self.secure or model.security is None:
+            return
+        if self.user is None:
+            raise PermissionError(f"model {model.name} needs user attributes")
+        if not allowed(model.security.access, self.user):
+            raise PermissionError(f"model {model.name} is closed to this user")
+
     def load(self, model: Model) -> DataFrame:
         if model.name in self.frames:
             return self.frames[model.name]
@@ -153,6 +164,8 @@ class Compiler:
 
     def __init__(self, ctx: Context):
         self.ctx, self.leaves, self._known = ctx, [], {}
+        #: Gives the column of a window metric that stands in a formula.
+        self.windowed: Callable[[str | None, Metric], str | None] = lambda owner, metric: None
 
     def leaf(self, leaf: Leaf) -> str:
         if leaf.identity not in self._known:
@@ -173,6 +186,9 @@ class Compiler:
         return formula
 
     def _formula(self, owner: str | None, metric: Metric, trail: tuple[str, ...]) -> str:
+        column = self.windowed(owner, metric) if len(trail) > 1 else None
+        if column:
+            return column
         if metric.type == "ratio":
             top, bottom = (self.reference(owner, r, trail) for r in (metric.numerator, metric.denominator))
             return f"(({top}) / nullif({bottom}, 0))"
@@ -225,6 +241,7 @@ class Compiler:
         columns = set(self.ctx.load(model).columns)
         text = resolve_names(self.ctx, call, model, columns).replace("`", "")
         text = text.replace("COUNT(*)", "count(1)").replace("count(*)", "count(1)")
+        text = native(text)
         names = tuple(sorted({n for n in bare(text) if n in columns}))
         text = replace_bare(text, lambda n: f"`__c_{owner}__{n}`" if n in columns else None)
         return self.leaf(Leaf(owner, text, None, metric.name, tuple(metric.filters or ()), columns=names))
@@ -245,13 +262,21 @@ class Compiler:
             raw = model.key[0] if len(model.key) == 1 else f"struct({', '.join(model.key)})"
         elif raw is None:
             raw = metric.name
-        agg = f"percentile({{x}}, {metric.percentile})" if metric.agg == "percentile" else AGGREGATES[metric.agg or "sum"]
+        agg = f"{metric.agg}({{x}}, {metric.percentile})" if metric.agg in ("percentile", "approx_percentile") else AGGREGATES[metric.agg or "sum"]
+        agg = native(agg)
         semi = None
         if metric.non_additive_dimension:
             semi = (metric.non_additive_dimension, metric.non_additive_choice, tuple(metric.non_additive_groupings or ()))
         return self.leaf(Leaf(owner, agg, raw, metric.name, tuple(metric.filters or ()), metric.distinct_key, semi))
 
 
+def aggregated(agg: str, x: str) -> Column:
+    """An aggregate of the column ``x``."""
+    if agg == "product({x})":  # no function of SQL
+        return F.product(F.expr(x))
+    return F.expr(agg.replace("{x}", x))
+
+
 class Planner:
     """Plans leaves at dimensions under row filters."""
 
@@ -273,12 +298,22 @@ class Planner:
                     found.setdefault(hop.right, hop)
         return list(found.values())
 
+    def participants(self, models: Iterable[str]) -> list[str]:
+        """Every model that a query for metrics of ``models`` reads: theirs, those of dimensions and
+        filters, and those that joins pass through."""
+        starts = list(dict.fromkeys(models)) or [self.start(list(dict.fromkeys(d.model for d in self.dimensions)))]
+        found = dict.fromkeys([*starts, *(d.model for d in self.dimensions), *sorted(self.filter_models())])
+        for base in starts:
+            found |= dict.fromkeys(h.right for h in self.hops(base))
+        return list(found)
+
     def multiplies(self, base: str) -> bool:
         return any(h.multiplies for h in self.hops(base))
 
     def frame(self, name: str, keys: set[str], leaves: list[Leaf], filters: list[str], fields: set[tuple[str, str | None]], raw: bool = False) -> DataFrame:
         """A model's rows with what the query needs, all under names of its own."""
         ctx, model = self.ctx, self.ctx.graph.model(name)
+        ctx.admit(model)
         base = ctx.load(model)
         columns = set(base.columns)
         for text in secured(ctx, model):
@@ -375,11 +410,14 @@ class Planner:
             rows = self.snapshots(rows, leaves)
         unique = [f"__u{i}" for i, x in enumerate(leaves) if x.distinct_key]
         if many or unique:
+            # one row for each (dimensions, key). A row's own columns follow from its primary key; of
+            # the values that a declared distinct key has, the smallest counts
             measured = [c for c in rows.columns if c.startswith(("__m", "__c_"))]
             owned = [f"__k_{model}__{k}" for k in key] if not unique else unique
-            rows = rows.select(*dict.fromkeys([*dims, *owned, *measured])).distinct()
+            one = F.min if unique else F.any_value
+            rows = rows.groupBy(*dict.fromkeys([*dims, *owned])).agg(*[one(c).alias(c) for c in measured] or [F.lit(1).alias("__one")])
         with lenient(self.ctx.spark):
-            made = [F.expr(x.agg.replace("{x}", f"`__m{i}`")).alias(n) for i, (x, n) in enumerate(zip(leaves, names))]
+            made = [aggregated(x.agg, f"`__m{i}`").alias(n) for i, (x, n) in enumerate(zip(leaves, names))]
             if totals:
                 sets = [[F.col(d) for d in dims], []]
                 return rows.groupingSets(sets, *[F.col(d) for d in dims]).agg(*made, (F.grouping_id() > 0).alias("_is_total"))
@@ -395,13 +433,23 @@ class Planner:
             # a dimension that is the time itself, at its own grain, leaves nothing to choose from
             if any(d.model == leaf.model and d.name == name and d.grain is None for d in self.dimensions):
                 continue
-            over = Window.partitionBy(*[d.internal for d in self.dimensions], *[f"__g{i}_{j}" for j in range(len(groupings))])
-            edge = (F.min if choice == "min" else F.max)(f"__t{i}").over(over)
-            rows = rows.withColumn(f"__m{i}", F.when(F.col(f"__t{i}") == edge, F.col(f"__m{i}")))
+            by = [*[d.internal for d in self.dimensions], *[f"__g{i}_{j}" for j in range(len(groupings))]]
+            # the edge of each partition is aggregated and met again: no task holds a partition's rows
+            edges = rows.groupBy(*[F.col(c).alias(f"{c}__e") for c in by]).agg((F.min if choice == "min" else F.max)(f"__t{i}").alias("__edge"))
+            if by:
+                same = F.lit(True)
+                for c in by:
+                    same = same & F.col(c).eqNullSafe(F.col(f"{c}__e"))
+                rows = rows.join(edges, same, "left")
+            else:
+                rows = rows.crossJoin(edges)  # one row
+            kept = [c for c in rows.columns if c not in (f"__m{i}", "__edge", *(f"{c}__e" for c in by))]
+            rows = rows.select(*kept, F.when(F.col(f"__t{i}") == F.col("__edge"), F.col(f"__m{i}")).alias(f"__m{i}"))
         return rows
 
-    def aggregate(self, leaves: list[Leaf], totals: bool = False) -> DataFrame:
-        """All leaves (as __leaf0, ...) at the dimensions (under internal names)."""
+    def aggregate(self, leaves: list[Leaf], totals: bool = False, instead: Callable[[str, list[Leaf], list[str]], DataFrame | None] | None = None) -> DataFrame:
+        """All leaves (as __leaf0, ...) at the dimensions (under internal names). ``instead`` may
+        give a part from elsewhere, as from a roll-up."""
         parts: dict[tuple, list[int]] = {}
         for i, leaf in enumerate(leaves):
             parts.setdefault((leaf.model, leaf.distinct_key), []).append(i)
@@ -411,7 +459,11 @@ class Planner:
             return self.joined(base, []).select(*[d.internal for d in self.dimensions]).distinct()
         if totals and len(parts) > 1:
             raise DefinitionError("totals need metrics of one model")
-        frames = [self.part(m, [leaves[i] for i in at], [f"__leaf{i}" for i in at], totals) for (m, _), at in parts.items()]
+        frames = []
+        for (model, _), at in parts.items():
+            own, names = [leaves[i] for i in at], [f"__leaf{i}" for i in at]
+            found = instead(model, own, names) if instead else None
+            frames.append(self.part(model, own, names, totals) if found is None else found)
         out = frames[0]
         dims = [d.internal for d in self.dimensions]
         for n, right in enumerate(frames[1:]):
@@ -476,10 +528,6 @@ def secured(ctx: Context, model: Model) -> list[str]:
     """Row filters of the model's policy with the user's values; none given denies."""
     if not ctx.secure or not model.security or not model.security.row_filters:
         return []
-    if ctx.user is None:
-        raise PermissionError(f"model {model.name} needs user attributes")
-    from ..functions.templates import render_secure
-
     return [render_secure(text, ctx.user) for text in model.security.row_filters]
 
 

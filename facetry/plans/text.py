@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -92,7 +93,7 @@ def split_top(text: str, word: str) -> list[str]:
 _AGGREGATES = (
     "sum count avg min max median stddev stddev_samp stddev_pop variance var_samp var_pop variance_pop approx_count_distinct count_if mode kurtosis skewness any_value product "
     "percentile percentile_cont percentile_disc percentile_approx quantile quantile_cont quantile_disc approx_percentile collect_list collect_set string_agg listagg array_agg list "
-    "first last max_by min_by bool_and bool_or corr covar_pop covar_samp regr_slope entropy geometric_mean weighted_avg"
+    "first last max_by min_by bool_and bool_or corr covar_pop covar_samp regr_slope entropy geometric_mean geomean weighted_avg approx_quantile"
 ).split()
 _AGGREGATE = re.compile(rf"\b({'|'.join(_AGGREGATES)})\s*\(", re.IGNORECASE)
 _TAIL = re.compile(r"\s*(within\s+group|filter|over)\s*\(", re.IGNORECASE)
@@ -129,12 +130,82 @@ def aggregate_calls(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def arguments(text: str) -> list[str]:
+    """A call's arguments, split at commas outside brackets and quotes."""
+    parts, depth, start, quoted = [], 0, 0, ""
+    for i, c in enumerate(text):
+        if quoted:
+            quoted = "" if c == quoted else quoted
+        elif c in "'\"":
+            quoted = c
+        elif c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        elif c == "," and depth == 0:
+            parts.append(text[start:i].strip())
+            start = i + 1
+    return [*parts, text[start:].strip()]
+
+
+def _entropy(x: str) -> str:
+    """Bits of the values' distribution: log2 n less the mean of log2 of each value's count, by a fold over the sorted values."""
+    close = "IF(a.n > 0, a.n * log2(a.n), 0D)"
+    fold = (
+        f"aggregate(array_sort(collect_list(CAST({x} AS STRING))), named_struct('v', CAST(NULL AS STRING), 'n', 0D, 's', 0D), "
+        f"(a, v) -> IF(v <=> a.v, named_struct('v', a.v, 'n', a.n + 1D, 's', a.s), named_struct('v', v, 'n', 1D, 's', a.s + {close})), a -> a.s + {close})"
+    )
+    return f"IF(count({x}) = 0, 0D, log2(count({x})) - {fold} / count({x}))"
+
+
+def _product(x: str) -> str:
+    sign = f"IF(count_if(({x}) < 0) % 2 = 1, -1, 1)"
+    return f"CASE WHEN count({x}) = 0 THEN NULL WHEN count_if(({x}) = 0) > 0 THEN 0D ELSE {sign} * exp(sum(ln(abs({x})))) END"
+
+
+#: Aggregates that definitions use and Spark's SQL lacks, by its own.
+_FOREIGN = {
+    "product": _product,
+    "entropy": _entropy,
+    "geometric_mean": lambda x: f"exp(avg(ln({x})))",
+    "geomean": lambda x: f"exp(avg(ln({x})))",
+    "weighted_avg": lambda x, w: f"try_divide(sum(({x}) * ({w})), sum(CASE WHEN ({x}) IS NOT NULL THEN {w} END))",
+    "quantile_cont": lambda x, q: f"percentile({x}, {q})",
+    "quantile_disc": lambda x, q: f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})",
+    "quantile": lambda x, q: f"percentile_disc({q}) WITHIN GROUP (ORDER BY {x})",
+    "approx_quantile": lambda x, q: f"percentile_approx({x}, {q})",
+    "list": lambda x: f"collect_list({x})",
+}
+_FOREIGN_CALL = re.compile(rf"(?i)\b({'|'.join(_FOREIGN)})\s*\(")
+
+
+def native(text: str) -> str:
+    """Aggregates that Spark's SQL lacks become expressions that it has; ``product({x})`` alone stays."""
+    if text == "product({x})":
+        return text
+    at = 0
+    while m := _FOREIGN_CALL.search(text, at):
+        if any(a <= m.start() < b for a, b in (q.span() for q in _PARTS.finditer(text))):
+            at = m.end()
+            continue
+        end = closing(text, m.end() - 1)
+        made = _FOREIGN[m[1].lower()](*arguments(text[m.end() : end - 1]))
+        text = text[: m.start()] + made + text[end:]
+        at = m.start() + (len(made) if m[1].lower() in made.lower() else 0)
+    return text
+
+
+#: Planning of formulas takes turns, since it sets an option of the session.
+_TURN = threading.RLock()
+
+
 @contextmanager
 def lenient(spark: SparkSession) -> Iterator[None]:
     """Fragments analysed inside divide by zero to NULL, as the metric formulas expect."""
-    before = spark.conf.get("spark.sql.ansi.enabled")
-    spark.conf.set("spark.sql.ansi.enabled", "false")
-    try:
-        yield
-    finally:
-        spark.conf.set("spark.sql.ansi.enabled", before)
+    with _TURN:
+        before = spark.conf.get("spark.sql.ansi.enabled")
+        spark.conf.set("spark.sql.ansi.enabled", "false")
+        try:
+            yield
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", before)

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..model import DefinitionError, Metric
+from ..model import AGGREGATES, DefinitionError, Metric
 from .live import Compiler, Context, Field
 
 #: Fixed: months, or days, that a comparison looks back.
@@ -111,7 +111,10 @@ class Windows:
         over = f"OVER ({by}ORDER BY {m.window_order or time} {frame})"
         if m.agg == "count_distinct":
             return f"size(collect_set(`{asked.base}`) {over})"
-        return f"{m.agg if m.agg in ('avg', 'min', 'max', 'count') else 'sum'}(`{asked.base}`) {over}"
+        agg = "sum({x})" if m.agg is None else AGGREGATES.get(m.agg, "")
+        if not re.fullmatch(r"\w+\(\{x\}\)", agg) or m.agg in ("count_distinct", "product", "entropy", "mode"):
+            raise DefinitionError(f"metric {m.name}: {m.agg} can't run over a window")
+        return f"{agg.replace('{x}', f'`{asked.base}`')} {over}"
 
     def earlier(self, base: str, n: int, unit: str) -> str:
         """The value exactly so long before, by the calendar; NULL where there is no such row."""

@@ -98,16 +98,25 @@ def metric_fields(m: dict) -> dict:
     """Aliases: expr and measure for sql."""
     m = dict(m)
     for alias in ("expr", "expression", "measure"):
-        if alias in m and "sql" not in m:
-            m["sql"] = m.pop(alias)
+        given = m.pop(alias, None)
+        if given is not None and m.get("sql") is None:
+            m["sql"] = given
     if isinstance(m.get("filters"), str):
         m["filters"] = [m["filters"]]
     return m
 
 
+def dimension_fields(d: dict) -> dict:
+    """Alias: expr for sql."""
+    d = dict(d)
+    d["sql"] = d.get("sql") or d.get("expr")
+    d.pop("expr", None)
+    return d
+
+
 def native_model(m: dict) -> Model:
     m = dict(m)
-    m["dimensions"] = [Dimension.of(d | {"sql": d.get("sql") or d.get("expr")}) for d in m.get("dimensions") or []]
+    m["dimensions"] = [Dimension.of(dimension_fields(d)) for d in m.get("dimensions") or []]
     m["metrics"] = [Metric.of(metric_fields(x)) for x in [*(m.get("metrics") or []), *(m.pop("measures", None) or [])]]
     segments = list(m.get("segments") or [])
     for key, kind in (("sql_metrics", "METRIC"), ("sql_segments", "SEGMENT")):
@@ -213,7 +222,7 @@ def parse_sql(text: str) -> Definitions:
         else:
             body = {k: [v] if k in ("filters", "measures", "dimensions") and not isinstance(v, list) else v for k, v in body.items()}
             target, made = {
-                "DIMENSION": ("dimensions", lambda b: Dimension.of(b | {"sql": b.get("sql") or b.get("expr")})), "METRIC": ("metrics", lambda b: Metric.of(metric_fields(b))),
+                "DIMENSION": ("dimensions", lambda b: Dimension.of(dimension_fields(b))), "METRIC": ("metrics", lambda b: Metric.of(metric_fields(b))),
                 "RELATIONSHIP": ("relationships", Relationship.of), "SEGMENT": ("segments", Segment.of), "PRE_AGGREGATION": ("pre_aggregations", PreAggregation.of),
             }[kind]
             getattr(current, target).append(made(body))

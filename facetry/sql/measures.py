@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DefinitionError
-from ..plans.text import bare, closing, dotted, lenient, replace_bare, replace_dotted, split_top
+from ..plans.text import bare, closing, dotted, lenient, native, replace_bare, replace_dotted, split_top
 from .clauses import masked, parse_block, split_commas
 
 _CREATE = re.compile(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?view\s+(\w+)\s+as\s+(select\b.*)$", re.IGNORECASE | re.DOTALL)
@@ -345,7 +345,7 @@ class Query:
             rows = rows.filter(text)
         base = {c.removeprefix("__b_") for c in rows.columns if c.startswith("__b_")}
         formula = replace_bare(replace_dotted(view.formula(use.measure), lambda a, b: b), lambda n: f"`__b_{n}`" if n in base else None)
-        formula = re.sub(r"(?i)count\(\s*\*\s*\)", "count(1)", formula)
+        formula = native(re.sub(r"(?i)count\(\s*\*\s*\)", "count(1)", formula))
         ties = [*active.values(), *sets.values()]
         if re.search(r"(?i)\bover\s*\(", formula):  # a window measure has one value in a context
             keyed = rows.select(*[F.expr(e).alias(f"__k{i}") for i, (e, _) in enumerate(ties)], F.expr(formula).alias("__v"))

@@ -5,6 +5,8 @@ with a watermark; each micro-batch replaces the buckets that it changed."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,8 +22,8 @@ def follow(layer, model_name: str, rollup_name: str, source: DataFrame, checkpoi
     rollup = next((p for p in model.pre_aggregations if p.name == rollup_name), None)
     if rollup is None or not rollup.time_dimension:
         raise DefinitionError(f"{model_name}.{rollup_name} isn't a roll-up with a time dimension")
-    found = stored(model, rollup)
-    if any(x.agg not in AGAIN for x in found.values()):
+    found, wrong = stored(layer, model, rollup)
+    if wrong or any(x.agg not in AGAIN for x in found.values()):
         raise DefinitionError("only sums, counts, minima and maxima can follow a stream")
     sql = lambda name: strip_model(model.dimension(name).expression, model.name)
     bucket = f"{rollup.time_dimension}_{rollup.granularity}"
@@ -41,13 +43,9 @@ def follow(layer, model_name: str, rollup_name: str, source: DataFrame, checkpoi
         if not spark.catalog.tableExists(target):
             publish(spark, target, batch, rollup)
             return
-        names = [bucket, *rollup.dimensions]
-        condition = F.lit(True)
-        changed = batch.select(*[F.col(n).alias(f"__n_{n}") for n in names])
-        for n in names:
-            condition = condition & F.col(n).eqNullSafe(F.col(f"__n_{n}"))
-        kept = spark.table(target).drop("_bucket").join(changed, condition, "left_anti")
-        publish(spark, target, kept.unionByName(batch), rollup)
+        version = f"{target}__{uuid.uuid4().hex[:12]}"
+        same = " AND ".join(f"b.`{n}` <=> o.`{n}`" for n in (bucket, *rollup.dimensions))
+        publish(spark, target, batch, rollup, replaces=f"EXISTS (SELECT 1 FROM {version} b WHERE {same})", version=version)
 
     writer = grouped.writeStream.outputMode("update").foreachBatch(replace_changed).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

@@ -237,7 +237,15 @@ def test_security_and_contracts(shop):
 
 def test_dates_templates_and_parameters(shop, spark):
     layer = shop()
-    assert period("last 7 days") == ("date_add(current_date(), -7)", "date_add(current_date(), 1)") and period("never") is None
+    assert period("last 7 days") == ("date_add(current_date(), -7)", None) and period("never") is None
+    months = "add_months(cast(date_trunc('month', current_date()) as date), -3)"
+    assert period("last 3 months") == (months, f"add_months({months}, 3)")
+    assert spark.sql(f"SELECT {period('last 3 months')[1]} = cast(date_trunc('month', current_date()) as date)").first()[0]
+    assert expand("a.d = 'last 2 weeks'") == "(a.d >= date_add(current_date(), -14))"
+    assert expand("a.d = 'next 7 days'") == "(a.d >= current_date() AND a.d < date_add(date_add(current_date(), 7), 1))"
+    assert expand("a.d >= 'next 7 days'") == "a.d >= date_add(current_date(), 7)" and expand("a.d < 'last 3 months'") == f"a.d < {months}"
+    assert period("next 3 months") is None and period("this 2 weeks") is None
+    assert "add_months(cast(date_trunc('quarter', current_date()) as date), -6)" in expand("a.d = 'last 2 quarters'")
     assert expand("orders.day = 'this month'").startswith("(orders.day >= cast(date_trunc('month'") and expand("a = 'b'") == "a = 'b'"
     for text in ("today", "yesterday", "last week", "this quarter", "next year", "last 3 months"):
         assert spark.sql(f"SELECT {period(text)[0]} < {period(text)[1]}").first()[0]
@@ -340,3 +348,205 @@ def test_units_and_types_as_names(spark):
     layer = SemanticLayer(spark)
     layer.add_model({"name": "u", "table": "t_units", "dimensions": [{"name": "year", "type": "numeric"}, {"name": "date", "type": "time"}], "metrics": [{"name": "n", "agg": "sum", "sql": "month"}]})
     assert rows(layer.query(["u.n"], ["u.year"], ["date >= date '2023-12-01' AND date < cast('2024-01-04' as date) + INTERVAL '3' day"])) == [(2024, 3)]
+
+
+# access
+
+def closed(layer, name="customers", **policy):
+    from facetry.model import SecurityPolicy
+
+    layer.graph.models[name].security = SecurityPolicy(**policy)
+    return layer
+
+
+@pytest.mark.parametrize("query", [
+    dict(metrics=["both"]),
+    dict(metrics=["orders.mixed"]),
+    dict(metrics=["orders.revenue"], filters=["customers.credit > 600"]),
+    dict(metrics=["orders.revenue"], filters=["customers.country = 'US'"]),
+    dict(metrics=["orders.revenue"], dimensions=["customers.country"]),
+    dict(metrics=["items.qty"], dimensions=["customers.country"]),
+    dict(metrics=["items.qty"], dimensions=["regions.zone"]),
+    dict(dimensions=["items.line", "customers.country"]),
+    dict(metrics=["orders.revenue"], segments=["customers.rich"]),
+])
+def test_closed_models_take_part_in_nothing(shop, spark, query):
+    spark.createDataFrame([("US", "west"), ("EU", "east")], "country string, zone string").createOrReplaceTempView("t_regions")
+
+    def layer():
+        made = shop()
+        made.add_model({"name": "regions", "table": "t_regions", "primary_key": "country", "dimensions": [{"name": "zone"}]})
+        made.add_metric({"name": "both", "type": "derived", "sql": "customers.credit / orders.count_"})
+        made.graph.models["orders"].metrics.append(Metric("mixed", type="derived", sql="customers.credit / count_"))
+        made.graph.models["customers"].segments = [type("S", (), {"name": "rich", "sql": "{model}.credit > 600", "public": True})()]
+        from facetry.model import Relationship
+
+        made.graph.models["customers"].relationships = [Relationship("regions", foreign_key="country")]
+        made.graph._hops = None
+        return made
+
+    assert layer().query(**query).count() > 0
+    with pytest.raises(PermissionError, match="customers is closed"):
+        closed(layer(), access="{{ user.role == 'admin' }}").query(**query, user_attributes={"role": "guest"})
+    with pytest.raises(PermissionError, match="needs user attributes"):
+        closed(layer(), access=True).query(**query)
+    assert rows(closed(layer(), access="{{ user.role == 'admin' }}").query(**query, user_attributes={"role": "admin"})) == rows(layer().query(**query))
+
+
+def test_closed_models_behind_rollups_and_sql(shop, spark):
+    from facetry.model import PreAggregation
+
+    layer = shop()
+    layer.graph.models["orders"].pre_aggregations = [PreAggregation("m", ["revenue"], ["status"], "day", "month")]
+    rollups.refresh(layer, "orders", "m")
+    closed(layer, "orders", access=False)
+    for ask in (lambda: layer.query(["orders.revenue"], use_preaggregations=True, user_attributes={}), lambda: layer.sql("SELECT revenue FROM orders", user_attributes={})):
+        with pytest.raises(PermissionError):
+            ask()
+    rollups.drop(spark, "orders_preagg_m")
+
+
+def test_hidden_fields_in_filters_orders_and_segments(shop):
+    layer = shop(enforce_visibility=True)
+    layer.graph.models["orders"].dimension("status").public = False
+    layer.graph.models["orders"].segment("large").public = False
+    for bad in (dict(filters=["orders.status = 'paid'"]), dict(filters=["status = 'paid'"]), dict(segments=["orders.large"]), dict(dimensions=["orders.status"])):
+        with pytest.raises(PermissionError, match="public"):
+            layer.query(["orders.revenue"], **bad)
+
+
+# roll-ups
+
+
+def test_merge_takes_late_rows(shop, spark):
+    from facetry.model import PreAggregation
+
+    base = [(1, "a", 10, "2024-01-05"), (2, "a", 20, "2024-02-05"), (3, "b", 5, "2024-03-01")]
+    make = lambda rows_: spark.createDataFrame(rows_, "id int, k string, v int, day string").createOrReplaceTempView("t_late")
+    make(base)
+    layer = SemanticLayer(spark)
+    layer.add_model({"name": "late", "table": "t_late", "primary_key": "id", "dimensions": [{"name": "k"}, {"name": "day", "type": "time", "sql": "cast(day as timestamp)"}], "metrics": [{"name": "total", "agg": "sum", "sql": "v"}, {"name": "mean", "agg": "avg", "sql": "v"}, {"name": "n", "agg": "count"}, {"name": "each", "type": "ratio", "numerator": "total", "denominator": "n"}]})
+    layer.graph.models["late"].pre_aggregations = [PreAggregation("m", ["mean", "each"], ["k"], "day", "month", partition_granularity="year")]
+    asked = dict(metrics=["late.total", "late.mean", "late.each"], dimensions=["late.day__month"])
+    both = lambda: (rows(layer.query(**asked, use_preaggregations=True, strict_rollups=True)), rows(layer.query(**asked)))
+    rollups.refresh(layer, "late", "m")
+    assert both()[0] == both()[1]
+    make([*base, (4, "a", 1000, "2024-01-20")])  # late
+    rollups.refresh(layer, "late", "m", mode="incremental")
+    assert both()[0] != both()[1]
+    before = {t.name for t in spark.catalog.listTables(pattern="late_preagg_m__*")}
+    rollups.refresh(layer, "late", "m", mode="merge")
+    assert both()[0] == both()[1]
+    new = [t.name for t in spark.catalog.listTables(pattern="late_preagg_m__*") if t.name not in before]
+    assert sorted(spark.table(t).count() for t in new) == [1, 1]  # only what was touched: a bucket's row and its name
+    make([base[0], base[2], (5, "c", 7, "2023-05-05")])  # a bucket goes, one comes
+    rollups.refresh(layer, "late", "m", mode="merge")
+    assert both()[0] == both()[1] and len(both()[1]) == 3
+    for i in range(12):
+        make([base[0], base[2], (5, "c", 7, "2023-05-05"), (6, "c", i, "2024-03-09")])
+        rollups.refresh(layer, "late", "m", mode="incremental" if i % 2 else "merge", lookback="40 days")
+        assert both()[0] == both()[1]
+    assert len(rollups.layers_of(spark, "late_preagg_m")) <= rollups.LAYERS
+    with pytest.raises(DefinitionError, match="unknown refresh mode"):
+        rollups.refresh(layer, "late", "m", mode="upsert")
+    rollups.drop(spark, "late_preagg_m")
+
+
+def test_rollups_of_several_models_and_unstorable_measures(shop, spark):
+    from facetry.model import PreAggregation
+
+    layer = shop()
+    layer.graph.models["orders"].metrics.append(Metric("spread", sql="MAX(amount) - MIN(amount)"))
+    layer.graph.models["orders"].pre_aggregations = [PreAggregation("m", ["aov"], ["customer_id"], "day", "month"), PreAggregation("odd", ["spread", "nobody"], ["status"])]
+    layer.graph.models["items"].pre_aggregations = [PreAggregation("all", ["qty"], ["order_id"])]
+    layer.graph.models["items"].dimensions.append(type(layer.graph.models["items"].dimensions[0])("order_id", "numeric"))
+    rollups.refresh(layer, "orders", "m")
+    asked = dict(metrics=["orders.aov", "orders.revenue", "items.qty"], dimensions=["customers.country"])
+    one = layer.query(**asked, use_preaggregations=True)
+    assert "t_items" not in str(one._jdf.queryExecution().analyzed().toString()) or rows(one) == rows(layer.query(**asked))
+    with pytest.raises(DefinitionError, match="no roll-up"):
+        layer.query(**asked, use_preaggregations=True, strict_rollups=True)
+    # the model's other roll-up can't be stored; queries fall back and say why
+    assert rows(layer.query(["orders.spread"], ["orders.status"], use_preaggregations=True)) == rows(layer.query(["orders.spread"], ["orders.status"]))
+    assert any("nobody" not in r for r in rollups.explain(layer, ["orders.spread"], ["orders.status"])[0]["reasons"])
+    with pytest.raises(DefinitionError, match="nobody"):
+        rollups.refresh(layer, "orders", "odd")
+    rollups.refresh(layer, "items", "all")
+    assert rows(layer.query(**asked, use_preaggregations=True, strict_rollups=True)) == rows(layer.query(**asked))
+    rollups.drop(spark, "orders_preagg_m")
+    rollups.drop(spark, "items_preagg_all")
+
+
+# aggregates and formulas
+
+
+def test_unknown_keys_are_refused():
+    for kind, given in ((Metric, {"name": "m", "agg": "sum", "filterz": ["a"]}), (Model, {"name": "m", "table": "t", "metric": []})):
+        with pytest.raises(DefinitionError, match="unknown key"):
+            kind.of(given)
+    assert Metric.of({"name": "m", "agg": "sum", "meta": {"a": 1}, "tags": ["x"]}).name == "m"
+
+
+def test_more_aggregates(spark):
+    spark.createDataFrame([("a", 2.0, 1, 1), ("a", 3.0, 1, 1), ("a", -4.0, 2, 2), ("b", 0.0, 5, 3), ("b", 7.0, 5, 3), ("c", None, None, 4)], "k string, x double, w int, u int").createOrReplaceTempView("t_agg")
+    layer = SemanticLayer(spark)
+    layer.add_model({"name": "t", "table": "t_agg", "primary_key": "u", "dimensions": [{"name": "k"}], "metrics": [
+        {"name": "p", "agg": "product", "sql": "x"}, {"name": "p2", "sql": "PRODUCT(x) + 0"}, {"name": "e", "agg": "entropy", "sql": "w"}, {"name": "wa", "sql": "WEIGHTED_AVG(x, w) * 1"},
+        {"name": "qc", "sql": "QUANTILE_CONT(x, 0.5)"}, {"name": "qd", "sql": "QUANTILE_DISC(x, 0.5)"}, {"name": "am", "agg": "approx_median", "sql": "x"}, {"name": "ap", "agg": "approx_percentile", "sql": "x", "percentile": 1.0},
+        {"name": "once", "agg": "sum", "sql": "x", "distinct_key": "w"}, {"name": "xs", "agg": "list", "sql": "x"},
+    ]})
+    got = {r.k: r for r in layer.query([f"t.{m}" for m in ("p", "p2", "e", "wa", "qc", "qd", "am", "ap", "xs")], ["t.k"]).collect()}
+    assert (got["a"].p, got["b"].p, got["c"].p) == (-24.0, 0.0, None) and got["a"].p2 == pytest.approx(-24) and got["b"].p2 == 0
+    assert got["a"].e == pytest.approx(0.9182958340544896) and got["b"].e == got["c"].e == 0
+    assert got["a"].wa == pytest.approx(-0.75) and got["b"].wa == 3.5 and got["a"].qc == 2 and got["b"].qc == 3.5 and got["b"].qd == 0 and got["a"].am == 2 and got["a"].ap == 3
+    assert sorted(got["a"].xs) == [-4, 2, 3]
+    # a distinct key counts once, with its smallest value
+    assert rows(layer.query(["t.once"], ["t.k"])) == [("a", -2.0), ("b", 0.0), ("c", None)]
+
+
+def test_formulas_over_window_metrics(shop):
+    layer = shop()
+    m = layer.graph.models["orders"].metrics
+    m += [Metric("running", type="cumulative", sql="revenue"), Metric("change", type="time_comparison", base_metric="revenue", comparison_type="mom", calculation="difference"), Metric("left", type="derived", sql="running / 250 + coalesce(change, 0)"), Metric("odd", type="cumulative", agg="mode", sql="amount")]
+    got = rows(layer.query(["orders.left"], ["orders.day__month"]))
+    assert [r[-1] for r in got] == pytest.approx([100 / 250, 220 / 250 + 20, 250 / 250 - 90]) and len(got[0]) == 2
+    assert set(layer.query(["orders.left", "orders.revenue", "orders.running"], ["orders.day__month"]).columns) == {"day__month", "left", "revenue", "running"}
+    assert rows(layer.query(["orders.left"], ["orders.day__month"], filters=["orders.left > 20"]))[0][1] == pytest.approx(20.88)
+    with pytest.raises(DefinitionError, match="window"):
+        layer.query(["orders.odd"], ["orders.day__month"])
+
+
+def test_cohort_filters_are_bracketed(spark):
+    spark.createDataFrame([(1, "a", 1), (1, "b", 2), (1, "c", 4), (2, "a", 8), (2, "c", 16)], "u int, k string, v int").createOrReplaceTempView("t_cohort")
+    layer = SemanticLayer(spark)
+    layer.add_model({"name": "e", "table": "t_cohort", "dimensions": [{"name": "k"}], "metrics": [{"name": "c", "type": "cohort", "agg": "sum", "entity": "u", "inner_metrics": [{"name": "s", "agg": "sum", "sql": "v", "filters": ["k = 'a' OR k = 'b'", "v > 1"]}], "sql": "s"}]})
+    assert rows(layer.query(["e.c"])) == [(10,)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_no_task_holds_all_base_rows(shop, spark):
+    """Plans gather aggregated rows only: below a single partition stands an aggregate."""
+    layer = shop()
+    layer.graph.models["orders"].metrics += [Metric("latest", agg="sum", sql="amount", non_additive_dimension="day"), Metric("running", type="cumulative", sql="revenue")]
+    assert rows(layer.query(["orders.latest"])) == [(30,)] and rows(layer.query(["orders.latest"], ["orders.status"])) == [("open", 30), ("paid", 50)]
+    for asked in (dict(metrics=["orders.latest"]), dict(metrics=["orders.latest"], dimensions=["orders.status"]), dict(metrics=["orders.running"], dimensions=["orders.day__month"])):
+        text = plan_of(layer.query(**asked))
+        for piece in text.split("Exchange SinglePartition")[1:]:
+            assert "HashAggregate" in piece.split("\n")[1], text
+
+
+def test_planning_is_quick(shop):
+    import time
+
+    layer = shop()
+    ask = lambda: layer.query(["orders.revenue"], ["customers.country"])
+    ask()
+    took = []
+    for _ in range(9):
+        start = time.perf_counter()
+        ask()
+        took.append(time.perf_counter() - start)
+    assert sorted(took)[4] < 0.4

@@ -268,6 +268,7 @@ class SemanticLayer:
             name = aliases.get(ref) or (metric.name if metric.name not in taken else f"{owner}_{metric.name}")
             if windows.needs(metric):
                 window.ask(owner, metric, name, outputs)
+                hidden.difference_update((window.asked[-1].base, window.asked[-1].bottom))
             elif name not in {o for o, _ in outputs}:
                 outputs.append((name, compiler.metric(owner, metric)))
         having = []

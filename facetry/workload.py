@@ -210,3 +210,15 @@ WORKLOAD: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]]
 
 QUERIES = {k: q for k, (q, _) in WORKLOAD.items()}
 ORACLES = {k: sql for k, (_, sql) in WORKLOAD.items() if sql}
+
+
+def _more() -> None:
+    from .workload_more import MORE
+
+    for name, (query, sql) in MORE.items():
+        QUERIES[name] = query
+        if sql:
+            ORACLES[name] = sql
+
+
+_more()

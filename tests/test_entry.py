@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 import __spark_entry__
@@ -8,7 +9,7 @@ SMALL = "/root/testdata/sf0.001"
 
 
 def rounded(value):
-    return None if value is None or value != value else round(value, 3) if isinstance(value, float) else str(value).removesuffix(" 00:00:00")
+    return None if value is None or pd.isna(value) else round(value, 3) if isinstance(value, float) else str(value).removesuffix(" 00:00:00")
 
 
 @pytest.mark.parametrize("name", workload.ORACLES)

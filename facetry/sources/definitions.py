@@ -24,6 +24,8 @@ class Definitions:
     parameters: list[Parameter] = field(default_factory=list)
     explores: list[Explore] = field(default_factory=list)
     saved: list[SavedQuery] = field(default_factory=list)
+    #: What a file has and can't be expressed: field and reason.
+    unsupported: list[str] = field(default_factory=list)
 
     def into(self, layer) -> None:
         """All into a layer; models first that others extend."""
@@ -44,16 +46,25 @@ class Definitions:
             getattr(self, f.name).extend(getattr(other, f.name))
 
 
+SUFFIXES = (".yml", ".yaml", ".sql", ".lkml", ".tds", ".twb", ".aml", ".gsql", ".tmdl", ".malloy", ".tml", ".json")
+
+
 def load(path: str) -> Definitions:
     """A definition file, or all of a folder."""
+    from . import more_formats
+
     where = Path(path)
     if where.is_dir():
-        found = Definitions()
-        for file in sorted(p for p in where.rglob("*") if p.suffix in (".yml", ".yaml", ".sql", ".lkml")):
-            found.merge(load(str(file)))
+        files = sorted(p for p in where.rglob("*") if p.suffix in SUFFIXES)
+        found, taken = more_formats.folder(files)
+        for file in files:
+            if file not in taken:
+                found.merge(load(str(file)))
         infer_relationships(found.models)
         return found
     text = where.read_text()
+    if (made := more_formats.read(path, where.suffix, text)) is not None:
+        return made
     if where.suffix == ".sql":
         return parse_sql(text)
     if where.suffix == ".lkml":
@@ -62,7 +73,11 @@ def load(path: str) -> Definitions:
 
 
 def parse_yaml(text: str) -> Definitions:
+    from . import more_formats
+
     data = yaml.safe_load(text) or {}
+    if (made := more_formats.from_data(data)) is not None:
+        return made
     if "cubes" in data:
         return cube(data)
     if "semantic_models" in data or (isinstance(data.get("metrics"), list) and any("type_params" in m for m in data["metrics"])):

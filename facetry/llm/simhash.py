@@ -43,11 +43,10 @@ from math import ceil, log, log2
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import ASCII_LOWER, map_batches, settle, shuffle_partitions, text_bytes
+from .common import ASCII_LOWER, BLANKS, map_batches, settle, shuffle_partitions, text_bytes
 
 SEED = 42
 SHINGLE = 3
@@ -326,9 +325,11 @@ def band_cells(hashes: np.ndarray, bands: int) -> np.ndarray:
     return cell
 
 
-def node_of(words: list[bytes]) -> int:
-    """A text's identity: XXH3 of its lower-cased words; 0 without words."""
-    return xxhash.xxh3_64_intdigest(b" ".join(words), SEED) if words else 0
+def node_of(text: str) -> Column:
+    """A text's identity, which equal texts share: its hash; 0 for a text without words. Texts that
+    differ in case or blanks only are nodes of their own, linked by their equal sets of shingles."""
+    bare = F.btrim(F.col(f"`{text}`"), F.lit(BLANKS))
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.lit(0).cast("long")).otherwise(F.xxhash64(F.col(f"`{text}`")))
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -340,27 +341,23 @@ def nodes_with_bands(docs: DataFrame, key: str, text: str, shingle: int, similar
     bands = bands_of(similarity)
 
     def run(batch: pa.RecordBatch) -> dict:
-        nodes, cells = [], []
-        for raw in text_bytes(batch.column(1)):
+        cells = []
+        for raw in text_bytes(batch.column(2)):
             words = words_of(raw)
-            nodes.append(node_of(words))
             cells.append(band_cells(shingle_hashes(words, shingle), bands).view(np.int64).tolist() if words else [])
-        return {key: batch.column(0), "node": pa.array(np.array(nodes, np.uint64).view(np.int64)), "bands": cells}
+        return {key: batch.column(0), "node": batch.column(1), "bands": cells}
 
-    return map_batches(docs.select(F.col(key).cast("long").alias(key), text), f"{key} bigint, node bigint, bands array<bigint>", run)
+    return map_batches(docs.select(F.col(key).cast("long").alias(key), node_of(text).alias("node"), text), f"{key} bigint, node bigint, bands array<bigint>", run)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
     """(node, held): of each wanted node, its distinct shingle hashes in order, as bytes."""
 
-    def named(batch: pa.RecordBatch) -> dict:
-        return {"node": pa.array(np.array([node_of(words_of(t)) for t in text_bytes(batch.column(0))], np.uint64).view(np.int64)), "text": batch.column(0)}
-
     def run(batch: pa.RecordBatch) -> dict:
         return {"node": batch.column(0), "held": [np.unique(shingle_hashes(words_of(t), shingle)).tobytes() for t in text_bytes(batch.column(1))]}
 
     few = wanted.count() <= BROADCAST_NODES
-    found = map_batches(docs.select(F.col(text).alias("text")), "node bigint, text string", named)
+    found = docs.select(node_of(text).alias("node"), F.col(text).alias("text"))
     found = found.join(F.broadcast(wanted) if few else wanted, "node", "left_semi")
     return map_batches(found, "node bigint, held binary", run).groupBy("node").agg(F.first("held").alias("held"))
 
@@ -437,18 +434,6 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, si
     return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
 
 
-def with_nodes(docs: DataFrame, text: str) -> DataFrame:
-    """``docs`` and each row's node as ``__node``."""
-    at = docs.columns.index(text)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            nodes = np.array([node_of(words_of(t)) for t in text_bytes(batch.column(at))], np.uint64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes.view(np.int64))], names=[*batch.schema.names, "__node"])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__node", T.LongType())]))
-
-
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = CORPUS_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
     """One row of each group that similar texts connect: one with the smallest id, or
     without an id where the whole group has none."""
@@ -459,7 +444,7 @@ def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text
     best = F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("best")
     heads = rooted.groupBy("root").agg(best).select(F.col("best.low").alias("__head"), F.col("best.node").alias("__text"))
     heads = settle(heads, "heads")
-    kept = with_nodes(docs, text).join(heads, (F.col("__node") == F.col("__text")) & F.col(key).cast("long").eqNullSafe(F.col("__head")), "left_semi")
+    kept = docs.withColumn("__node", node_of(text)).join(heads, (F.col("__node") == F.col("__text")) & F.col(key).cast("long").eqNullSafe(F.col("__head")), "left_semi")
     rows = marked.join(heads, (F.col("node") == F.col("__text")) & F.col(key).eqNullSafe(F.col("__head")), "left_semi")
     if rows.count() > heads.count():  # rows of one id and text, or of one text without an id
         kept = kept.dropDuplicates(["__node"])

@@ -98,13 +98,15 @@ def map_batches(
 BROADCAST_GROUPS = 1_000_000
 
 
-def number_repeats(rows: DataFrame, by: list[str]) -> DataFrame:
+def number_repeats(rows: DataFrame, by: list[str], least: Column | None = None) -> DataFrame:
     """``rows`` with ``__nth``: 0, 1, ... among the rows that agree in ``by`` (null agrees with null).
+    With ``least``, an aggregate, only groups for which it holds are numbered; others have 0.
 
     Which of the equal rows has which number is open, the numbers are not. Rows that don't
     repeat stay where they are. Of a group of any size, each task numbers what lies in its own
     part of the table, after those that lie in parts before: nothing gathers a group."""
-    groups = settle(rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").drop("__n"), "groups")
+    counted = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in by]).agg(F.count(F.lit(1)).alias("__n"), (F.lit(True) if least is None else least).alias("__least"))
+    groups = settle(counted.filter("__n > 1 AND __least").drop("__n", "__least"), "groups")
     n = groups.count()
     if n == 0:
         return rows.withColumn("__nth", F.lit(0).cast("long"))

@@ -1,8 +1,9 @@
 """Sharding by a two-pass external shuffle.
 
 Pass 1 scatters records uniformly into buckets by a seeded hash of id, text and the
-record's number among equal records, so that neither an id nor a record that repeats
-without bound meets in one bucket; the number of buckets follows the bytes, so a bucket
+record's number among equal records where these hold more than a part (``SHARE``) of a
+bucket's bytes, so that neither an id nor a record that repeats without bound meets in
+one bucket; the number of buckets follows the bytes, so a bucket
 fits in a task's memory (with its longest text, which isn't cut). Pass 2 sorts a
 bucket canonically, shuffles it by Fisher-Yates with a generator seeded by
 (seed, bucket), and writes it. A record's place in the whole order is its
@@ -32,6 +33,8 @@ from .common import arrow_type, number_repeats, shuffle_partitions
 
 #: Text bytes of a bucket that a task holds while it shuffles.
 BUCKET_BYTES = 16 << 20
+#: Equal records of more than a bucket's bytes divided by this are scattered one by one.
+SHARE = 8
 #: Offsets (three numbers a bucket) are broadcast up to so many buckets.
 BROADCAST_BUCKETS = 1 << 20
 SHARDS = 8
@@ -65,7 +68,8 @@ def shuffle_into_shards(
     # the record travels as one column, so that no name of its own can clash
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
     packed = docs.select(row.alias("__row"), F.col(f"`{key}`").alias("__id"), F.xxhash64(F.col(f"`{text}`")).alias("__text"))
-    marked = number_repeats(packed, ["__id", "__text"]).select("__row", scatter_hash("__id", seed).alias("__order"))
+    packed = packed.withColumn("__bytes", F.coalesce(F.octet_length(F.col("__row").getField(text)), F.lit(0)) + 64)
+    marked = number_repeats(packed, ["__id", "__text"], F.sum("__bytes") > bucket_bytes // SHARE).select("__row", scatter_hash("__id", seed).alias("__order"))
     offsets = marked.groupBy(bucket).agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     offsets = offsets.select("__bucket", F.coalesce(running, F.lit(0)).alias("__offset"))

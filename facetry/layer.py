@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import deque
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .cache import ResultCache
 from .functions.relative_dates import expand
 from .functions.templates import with_parameters
 from .graph import Graph
@@ -25,10 +28,11 @@ LOG_LENGTH = 10_000
 class SemanticLayer:
     """Models and metrics over a Spark session. Queries return DataFrames that nothing has run yet."""
 
-    def __init__(self, spark: SparkSession, use_preaggregations: bool = False, default_limit: int | None = None, max_limit: int | None = None, enforce_visibility: bool = False):
+    def __init__(self, spark: SparkSession, use_preaggregations: bool = False, default_limit: int | None = None, max_limit: int | None = None, enforce_visibility: bool = False, cache: ResultCache | None = None):
         self.spark, self.graph = spark, Graph()
         self.use_preaggregations, self.default_limit, self.max_limit = use_preaggregations, default_limit, max_limit
         self.enforce_visibility = enforce_visibility
+        self.cache = cache
         self.log: deque[rollups.Asked] = deque(maxlen=LOG_LENGTH)
 
     # declarations
@@ -121,6 +125,16 @@ class SemanticLayer:
             return self.spark.sql(post_process.replace("{inner}", "{__inner}"), __inner=out)
         return out
 
+    def table(self, **query) -> pa.Table:
+        """A query's result as an Arrow table, from the cache if it is there. The key is the query,
+        the user's attributes and the definitions; changed data is seen when the entry is too old."""
+        if self.cache is None:
+            return self.query(**query).toArrow()
+        g = self.graph
+        state = (g.models, g.metrics, g.parameters, g.explores, self.enforce_visibility, self.default_limit, self.max_limit, self.use_preaggregations)
+        key = hashlib.sha256(repr((sorted(query.items()), state)).encode()).hexdigest()
+        return self.cache.get(key, lambda: self.query(**query).toArrow())
+
     def run_saved(self, name: str, **more) -> DataFrame:
         q = self.graph.saved[name]
         return self.query(q.metrics, q.dimensions, [*q.filters, *more.pop("filters", [])], order_by=q.order_by, limit=q.limit, **more)

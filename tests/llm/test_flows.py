@@ -371,3 +371,34 @@ def test_pipeline_against_its_parts(spark, tmp_path):
     counts = Counter(r.shard for r in got)
     assert max(counts.values()) - min(counts.values()) <= 1
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "simhash near-dedup", "benchmark decontamination", "mixing sources to target weights", "sharding"]
+
+
+def test_pipeline_of_null_and_repeated_ids(spark, tmp_path):
+    rng = np.random.default_rng(19)
+    words = [a + b for a, b in product(["sto", "riv", "clo", "gar", "pap", "win"], ["ne", "er", "ud", "den", "mi"])]
+    text = lambda *more: " ".join([*rng.choice(words, 40), *more])
+    item = " ".join(rng.choice(words, 20))
+    rows = [(i, text(*["blockhead"] * (i % 4 == 0)), "en", "s", 1) for i in range(200)]
+    clean = [(None, text(), "en", "s", 1), (7000, text(), "en", "s", 1), (7000, text(), "en", "s", 1), (None, text(), None, "s", None)]
+    copies = [(None, clean[0][1], "en", "s", 1), (7000, clean[1][1], "en", "s", 1), (7001, clean[2][1].upper(), "en", "s", 1)]
+    dirty = [(None, text("blockhead"), "en", "s", 1), (7000, text("blockhead"), "en", "s", 1), (None, f"{text()} {item} {text()}", "en", "s", 1), (7000, f"{text()} {item.title()}", "en", "s", 1)]
+    tables = {
+        "documents": spark.createDataFrame([*rows, *clean, *copies, *dirty, (None, None, None, "s", None), (8000, "", "en", "s", 0)], DOCS),
+        "labels": spark.createDataFrame([(i, 1, int(i % 4 == 0)) for i in range(200)], "doc_id bigint, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(0, item), (1, "win"), (2, None)], "item_id bigint, text string"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    docs, left = tables["documents"], []
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        docs = stage(spark, docs, str(tmp_path))
+    left = Counter((r.doc_id, r.text) for r in docs.collect())
+    assert all(left[d, t] == 1 for d, t, *_ in clean)  # one of each group, whatever its id
+    assert not any(t and ("blockhead" in t or item in t.lower()) for _, t in left) and (7001, copies[2][1]) not in left
+    assert sum(1 for d, t in left if not t) == 1 and sum(left.values()) == sum(1 for r in rows if r[0] % 4) + len(clean) + 1
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {(r.doc_id, r.text) for r in got} <= set(left) and sorted(r.shard + 8 * r.slot for r in got) == list(range(len(got)))
+    empty = tmp_path / "empty"
+    for name, df in tables.items():
+        df.limit(0).write.parquet(f"{empty}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(empty)).collect() == []

@@ -26,7 +26,7 @@ AGGREGATES = {
     # beyond the twelve: recognised where importers or raw expressions bring them
     "sum_boolean": "sum(cast({x} as int))",
     "count_if": "count_if({x})",
-    "mode": "mode({x})",
+    "mode": "mode({x}, true)",  # of equally frequent values the smallest
     "kurtosis": "kurtosis({x})",
     "skewness": "skewness({x})",
     "any_value": "any_value({x})",

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DefinitionError
-from ..plans.text import bare, closing, dotted, lenient, native, replace_bare, replace_dotted, split_top
+from ..plans.text import aggregate_calls, bare, closing, dotted, lenient, native, replace_bare, replace_dotted, split_top
 from .clauses import masked, parse_block, split_commas
 
 _CREATE = re.compile(r"^\s*create\s+(?:or\s+replace\s+)?(?:temp(?:orary)?\s+)?view\s+(\w+)\s+as\s+(select\b.*)$", re.IGNORECASE | re.DOTALL)
@@ -185,7 +185,8 @@ class Query:
             keys = [t for (t, _, _), u, g in zip(items, has_use, aggregated) if not u and not g and not literal.match(t)]
         having = self.take(block.get("having")) if block.get("having") else ""
         order = [self.take(o) for o in split_commas(block.get("order by"))] if block.get("order by") else []
-        rows = self.outer_rows()
+        counted = any(aggregate_calls(t) for t in (*(t for t, _, _ in items), having, *order))
+        rows = self.outer_rows(distinct=not counted)
         if block.get("where"):
             rows = rows.filter(self.outer(block.get("where")))
         self.keys = [(k, normal(k)) for k in keys]
@@ -194,8 +195,6 @@ class Query:
 
         def pull(text: str) -> str:
             """Plain aggregates of the query's own rows by column."""
-            from ..plans.text import aggregate_calls
-
             out, at = [], 0
             for start, end in aggregate_calls(text):
                 call = self.outer(text[start:end])
@@ -215,7 +214,8 @@ class Query:
             groups = self.attach(groups, use, f"__use{i}")
         if having:
             groups = groups.filter(having)
-        names = [a or (raw if re.fullmatch(r"\w+", raw) else re.sub(r"(?i)^aggregate\(\s*(?:\w+\.)?(\w+)\s*\)$", r"\1", raw)) for _, a, raw in shown]
+        last = [raw.split(".")[-1] for _, _, raw in shown]
+        names = [a or (raw.split(".")[-1] if re.fullmatch(r"\w+(\.\w+)?", raw) and last.count(raw.split(".")[-1]) == 1 else raw if re.fullmatch(r"\w+", raw) else re.sub(r"(?i)^aggregate\(\s*(?:\w+\.)?(\w+)\s*\)$", r"\1", raw)) for _, a, raw in shown]
         made = groups.select("*", *[F.expr(t).alias(f"__o{i}") for i, (t, _, _) in enumerate(shown)])
         columns = []
         for text in sorts:
@@ -233,12 +233,20 @@ class Query:
         out = made.select(*[F.col(f"__o{i}").alias(n) for i, n in enumerate(names)])
         return out.distinct() if block.distinct else out
 
-    def outer_rows(self) -> DataFrame:
-        """The FROM clause over the views' rows, each column under alias and name."""
+    def outer_rows(self, distinct: bool) -> DataFrame:
+        """The FROM clause over the views' rows, each column under alias and name. Where nothing
+        counts joined rows (``distinct``), each side of a join is reduced to the distinct values of
+        the columns that the query names, so that facts don't multiply each other."""
+        spoken = " ".join(x for e, _ in self.block.items for x in (e,)) + " " + " ".join(self.block.clauses.values())
+        named = set(re.findall(r"\w+", spoken))
         frames = {}
         for alias, name in self.alias.items():
             rows = self.views[name].rows(self.spark) if name in self.views else self.spark.table(name)
-            frames[alias] = rows.select(*[F.col(f"`{c}`").alias(f"__{alias}__{c}") for c in rows.columns])
+            kept = rows.columns
+            if distinct and len(self.alias) > 1:
+                kept = [c for c in kept if c in named] or kept[:1]
+                rows = rows.select(*[f"`{c}`" for c in kept]).distinct()
+            frames[alias] = rows.select(*[F.col(f"`{c}`").alias(f"__{alias}__{c}") for c in kept])
         text, flat = self.block.get("from"), masked(self.block.get("from"))
         joins = list(re.finditer(r"(?i)\b((?:inner|left|right|full|cross)(?:\s+outer)?\s+)?join\b", flat))
         aliases = list(self.alias)
@@ -290,7 +298,12 @@ class Query:
         dims = set(self.columns(use.view))
         own = lambda text: not {a for a, _ in dotted(text)} - {use.view, view.name} and {n for n in bare(text)} <= dims
         inner = lambda text: replace_dotted(text, lambda a, b: b if a in (use.view, view.name) else None)
-        active = {sign: (inner(key), f"__g{i}") for i, (key, sign) in enumerate(self.keys) if own(key)}
+        # a key of another view is a key here, too, if this view has a dimension of that name
+        views = {*self.alias, *self.alias.values()}
+        shared = lambda text: {a for a, _ in dotted(text)} <= views and {b for _, b in dotted(text)} | set(bare(text)) <= dims
+        active = {
+            sign: (inner(key) if own(key) else replace_dotted(key, lambda a, b: b), f"__g{i}") for i, (key, sign) in enumerate(self.keys) if own(key) or shared(key)
+        }
         filters: list[str] = []
         sets: dict[str, tuple[str, str]] = {}
         removed: set[str] = set()

@@ -221,7 +221,8 @@ MORE: dict[str, tuple[Run, str | None]] = {
     "moments": (
         rounded(with_layer(moments), 3),
         "SELECT o_orderstatus, round(skewness(o_totalprice) * (count(*) - 2) / sqrt(count(*) * (count(*) - 1.0)), 3) AS skew, "
-        "round(kurtosis_pop(o_totalprice), 3) AS kurt, mode(o_orderpriority) AS mode_priority FROM orders GROUP BY 1",
+        "round(kurtosis_pop(o_totalprice), 3) AS kurt, "
+        "(SELECT i.o_orderpriority FROM orders i WHERE i.o_orderstatus = o.o_orderstatus GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS mode_priority FROM orders o GROUP BY 1",
     ),
     "approx_distinct": (with_layer(approximate), "SELECT DISTINCT o_orderstatus, true AS count_is_close, true AS median_is_close FROM orders"),
     "distinct_key_sum": (
@@ -365,3 +366,25 @@ MORE |= {
         "SELECT nullif(o_orderstatus, 'F') AS k, count(*) AS n FROM orders GROUP BY 1",
     ),
 }
+
+
+def joined_measures(layer: SemanticLayer, sf_dir: str) -> DataFrame:
+    """Measures of two views of facts, by a dimension that both have."""
+    for name in ("orders", "lineitem"):
+        layer.spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(f"workload_{name}")
+    layer.sql("CREATE VIEW sold AS SELECT year(o_orderdate) AS y, o_orderstatus AS status, SUM(o_totalprice) AS MEASURE revenue FROM workload_orders")
+    layer.sql("CREATE VIEW shipped AS SELECT year(l_shipdate) AS y, l_returnflag AS flag, SUM(l_quantity) AS MEASURE quantity FROM workload_lineitem")
+    return layer.sql(
+        "SEMANTIC SELECT s.y, h.flag, AGGREGATE(revenue) AS revenue, AGGREGATE(quantity) AS quantity, AGGREGATE(quantity) AT (ALL flag) AS whole_year "
+        "FROM sold s JOIN shipped h ON s.y = h.y"
+    )
+
+
+MORE |= {
+    "measures_joined": (
+        rounded(with_layer(joined_measures)),
+        "WITH s AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS y, sum(o_totalprice) AS r FROM orders GROUP BY 1), "
+        "h AS (SELECT CAST(year(l_shipdate) AS INTEGER) AS y, l_returnflag AS flag, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) "
+        "SELECT y, flag, round(r, 2) AS revenue, round(q, 2) AS quantity, round(sum(q) OVER (PARTITION BY y), 2) AS whole_year FROM s JOIN h USING (y)",
+    ),
+}

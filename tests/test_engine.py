@@ -550,3 +550,24 @@ def test_planning_is_quick(shop):
         ask()
         took.append(time.perf_counter() - start)
     assert sorted(took)[4] < 0.4
+
+
+def test_joined_measure_views_meet_by_groups(spark):
+    spark.createDataFrame([(y, r, 10 * y) for y in (1, 2) for r in ("a", "b") for _ in range(50)], "y int, r string, v int").createOrReplaceTempView("t_f1")
+    spark.createDataFrame([(y, r, 1) for y in (1, 2, 3) for r in ("a", "b") for _ in range(30)], "y int, r string, w int").createOrReplaceTempView("t_f2")
+    layer = SemanticLayer(spark)
+    layer.sql("CREATE VIEW one AS SELECT y, r, SUM(v) AS MEASURE total FROM t_f1")
+    layer.sql("CREATE VIEW two AS SELECT y, r, SUM(w) AS MEASURE back FROM t_f2")
+    query = "SEMANTIC SELECT o.y, AGGREGATE(o.total) AS total, AGGREGATE(t.back) AS back FROM one o JOIN two t ON o.y = t.y"
+    got = layer.sql(query)
+    assert rows(got) == [(1, 1000, 60), (2, 2000, 60)]
+    both = "FROM one o JOIN two t ON o.y = t.y AND o.r = t.r"
+    assert rows(layer.sql(f"SEMANTIC SELECT o.y, o.r, AGGREGATE(o.total) - AGGREGATE(t.back) AS net, AGGREGATE(o.total) AT (ALL r) AS whole, AGGREGATE(t.back) AT (ALL) AS every {both}")) == [
+        (1, "a", 470, 1000, 180), (1, "b", 470, 1000, 180), (2, "a", 970, 2000, 180), (2, "b", 970, 2000, 180),
+    ]
+    # the sides of the join are aggregated to their years first
+    text = got._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in text.split("\n") if "Join Inner" in line]
+    assert joins and all("Aggregate" in after.split("\n")[1] for after in text.split("Join Inner")[1:])
+    # where joined rows are counted, they are joined
+    assert rows(layer.sql("SEMANTIC SELECT o.y, COUNT(*) AS n, AGGREGATE(t.back) AS back FROM one o JOIN two t ON o.y = t.y GROUP BY o.y")) == [(1, 6000, 60), (2, 6000, 60)]

@@ -25,20 +25,24 @@ only where its whole component has no id (component_id is then null); an empty
 table gives an empty result; extra columns are ignored.
 
 Near-dedup of a corpus (``drop_near_duplicates``) links texts whose sets of word
-shingles have a Jaccard similarity of ``SIMILAR`` or more. Their fingerprints are up
-to a dozen bits apart, more than any grid join affords, so candidates come from
-minima instead: each text has the minima of ``BAND_ROWS`` times ``bands_of`` hash
-functions over its shingles, and texts that agree on all minima of a band share a cell.
-A pair at the threshold shares none with a probability of ``MISS`` at most, a closer one
-with far less. In a cell the whole shingle sets are compared, so every link is exact;
-pairs that links already join are skipped.
+shingles have a Jaccard similarity of ``SIMILAR`` or more. It takes the same steps with
+wider bounds, since the fingerprints of such texts differ in about 0.15 of their bits:
+sketches of 256 bits, the same image of two-bit segments, cells on sub-grids, the Manhattan
+bound, the Hamming distance, spanning links and components. No set of sub-grids is
+exact for so many bits, so each takes a few drawn segments, as many as keep a cell's
+load near ``LOAD``, and their number is such that a pair at the threshold shares no cell
+with a probability of ``MISS`` at most (``grids_of``; sets of 4 and 5 shingles, whose
+majorities differ most, a little more). An exact check follows: within a
+component the sets of shingles are compared, and only similar texts stay linked.
+Bits that tie (even numbers of shingles) are those of the smallest hash, so that sketches
+of few shingles are spread like others.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import ceil, log, log2
+from math import acos, comb, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -59,10 +63,20 @@ PAIRS = 1 << 20
 #: Near-dedup of a corpus: words of a shingle, and the Jaccard similarity that links.
 CORPUS_SHINGLE = 5
 SIMILAR = 0.8
-#: Minima in a band, and the share of pairs at the threshold that may share no band.
-BAND_ROWS = 5
+#: Words of 64 bits in a sketch, the fingerprint for near-dedup of a corpus.
+SKETCH_WORDS = 4
+#: The share of pairs at the threshold that may share no cell, and that may exceed the bits.
 MISS = 1e-5
-#: Texts of a cell that one task compares, with their shingles, with as many others.
+BEYOND = 1e-6
+#: How much more than ``flips`` sets of few shingles differ (0.8: at worst 3/16, 4 beside 5).
+FEW = 1.25
+#: Sketches that one meets in a cell, about, and segments of a cell at least.
+LOAD = 16384
+LEAST_SEGMENTS = 4
+#: Sketches of a cell that one task compares with as many others, and pairs at a time.
+SKETCH_BLOCK = 32768
+SKETCH_PAIRS = 1 << 15
+#: Texts of a component that one task compares, with their shingles, with as many others.
 SET_BLOCK = 1024
 #: Texts to compare that are looked up by broadcast; more are met in a shuffle.
 BROADCAST_NODES = 4_000_000
@@ -228,11 +242,7 @@ def links(nodes: DataFrame, distinct: int) -> DataFrame:
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     shared = shared.select("cell", "fp", blocks.alias("blocks"), block.alias("block"))
-    # a row of block b meets every block: as the left side of (b, c), c >= b, and the right side of (a, b), a < b
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda c: F.struct(F.least("block", c).alias("a"), F.greatest("block", c).alias("b"), (c < F.col("block")).cast("int").alias("side")),
-    )
+    meets = meetings(F.col("blocks"), F.col("block"))
     dealt = shared.select("cell", "fp", F.explode(F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("side")))).otherwise(meets)).alias("at"))
     task = F.xxhash64("cell", "at.a", "at.b").alias("task")
     dealt = dealt.select(task, F.col("at.side").alias("side"), "fp")
@@ -303,26 +313,181 @@ def simhash_components(docs: DataFrame, key: str = "doc_id", text: str = "text")
     return marked.join(named, "fp", "left").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bands_of(similarity: float) -> int:
-    """Bands so that a pair of this similarity shares none with a probability of MISS at most."""
-    return ceil(log(MISS) / log(1 - similarity**BAND_ROWS)) if similarity < 1 else 1
+def mixed(x: np.ndarray) -> np.ndarray:
+    """SplitMix64's finish."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def sketch(hashes: np.ndarray) -> np.ndarray:
+    """Majority of the bits of distinct hashes in order, each mixed into 256 bits; ties take the first's."""
+    salts = np.arange(SKETCH_WORDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros(64 * SKETCH_WORDS, np.int64)
+    for at in range(0, len(hashes), 255):  # as many as a byte counts
+        wide = mixed(hashes[at : at + 255, None] + salts).astype("<u8")
+        bits = np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little")
+        counts += bits.view(np.uint64).sum(axis=0, dtype=np.uint64).view(np.uint8)  # eight counts at a time
+        first = bits[0] if at == 0 else first
+    ones = 2 * counts + first > len(hashes)
+    return np.packbits(ones, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def flips(similarity: float) -> float:
+    """The share of bits that differ between sketches of equally large sets of this Jaccard similarity."""
+    return acos(2 * similarity / (1 + similarity)) / pi
+
+
+def share_of_bits(q: float, bits: int) -> np.ndarray:
+    """The probability of 0, 1, ... differing bits, if each differs with probability q."""
+    return np.array([comb(bits, d) * q**d * (1 - q) ** (bits - d) for d in range(bits + 1)])
+
+
+def most_bits(similarity: float, bits: int) -> int:
+    """Bits that sets of this similarity, of few shingles too, exceed with a probability of BEYOND at most."""
+    more = 1 - np.cumsum(share_of_bits(FEW * flips(similarity), bits))
+    return int(np.argmax(more <= BEYOND))
+
+
+def grids_of(distinct: int, similarity: float) -> tuple[int, int]:
+    """Segments of a sub-grid, and sub-grids, for so many sketches."""
+    segments, bits = LEAST_SEGMENTS, 64 * SKETCH_WORDS
+    while distinct * 0.375**segments > LOAD and segments < 32:  # counts of two random bits agree by 3/8
+        segments += 1
+    likely, flipped = share_of_bits(flips(similarity), bits), np.arange(bits + 1) / bits
+    apart = 1 - ((1 - flipped) ** 2 + flipped**2 / 2) ** segments  # both bits stay, or 01 and 10 change places
+    low, high = 1, 1
+    while (likely * apart**high).sum() > MISS and high < 1 << 20:
+        low, high = high, 2 * high
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if (likely * apart**middle).sum() <= MISS else (middle + 1, high)
+    return segments, low
 
 
-def band_cells(hashes: np.ndarray, bands: int) -> np.ndarray:
-    """The cell of each band: its minima of the shingles' hashes, mixed."""
+def drawn_masks(segments: int, grids: int) -> np.ndarray:
+    """Of each sub-grid, the bits of its segments, by word."""
     rng = np.random.default_rng(SEED)
-    factors, shifts = rng.integers(0, 1 << 32, (2, bands * BAND_ROWS, 1), np.uint32)
-    factors |= np.uint32(1)
-    short = (hashes >> np.uint64(32)).astype(np.uint32)
-    minima = np.full(bands * BAND_ROWS, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(short), 2048):
-        np.minimum(minima, (short[at : at + 2048] * factors + shifts).min(axis=1), out=minima)
-    parts = minima.astype(np.uint64).reshape(bands, BAND_ROWS)
-    cell = np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for row in range(BAND_ROWS):
-        cell = (cell ^ parts[:, row]) * np.uint64(0xD6E8FEB86659FD93)
-        cell ^= cell >> np.uint64(29)
-    return cell
+    masks = np.zeros((grids, SKETCH_WORDS), np.uint64)
+    for own in masks:
+        for s in rng.choice(SEGMENTS * SKETCH_WORDS, segments, replace=False).tolist():
+            own[s // SEGMENTS] |= np.uint64(3 << 2 * (s % SEGMENTS))
+    return masks
+
+
+def packed(sketches: np.ndarray) -> pa.Array:
+    """A sketch a row, as bytes."""
+    width = 8 * SKETCH_WORDS
+    offsets = np.arange(len(sketches) + 1, dtype=np.int32) * width
+    return pa.BinaryArray.from_buffers(pa.binary(), len(sketches), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(sketches, "<u8"))])
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, SKETCH_WORDS)
+
+
+def sketch_cells(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
+    """(fp) -> (cell, fp): a row for each sub-grid."""
+    salt = mixed(np.arange(1, len(masks) + 1, dtype=np.uint64))
+
+    def run(batch: pa.RecordBatch) -> dict:
+        fps = unpacked(batch.column(0))
+        seen, cell = image(fps), np.broadcast_to(salt, (len(fps), len(salt)))
+        for word in range(SKETCH_WORDS):
+            cell = mixed(cell ^ (seen[:, word, None] & masks[:, word]))
+        return {"cell": pa.array(cell.ravel().view(np.int64)), "fp": packed(np.repeat(fps, len(masks), axis=0))}
+
+    return map_batches(nodes.select("fp"), "cell bigint, fp binary", run, 512)
+
+
+def within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+    """Of pairs of sketches, those within the Manhattan bound and then within the bits."""
+    near = np.flatnonzero(manhattan(image(a), image(b)).sum(axis=1, dtype=np.int64) <= most)
+    return near[popcount(a[near] ^ b[near]).sum(axis=1, dtype=np.int64) <= most]
+
+
+def join_pieces(a: np.ndarray, b: np.ndarray, piece: np.ndarray) -> list[tuple[int, int]]:
+    """Of these pairs (in order of a), those that span what ``piece`` doesn't yet join."""
+    links = []
+    while True:
+        open_ = piece[a] != piece[b]
+        a, b = a[open_], b[open_]
+        if not len(a):
+            return links
+        own = b[: np.searchsorted(a, a[0], "right")]
+        new, at = np.unique(piece[own], return_index=True)
+        links += [(int(a[0]), int(x)) for x in own[at]]
+        piece[np.isin(piece, new)] = piece[a[0]]
+
+
+def near_sketches(fps: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of links that span what sketches within the bits connect; with two sides, across."""
+    half, most = most_bits(similarity, 128), most_bits(similarity, 64 * SKETCH_WORDS)
+    order = np.argsort(side, kind="stable")
+    fps, second = fps[order], int(np.count_nonzero(side == 0)) if side.any() else 0
+    one, two = (np.ascontiguousarray(fps[:, w]) for w in (0, 1))
+    piece, links, at = np.arange(len(fps)), [], 0
+    while at < (second or len(fps)):
+        start = second or at
+        end = min(second or len(fps), at + max(1, SKETCH_PAIRS // max(1, len(fps) - start)))
+        bits = popcount(one[at:end, None] ^ one[start:])
+        bits += popcount(two[at:end, None] ^ two[start:])
+        a, b = np.divmod(np.flatnonzero(bits.ravel() <= half), len(fps) - start)
+        a, b = a + at, b + start
+        open_ = (a < b) & (piece[a] != piece[b])
+        a, b = a[open_], b[open_]
+        if len(a):
+            kept = within(fps[a], fps[b], most)
+            links += join_pieces(a[kept], b[kept], piece)
+        at = end
+    return [(int(order[a]), int(order[b])) for a, b in links]
+
+
+def meetings(blocks: Column, block: Column) -> Column:
+    """A row of block b meets every block: as the left side of (b, c), c >= b, and the right side of (a, b), a < b."""
+    return F.transform(
+        F.sequence(F.lit(0), blocks - 1),
+        lambda c: F.struct(F.least(block, c).alias("a"), F.greatest(block, c).alias("b"), (c < block).cast("int").alias("side")),
+    )
+
+
+def sketch_links(nodes: DataFrame, distinct: int, similarity: float = SIMILAR) -> DataFrame:
+    """(fp) distinct -> (src, dst): links that connect sketches within the bits of this similarity."""
+    spark = nodes.sparkSession
+    placed = sketch_cells(nodes, drawn_masks(*grids_of(distinct, similarity)))
+    crowded = settle(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SKETCH_BLOCK), "crowded")
+    few = crowded.count() <= BROADCAST_NODES
+    placed = placed.join(F.broadcast(crowded) if few else crowded, "cell", "left")
+    blocks = F.ceil(F.coalesce("n", F.lit(1)) / SKETCH_BLOCK).cast("int")
+    placed = placed.select("cell", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
+    dealt = placed.select("cell", "fp", F.explode(meetings(F.col("blocks"), F.col("block"))).alias("at"))
+    dealt = dealt.select(F.xxhash64("cell", "at.a", "at.b").alias("task"), F.col("at.side").alias("side"), "fp")
+    dealt = dealt.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []  # of one task
+
+        def done() -> pa.RecordBatch:
+            side, fps = (np.concatenate([x[at] for x in held]) for at in (0, 1))
+            found = np.array(near_sketches(fps, side, similarity), np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([packed(fps[found[:, at]]) for at in (0, 1)], names=["src", "dst"])
+
+        last = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tasks, side, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), unpacked(batch.column(2))
+            cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
+            for start, end in zip(cuts, cuts[1:]):
+                if held and tasks[start] != last:
+                    yield done()
+                    held.clear()
+                last = tasks[start]
+                held.append((side[start:end], fps[start:end]))
+        if held:
+            yield done()
+
+    return dealt.mapInArrow(run, "src binary, dst binary").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")).distinct()
 
 
 def node_of(text: str) -> Column:
@@ -336,18 +501,17 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ASCII_LOWER).split()
 
 
-def nodes_with_bands(docs: DataFrame, key: str, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(key, node, bands): a row for each of ``docs``."""
-    bands = bands_of(similarity)
+def nodes_with_sketches(docs: DataFrame, key: str, text: str, shingle: int) -> DataFrame:
+    """(key, node, fp): a row for each of ``docs``; without words fp is null."""
 
     def run(batch: pa.RecordBatch) -> dict:
-        cells = []
+        found = []
         for raw in text_bytes(batch.column(2)):
             words = words_of(raw)
-            cells.append(band_cells(shingle_hashes(words, shingle), bands).view(np.int64).tolist() if words else [])
-        return {key: batch.column(0), "node": batch.column(1), "bands": cells}
+            found.append(sketch(np.unique(shingle_hashes(words, shingle))).tobytes() if words else None)
+        return {key: batch.column(0), "node": batch.column(1), "fp": found}
 
-    return map_batches(docs.select(F.col(key).cast("long").alias(key), node_of(text).alias("node"), text), f"{key} bigint, node bigint, bands array<bigint>", run)
+    return map_batches(docs.select(F.col(key).cast("long").alias(key), node_of(text).alias("node"), text), f"{key} bigint, node bigint, fp binary", run)
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame, text: str, shingle: int) -> DataFrame:
@@ -370,12 +534,14 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
-def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links that join what similar pairs join; with two sides, of pairs across."""
+def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], fps: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what similar pairs, with sketches within the bits, join; with two sides, of pairs across."""
+    most = most_bits(similarity, 64 * SKETCH_WORDS)
     sets = [np.frombuffer(h, np.uint64) for h in held]
     order = np.argsort([len(x) for x in sets], kind="stable")
     sizes = np.array([len(x) for x in sets])[order]
     piece = np.arange(len(order))
+    sketches = unpacked(pa.array(fps, pa.binary()))[order]
     sides, across = side[order], side.any()
     links = []
     for j in range(1, len(order)):
@@ -384,6 +550,7 @@ def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], simila
         if across:
             open_ = open_[sides[low:j] != sides[j]]
         open_ = open_[piece[open_] != piece[j]][::-1]
+        open_ = open_[popcount(sketches[open_] ^ sketches[j]).sum(axis=1, dtype=np.int64) <= most]
         while len(open_):
             i, open_ = int(open_[0]), open_[1:]
             if similar(sets[order[i]], sets[order[j]], similarity):
@@ -394,35 +561,32 @@ def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], simila
 
 
 def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
-    """(node, bands) distinct -> (src, dst): links that connect what similar pairs connect."""
-    placed = nodes.select(F.explode("bands").alias("cell"), "node").repartition("cell")
-    # bands that bring the same texts together count once
-    members = [F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")]
-    crowded = placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), *members).filter("n > 1")
-    crowded = crowded.groupBy("n", "x", "y").agg(F.min("cell").alias("cell")).select("cell", "n")
+    """(node, fp) distinct -> (src, dst): links that connect what similar pairs connect, which
+    are looked for in the components of the sketches."""
+    fps = settle(nodes.filter("fp IS NOT NULL").groupBy("fp").agg(F.count(F.lit(1)).alias("texts")), "sketches")
+    found = components(sketch_links(fps.select("fp"), fps.count(), similarity)).withColumnRenamed("node", "__found")
+    cells = fps.select("fp", "texts", F.xxhash64("fp").alias("sketch")).join(found, F.col("sketch") == F.col("__found"), "left")
+    cells = cells.select("fp", "texts", F.coalesce("root", "sketch").alias("cell"))
+    crowded = cells.groupBy("cell").agg(F.sum("texts").alias("n")).filter("n > 1")
     blocks = F.ceil(F.col("n") / SET_BLOCK).cast("int")
-    shared = placed.join(crowded, "cell").select("cell", "node", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).cast("int").alias("block"))
-    shared = settle(shared, "cells")
-    # a text of block b meets every block: as the left side of (b, c), c >= b, and the right side of (a, b), a < b
-    meets = F.transform(
-        F.sequence(F.lit(0), F.col("blocks") - 1),
-        lambda c: F.struct(F.least("block", c).alias("a"), F.greatest("block", c).alias("b"), (c < F.col("block")).cast("int").alias("side")),
-    )
-    dealt = shared.select("cell", "node", F.explode(meets).alias("at"))
-    dealt = dealt.select(F.xxhash64("cell", "at.a", "at.b").alias("task"), F.col("at.side").alias("side"), "node")
+    cells = cells.join(crowded, "cell").select("cell", "fp", blocks.alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    shared = settle(nodes.select("node", "fp").join(cells, "fp").select("cell", "node", "fp", "blocks", block.alias("block")), "cells")
+    dealt = shared.select("cell", "node", "fp", F.explode(meetings(F.col("blocks"), F.col("block"))).alias("at"))
+    dealt = dealt.select(F.xxhash64("cell", "at.a", "at.b").alias("task"), F.col("at.side").alias("side"), "node", "fp")
     sets = settle(shingle_sets(docs, shared.select("node").distinct(), text, shingle), "sets")
-    dealt = dealt.join(sets, "node").select("task", "side", "node", "held")
+    dealt = dealt.join(sets, "node").select("task", "side", "node", "held", "fp")
     dealt = dealt.repartition(shuffle_partitions(nodes.sparkSession), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, own = None, []
 
         def done() -> pa.RecordBatch:
-            found = similar_links(*(np.array([x[at] for x in own], np.int64) for at in (1, 0)), [x[2] for x in own], similarity)
+            found = similar_links(*(np.array([x[at] for x in own], np.int64) for at in (1, 0)), [x[2] for x in own], [x[3] for x in own], similarity)
             return pa.RecordBatch.from_arrays([pa.array([x[at] for x in found], pa.int64()) for at in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
-            for now, *row in zip(*(batch.column(n).to_pylist() for n in ("task", "side", "node", "held"))):
+            for now, *row in zip(*(batch.column(n).to_pylist() for n in ("task", "side", "node", "held", "fp"))):
                 if now != task and own:
                     yield done()
                     own = []
@@ -437,8 +601,8 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, si
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = CORPUS_SHINGLE, similarity: float = SIMILAR) -> DataFrame:
     """One row of each group that similar texts connect: one with the smallest id, or
     without an id where the whole group has none."""
-    marked = settle(nodes_with_bands(docs, key, text, shingle, similarity), "marked")
-    nodes = settle(marked.groupBy("node").agg(F.min(key).alias("low"), F.first("bands").alias("bands")), "nodes")
+    marked = settle(nodes_with_sketches(docs, key, text, shingle), "marked")
+    nodes = settle(marked.groupBy("node").agg(F.min(key).alias("low"), F.first("fp").alias("fp")), "nodes")
     found = components(similar_pairs(nodes, docs, text, shingle, similarity)).withColumnRenamed("node", "__found")
     rooted = nodes.join(found, F.col("node") == F.col("__found"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     best = F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("best")

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 import xxhash
 
+import corpus_pipeline
 from facetry.llm import bitslice, decontam, simhash
 
 
@@ -157,6 +158,74 @@ def test_near_dedup_of_ids_that_repeat(spark):
     assert sorted(tuple(r) for r in simhash.drop_near_duplicates(df).collect()) == sorted({*rows} - {rows[3]})
 
 
+def brute_sketch(hashes):
+    mask = (1 << 64) - 1
+
+    def mixed(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    words = []
+    for w in range(4):
+        own = [mixed((h + w * 0x9E3779B97F4A7C15) & mask) for h in hashes]
+        words.append(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) + (own[0] >> b & 1) > len(own)))
+    return words
+
+
+@pytest.mark.parametrize("n", [1, 2, 5, 254, 255, 256, 700])
+def test_sketches(n):
+    random.seed(n)
+    hashes = sorted(random.getrandbits(64) for _ in range(n))
+    assert simhash.sketch(np.array(hashes, np.uint64)).tolist() == brute_sketch(hashes)
+
+
+def test_sketches_of_few_shingles_are_within_the_bits():
+    rng = np.random.default_rng(4)
+    most = simhash.most_bits(0.8, 256)
+    for hashes in rng.integers(0, 1 << 63, (10_000, 5), np.uint64):  # 4 beside 5: similarity 0.8
+        assert simhash.popcount(simhash.sketch(np.sort(hashes[:4])) ^ simhash.sketch(np.sort(hashes))).sum() <= most
+
+
+@pytest.mark.parametrize("block", [32768, 50])
+def test_sketch_links_against_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "SKETCH_BLOCK", block)
+    random.seed(23)
+    wide = []
+    for size in [1] * 100 + [4] * 40 + [200]:  # alone, small groups, a large one
+        centre = random.getrandbits(256)
+        for _ in range(size):
+            f = centre
+            for b in random.sample(range(256), random.randint(0, 35)):
+                f ^= 1 << b
+            wide.append(f)
+    most = simhash.most_bits(simhash.SIMILAR, 256)
+    want = {f: i for i, f in enumerate(wide)}
+    for a, b in combinations(wide, 2):
+        if (a ^ b).bit_count() <= 45 and want[a] != want[b]:
+            low, high = sorted((want[a], want[b]))
+            want = {f: low if r == high else r for f, r in want.items()}
+    nodes = spark.createDataFrame([(bytearray(f.to_bytes(32, "little")),) for f in set(wide)], "fp binary")
+    named = {r.id: int.from_bytes(r.fp, "little") for r in nodes.selectExpr("fp", "xxhash64(fp) AS id").collect()}
+    edges = simhash.sketch_links(nodes, len(named))
+    assert all((named[r.src] ^ named[r.dst]).bit_count() <= most for r in edges.collect())
+    found = {r.node: r.root for r in simhash.components(edges).collect()}
+    roots = {}
+    for i, f in named.items():
+        roots.setdefault(want[f], set()).add(found.get(i, i))
+    assert all(len(x) == 1 for x in roots.values()) and len(set.union(*roots.values())) >= 120
+
+
+def test_near_dedup_stage_goes_by_fingerprints(spark, monkeypatch):
+    random.seed(3)
+    words = [f"w{random.randrange(500)}" for _ in range(120)]
+    rows = [(0, " ".join(words)), (1, " ".join([*words, "more"])), (2, "quite other words than in those texts")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [0, 2]
+    monkeypatch.setattr(simhash, "sketch_links", lambda nodes, *_: nodes.selectExpr("0L AS src", "0L AS dst").limit(0))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, df, "").collect()) == [0, 1, 2]
+
+
 # decontamination
 
 

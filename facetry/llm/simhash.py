@@ -34,6 +34,12 @@ load near ``LOAD``, and their number is such that a pair at the threshold shares
 with a probability of ``MISS`` at most (``grids_of``; sets of 4 and 5 shingles, whose
 majorities differ most, a little more). An exact check follows: within a
 component the sets of shingles are compared, and only similar texts stay linked.
+
+What is linked isn't linked again: the first ``FIRST_GRIDS`` sub-grids join most of a group, and
+the others report only links between pieces that are still apart. A crowded cell (or component)
+is first linked within blocks of its rows; then blocks meet each other, but for those of the
+largest piece, so a group of near copies costs rows and links in proportion to its size, not to
+its square. Pieces that stay apart meet in pairs of blocks, since all their pairs have to be compared.
 Bits that tie (even numbers of shingles) are those of the smallest hash, so that sketches
 of few shingles are spread like others.
 """
@@ -73,6 +79,8 @@ FEW = 1.25
 #: Sketches that one meets in a cell, about, and segments of a cell at least.
 LOAD = 16384
 LEAST_SEGMENTS = 4
+#: Sub-grids whose links are joined to pieces before the others look for more.
+FIRST_GRIDS = 4
 #: Sketches of a cell that one task compares with as many others, and pairs at a time.
 SKETCH_BLOCK = 32768
 SKETCH_PAIRS = 1 << 15
@@ -387,17 +395,18 @@ def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 def sketch_cells(nodes: DataFrame, masks: np.ndarray) -> DataFrame:
-    """(fp) -> (cell, fp): a row for each sub-grid."""
-    salt = mixed(np.arange(1, len(masks) + 1, dtype=np.uint64))
+    """(fp, piece) -> (cell, piece, fp): a row for each sub-grid."""
+    salt = mixed(masks.copy()).sum(axis=1, dtype=np.uint64)
 
     def run(batch: pa.RecordBatch) -> dict:
         fps = unpacked(batch.column(0))
         seen, cell = image(fps), np.broadcast_to(salt, (len(fps), len(salt)))
         for word in range(SKETCH_WORDS):
             cell = mixed(cell ^ (seen[:, word, None] & masks[:, word]))
-        return {"cell": pa.array(cell.ravel().view(np.int64)), "fp": packed(np.repeat(fps, len(masks), axis=0))}
+        piece = np.repeat(batch.column(1).to_numpy(), len(masks))
+        return {"cell": pa.array(cell.ravel().view(np.int64)), "piece": pa.array(piece), "fp": packed(np.repeat(fps, len(masks), axis=0))}
 
-    return map_batches(nodes.select("fp"), "cell bigint, fp binary", run, 512)
+    return map_batches(nodes.select("fp", "piece"), "cell bigint, piece bigint, fp binary", run, 512)
 
 
 def within(a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -420,13 +429,16 @@ def join_pieces(a: np.ndarray, b: np.ndarray, piece: np.ndarray) -> list[tuple[i
         piece[np.isin(piece, new)] = piece[a[0]]
 
 
-def near_sketches(fps: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Places of links that span what sketches within the bits connect; with two sides, across."""
+def near_sketches(fps: np.ndarray, side: np.ndarray, piece: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Places of links that span what sketches within the bits connect and ``piece`` doesn't yet;
+    with two sides, across."""
+    if (piece == piece[0]).all():
+        return []
     half, most = most_bits(similarity, 128), most_bits(similarity, 64 * SKETCH_WORDS)
     order = np.argsort(side, kind="stable")
     fps, second = fps[order], int(np.count_nonzero(side == 0)) if side.any() else 0
     one, two = (np.ascontiguousarray(fps[:, w]) for w in (0, 1))
-    piece, links, at = np.arange(len(fps)), [], 0
+    piece, links, at = piece[order], [], 0
     while at < (second or len(fps)):
         start = second or at
         end = min(second or len(fps), at + max(1, SKETCH_PAIRS // max(1, len(fps) - start)))
@@ -451,43 +463,89 @@ def meetings(blocks: Column, block: Column) -> Column:
     )
 
 
-def sketch_links(nodes: DataFrame, distinct: int, similarity: float = SIMILAR) -> DataFrame:
-    """(fp) distinct -> (src, dst): links that connect sketches within the bits of this similarity."""
-    spark = nodes.sparkSession
-    placed = sketch_cells(nodes, drawn_masks(*grids_of(distinct, similarity)))
-    crowded = settle(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SKETCH_BLOCK), "crowded")
-    few = crowded.count() <= BROADCAST_NODES
-    placed = placed.join(F.broadcast(crowded) if few else crowded, "cell", "left")
-    blocks = F.ceil(F.coalesce("n", F.lit(1)) / SKETCH_BLOCK).cast("int")
-    placed = placed.select("cell", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).cast("int").alias("block"))
-    dealt = placed.select("cell", "fp", F.explode(meetings(F.col("blocks"), F.col("block"))).alias("at"))
-    dealt = dealt.select(F.xxhash64("cell", "at.a", "at.b").alias("task"), F.col("at.side").alias("side"), "fp")
-    dealt = dealt.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("task")
+def apart(rows: DataFrame, item: str, size: int) -> DataFrame:
+    """(cell, piece, item, ...) with (task, side): every two rows of a cell that are of two pieces meet
+    in a task of blocks of about ``size`` rows. Blocks of a cell's largest piece don't meet each other."""
+    pieces = rows.groupBy("cell", "piece").agg(F.count(F.lit(1)).alias("n"))
+    most = F.max(F.struct("n", "piece"))
+    seen = pieces.groupBy("cell").agg(most.alias("most"), F.sum("n").alias("n")).filter("n > most.n")
+    seen = seen.select(F.col("cell").alias("__cell"), F.col("most.piece").alias("__most"), *[F.ceil(n / size).cast("int").alias(f"__{x}") for n, x in ((F.col("most.n"), "own"), (F.col("n") - F.col("most.n"), "rest"))])
+    seen = settle(seen, "seen")
+    rows = rows.join(F.broadcast(seen) if seen.count() <= BROADCAST_NODES else seen, F.col("cell") == F.col("__cell"))
+    own = F.col("piece") == F.col("__most")
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64(item, "cell"), F.when(own, F.col("__own")).otherwise(F.col("__rest"))).cast("int"))
+    block = F.col("__block")
+    place = lambda a, b, side: F.struct(a.alias("a"), b.alias("b"), F.lit(side).alias("side"))  # noqa: E731  blocks of the largest piece count down from -1
+    of_own = F.transform(F.sequence(F.lit(0), F.col("__rest") - 1), lambda c: place(c, -1 - block, 1))
+    of_rest = F.transform(F.sequence(F.lit(0), F.col("__own") - 1), lambda c: place(block, -1 - c, 0))
+    rows = rows.withColumn("__at", F.explode(F.when(own, of_own).otherwise(F.concat(of_rest, meetings(F.col("__rest"), block)))))
+    rows = rows.withColumns({"task": F.xxhash64("cell", "__at.a", "__at.b"), "side": F.col("__at.side")})
+    return rows.drop("__cell", "__most", "__own", "__rest", "__block", "__at")
+
+
+def blocks_of(rows: DataFrame, item: str, n: Column, size: int, salt: int = 0) -> DataFrame:
+    """(cell, item, ...) with (task, side): every row in one block of about ``size`` of its cell's n rows."""
+    block = F.pmod(F.xxhash64(F.col(item), F.col("cell"), F.lit(salt)), F.ceil(n / size))
+    return rows.withColumns({"task": F.xxhash64(F.col("cell"), block, F.lit(salt)), "side": F.lit(0)})
+
+
+def near_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(task, side, piece, fp) -> (src, dst): what the tasks link, by the sketches' hashes."""
+    dealt = dealt.select("task", "side", "piece", "fp").repartition(shuffle_partitions(dealt.sparkSession), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, ...]] = []  # of one task
 
         def done() -> pa.RecordBatch:
-            side, fps = (np.concatenate([x[at] for x in held]) for at in (0, 1))
-            found = np.array(near_sketches(fps, side, similarity), np.int64).reshape(-1, 2)
+            side, piece, fps = (np.concatenate([x[at] for x in held]) for at in range(3))
+            found = np.array(near_sketches(fps, side, piece, similarity), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([packed(fps[found[:, at]]) for at in (0, 1)], names=["src", "dst"])
 
         last = None
         for batch in batches:
             if not batch.num_rows:
                 continue
-            tasks, side, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), unpacked(batch.column(2))
+            tasks, side, piece, fps = *(batch.column(at).to_numpy() for at in range(3)), unpacked(batch.column(3))
             cuts = [0, *(np.flatnonzero(tasks[1:] != tasks[:-1]) + 1).tolist(), len(tasks)]
             for start, end in zip(cuts, cuts[1:]):
                 if held and tasks[start] != last:
                     yield done()
                     held.clear()
                 last = tasks[start]
-                held.append((side[start:end], fps[start:end]))
+                held.append((side[start:end], piece[start:end], fps[start:end]))
         if held:
             yield done()
 
-    return dealt.mapInArrow(run, "src binary, dst binary").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst")).distinct()
+    found = dealt.mapInArrow(run, "src binary, dst binary").select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
+    return settle(found.distinct(), "near")
+
+
+def with_pieces(rows: DataFrame, name: Column, links: DataFrame) -> DataFrame:
+    """``rows`` with ``piece``: the root of what the links join to the node of this name, or that node."""
+    found = components(links).select(F.col("node").alias("__found"), F.col("root").alias("__root"))
+    return settle(rows.join(found, name == F.col("__found"), "left").withColumn("piece", F.coalesce("__root", name)).drop("__found", "__root"), "pieces")
+
+
+def sketch_links(nodes: DataFrame, distinct: int, similarity: float = SIMILAR) -> DataFrame:
+    """(fp) distinct -> (src, dst): links that connect sketches within the bits of this similarity."""
+    masks = drawn_masks(*grids_of(distinct, similarity))
+    nodes, name = nodes.select("fp"), F.xxhash64("fp")
+    pieces, links, crowds = nodes.withColumn("piece", name), None, 0
+    for own in filter(len, (masks[:FIRST_GRIDS], masks[FIRST_GRIDS:])):
+        if links is not None:
+            pieces = with_pieces(nodes, name, links)
+        placed = sketch_cells(pieces, own)
+        crowded = settle(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > SKETCH_BLOCK), "crowded")
+        n = crowded.count()
+        placed = placed.join(F.broadcast(crowded) if n <= BROADCAST_NODES else crowded, "cell", "left")
+        found = near_links(blocks_of(placed, "fp", F.coalesce("n", F.lit(1)), SKETCH_BLOCK), similarity)
+        many = crowded if links is None else many.union(crowded)
+        links, crowds = found if links is None else links.union(found), crowds + n
+    if crowds:
+        placed = sketch_cells(with_pieces(nodes, name, links), masks)
+        placed = placed.join(F.broadcast(many) if crowds <= BROADCAST_NODES else many, "cell", "left_semi")
+        links = links.union(near_links(apart(settle(placed, "crowds"), "fp", SKETCH_BLOCK), similarity))
+    return links.distinct()
 
 
 def node_of(text: str) -> Column:
@@ -534,16 +592,19 @@ def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
     return shared >= similarity * (len(both) - shared) - 1e-9
 
 
-def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], fps: list[bytes], similarity: float) -> list[tuple[int, int]]:
-    """Links that join what similar pairs, with sketches within the bits, join; with two sides, of pairs across."""
+def similar_links(nodes: np.ndarray, side: np.ndarray, piece: np.ndarray, held: list[bytes], fps: list[bytes], similarity: float) -> list[tuple[int, int]]:
+    """Links that join what similar pairs, with sketches within the bits, join and ``piece`` doesn't
+    yet; with two sides, of pairs across. What is joined is linked to one node of it."""
+    if (piece == piece[0]).all():
+        return []
     most = most_bits(similarity, 64 * SKETCH_WORDS)
     sets = [np.frombuffer(h, np.uint64) for h in held]
     order = np.argsort([len(x) for x in sets], kind="stable")
     sizes = np.array([len(x) for x in sets])[order]
-    piece = np.arange(len(order))
+    before, at = np.unique(piece[order], return_index=True)
+    piece = piece[order]
     sketches = unpacked(pa.array(fps, pa.binary()))[order]
     sides, across = side[order], side.any()
-    links = []
     for j in range(1, len(order)):
         low = int(np.searchsorted(sizes[:j], similarity * sizes[j] - 1e-9))  # smaller sets can't reach it
         open_ = np.arange(low, j)
@@ -554,10 +615,10 @@ def similar_links(nodes: np.ndarray, side: np.ndarray, held: list[bytes], fps: l
         while len(open_):
             i, open_ = int(open_[0]), open_[1:]
             if similar(sets[order[i]], sets[order[j]], similarity):
-                links.append((int(nodes[order[i]]), int(nodes[order[j]])))
                 piece[piece == piece[i]] = piece[j]
                 open_ = open_[piece[open_] != piece[j]]
-    return links
+    one = dict(zip(before.tolist(), nodes[order[at]].tolist()))  # a node of each piece
+    return [(one[p], n) for p, n in zip(piece[at].tolist(), one.values()) if one[p] != n]
 
 
 def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, similarity: float) -> DataFrame:
@@ -567,26 +628,34 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, si
     found = components(sketch_links(fps.select("fp"), fps.count(), similarity)).withColumnRenamed("node", "__found")
     cells = fps.select("fp", "texts", F.xxhash64("fp").alias("sketch")).join(found, F.col("sketch") == F.col("__found"), "left")
     cells = cells.select("fp", "texts", F.coalesce("root", "sketch").alias("cell"))
-    crowded = cells.groupBy("cell").agg(F.sum("texts").alias("n")).filter("n > 1")
-    blocks = F.ceil(F.col("n") / SET_BLOCK).cast("int")
-    cells = cells.join(crowded, "cell").select("cell", "fp", blocks.alias("blocks"))
-    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    shared = settle(nodes.select("node", "fp").join(cells, "fp").select("cell", "node", "fp", "blocks", block.alias("block")), "cells")
-    dealt = shared.select("cell", "node", "fp", F.explode(meetings(F.col("blocks"), F.col("block"))).alias("at"))
-    dealt = dealt.select(F.xxhash64("cell", "at.a", "at.b").alias("task"), F.col("at.side").alias("side"), "node", "fp")
+    crowded = settle(cells.groupBy("cell").agg(F.sum("texts").alias("n")).filter("n > 1"), "crowded")
+    cells = cells.join(F.broadcast(crowded) if crowded.count() <= BROADCAST_NODES else crowded, "cell").select("cell", "fp", "n")
+    shared = settle(nodes.select("node", "fp").join(cells, "fp").select("cell", "node", "fp", "n"), "cells")
     sets = settle(shingle_sets(docs, shared.select("node").distinct(), text, shingle), "sets")
-    dealt = dealt.join(sets, "node").select("task", "side", "node", "held", "fp")
-    dealt = dealt.repartition(shuffle_partitions(nodes.sparkSession), "task").sortWithinPartitions("task")
+    meet = lambda dealt: set_links(dealt.join(sets, "node"), similarity)
+    shared = shared.withColumn("piece", F.col("node"))
+    wide = shared.filter(F.col("n") > SET_BLOCK)
+    # two ways to cut a wide component into blocks, so that the second joins what the first joins within blocks
+    links = meet(blocks_of(shared, "node", F.col("n"), SET_BLOCK).union(blocks_of(wide, "node", F.col("n"), SET_BLOCK, 1)))
+    if wide.isEmpty():
+        return links
+    return links.union(meet(apart(with_pieces(wide.drop("piece"), F.col("node"), links), "node", SET_BLOCK))).distinct()
+
+
+def set_links(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(task, side, piece, node, held, fp) -> (src, dst): what the tasks link."""
+    dealt = dealt.select("task", "side", "piece", "node", "held", "fp")
+    dealt = dealt.repartition(shuffle_partitions(dealt.sparkSession), "task").sortWithinPartitions("task")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, own = None, []
 
         def done() -> pa.RecordBatch:
-            found = similar_links(*(np.array([x[at] for x in own], np.int64) for at in (1, 0)), [x[2] for x in own], [x[3] for x in own], similarity)
+            found = similar_links(*(np.array([x[at] for x in own], np.int64) for at in (2, 0, 1)), [x[3] for x in own], [x[4] for x in own], similarity)
             return pa.RecordBatch.from_arrays([pa.array([x[at] for x in found], pa.int64()) for at in (0, 1)], names=["src", "dst"])
 
         for batch in batches:
-            for now, *row in zip(*(batch.column(n).to_pylist() for n in ("task", "side", "node", "held", "fp"))):
+            for now, *row in zip(*(batch.column(n).to_pylist() for n in ("task", "side", "piece", "node", "held", "fp"))):
                 if now != task and own:
                     yield done()
                     own = []
@@ -595,7 +664,7 @@ def similar_pairs(nodes: DataFrame, docs: DataFrame, text: str, shingle: int, si
         if own:
             yield done()
 
-    return dealt.mapInArrow(run, "src bigint, dst bigint").distinct()
+    return settle(dealt.mapInArrow(run, "src bigint, dst bigint").distinct(), "similar")
 
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = CORPUS_SHINGLE, similarity: float = SIMILAR) -> DataFrame:

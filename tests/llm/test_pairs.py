@@ -216,6 +216,56 @@ def test_sketch_links_against_all_pairs(spark, monkeypatch, block):
     assert all(len(x) == 1 for x in roots.values()) and len(set.union(*roots.values())) >= 120
 
 
+def test_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SKETCH_BLOCK", 50)
+    random.seed(31)
+    centre = random.getrandbits(256)
+    wide = set()
+    for _ in range(600):  # near copies of one sketch, many more than a block
+        f = centre
+        for b in random.sample(range(256), random.randint(0, 20)):
+            f ^= 1 << b
+        wide.add(f)
+    nodes = spark.createDataFrame([(bytearray(f.to_bytes(32, "little")),) for f in wide], "fp binary")
+    edges = simhash.sketch_links(nodes, len(wide))
+    assert edges.count() <= (simhash.FIRST_GRIDS + 1) * len(wide)
+    found = simhash.components(edges).collect()
+    assert len(found) == len(wide) - 1 and len({r.root for r in found}) == 1
+
+
+def test_similar_links_of_a_large_group_grow_with_its_size(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SET_BLOCK", 8)
+    random.seed(33)
+    base = random.choices([f"w{i}" for i in range(900)], k=200)
+    texts = []
+    for i in range(300):  # near copies: 290 of one text, and 10 of half of it
+        words = list(base) if i < 290 else base[:100]
+        words[random.randrange(len(words))] = f"own{i}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    nodes = simhash.nodes_with_sketches(df, "doc_id", "text", 5).select("node", "fp")
+    assert simhash.similar_pairs(nodes, df, "text", 5, 0.8).count() <= 3 * len(texts)
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(df).collect()) == [0, 290]
+
+
+def test_apart_brings_together_all_rows_of_different_pieces(spark):
+    random.seed(35)
+    rows = [(c, random.choice([7, 7, 7, 8, 9, 100 + i]) if c else 7, 1000 * c + i) for c in range(3) for i in range(40 * c + 30)]
+    dealt = simhash.apart(spark.createDataFrame(rows, "cell bigint, piece bigint, node bigint"), "node", 8).collect()
+    tasks = {}
+    for r in dealt:
+        tasks.setdefault(r.task, []).append(r)
+    met = set()
+    for own in tasks.values():
+        across = any(r.side for r in own) and not all(r.side for r in own)
+        met |= {frozenset((a.node, b.node)) for a, b in combinations(own, 2) if not across or a.side != b.side}
+        assert len(own) <= 40
+    assert {frozenset((a[2], b[2])) for a, b in combinations(rows, 2) if a[0] == b[0] and a[1] != b[1]} <= met
+    assert not any(r.cell == 0 for r in dealt)  # of one piece
+    main = {r[2] for r in rows if r[1] == 7}
+    assert not any(pair <= main for pair in met)
+
+
 def test_near_dedup_stage_goes_by_fingerprints(spark, monkeypatch):
     random.seed(3)
     words = [f"w{random.randrange(500)}" for _ in range(120)]

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.templates import allowed, render_secure
 from ..graph import Graph, Hop
 from ..model import AGGREGATES, GRAINS, DefinitionError, Metric, Model
+from .exact import grouped, ranked
 from .text import aggregate_calls, bare, dotted, lenient, native, replace_bare, replace_dotted
 
 
@@ -417,11 +418,14 @@ class Planner:
             one = F.min if unique else F.any_value
             rows = rows.groupBy(*dict.fromkeys([*dims, *owned])).agg(*[one(c).alias(c) for c in measured] or [F.lit(1).alias("__one")])
         with lenient(self.ctx.spark):
-            made = [aggregated(x.agg, f"`__m{i}`").alias(n) for i, (x, n) in enumerate(zip(leaves, names))]
+            made = [(x.agg.replace("{x}", f"`__m{i}`"), n, aggregated(x.agg, f"`__m{i}`")) for i, (x, n) in enumerate(zip(leaves, names))]
+            if totals and dims and any(ranked(text) for text, _, _ in made):
+                whole = grouped(rows, [], made).select(*[F.lit(None).cast(rows.schema[d].dataType).alias(d) for d in dims], *names, F.lit(True).alias("_is_total"))
+                return grouped(rows, dims, made).withColumn("_is_total", F.lit(False)).unionByName(whole)
             if totals:
                 sets = [[F.col(d) for d in dims], []]
-                return rows.groupingSets(sets, *[F.col(d) for d in dims]).agg(*made, (F.grouping_id() > 0).alias("_is_total"))
-            return rows.groupBy(*dims).agg(*made) if dims or made else rows.select(*dims).distinct()
+                return rows.groupingSets(sets, *[F.col(d) for d in dims]).agg(*[c.alias(n) for _, n, c in made], (F.grouping_id() > 0).alias("_is_total"))
+            return grouped(rows, dims, made) if dims or made else rows.select(*dims).distinct()
 
     def snapshots(self, rows: DataFrame, leaves: list[Leaf]) -> DataFrame:
         """Of semi-additive leaves, rows off the first or last time of their partition measure NULL."""

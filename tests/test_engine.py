@@ -571,3 +571,30 @@ def test_joined_measure_views_meet_by_groups(spark):
     assert joins and all("Aggregate" in after.split("\n")[1] for after in text.split("Join Inner")[1:])
     # where joined rows are counted, they are joined
     assert rows(layer.sql("SEMANTIC SELECT o.y, COUNT(*) AS n, AGGREGATE(t.back) AS back FROM one o JOIN two t ON o.y = t.y GROUP BY o.y")) == [(1, 6000, 60), (2, 6000, 60)]
+
+
+@pytest.mark.parametrize("large", [20, 1 << 17])
+def test_exact_percentiles_hold_no_group(spark, monkeypatch, large):
+    """Ranks are selected by cuts, whatever cuts a sketch gives, and distinct values carry no sketches."""
+    from facetry.plans import exact
+
+    monkeypatch.setattr(exact, "LARGE", large)
+    values = [(k, None if i % 10 == 0 else float(i * 7919 % 1009 if k == "a" else i % 3), i % 40) for k in ("a", "b", None) for i in range(900)] + [("c", None, None), ("d", 4.0, 1), ("d", 5.0, 1)]
+    spark.createDataFrame(values, "k string, x double, u int").createOrReplaceTempView("t_ranks")
+    layer = SemanticLayer(spark)
+    layer.add_model({"name": "t", "table": "t_ranks", "dimensions": [{"name": "k"}], "metrics": [
+        {"name": "mid", "agg": "median", "sql": "x"}, {"name": "p9", "agg": "percentile", "sql": "x", "percentile": 0.9}, {"name": "q", "sql": "QUANTILE_CONT(x, 0.25) + 0"}, {"name": "d", "sql": "QUANTILE_DISC(x, 0.75)"},
+        {"name": "users", "agg": "count_distinct", "sql": "u"}, {"name": "near", "agg": "approx_count_distinct", "sql": "u"}, {"name": "n", "agg": "count"},
+    ]})
+    names = ["mid", "p9", "q", "d", "users", "near", "n"]
+    sql = "median(x), percentile(x, 0.9), percentile(x, 0.25), percentile_disc(0.75) WITHIN GROUP (ORDER BY x), count(distinct u), approx_count_distinct(u), count(1)"
+    for dims, by in ((["t.k"], "k, "), ([], "")):
+        out = layer.query([f"t.{m}" for m in names], dims)
+        want = spark.sql(f"SELECT {by}{sql} FROM t_ranks" + " GROUP BY k" * bool(by))
+        assert sorted(map(str, rows(out))) == sorted(str(tuple(r)) for r in want.collect())
+        assert [f.dataType for f in out.schema] == [f.dataType for f in want.schema]
+        text = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "percentile(" not in text and "median(" not in text and "percentile_disc(" not in text
+        assert not any("(distinct" in line and "approx_count_distinct" in line for line in text.split("\n"))
+    both = layer.query(["t.mid", "t.n"], ["t.k"], with_totals=True).filter("_is_total").collect()
+    assert len(both) == 1 and both[0].k is None and both[0].n == len(values) and both[0].mid == spark.sql("SELECT median(x) FROM t_ranks").first()[0]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..model import AGGREGATES, DefinitionError, Metric, Model
+from .exact import grouped
 from .live import Context, Field, Leaf, Planner, dimension_sql, inline_refs, resolve_names, strip_model
 from .text import dotted, lenient, native
 from .windows import interval
@@ -148,4 +149,5 @@ def cohort(ctx: Context, model: Model, metric: Metric, fields: list[Field], filt
         entities = entities.filter(metric.having)
     agg = metric.agg or "count"
     x = metric.sql or ("`__entity`" if agg in ("count", "count_distinct") else f"`{inner[0].name}`")
-    return entities.groupBy(*dims).agg(F.expr(AGGREGATES[agg].replace("{x}", x)).alias(metric.name))
+    text = AGGREGATES[agg].replace("{x}", x)
+    return grouped(entities, dims, [(text, metric.name, F.expr(text))])

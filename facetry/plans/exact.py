@@ -2,7 +2,8 @@
 
 Percentiles are selected by rank: a sketch of a large group gives cuts, rows below each are
 counted, and only the rows between the cuts around a rank are sorted. Cuts needn't be close to
-the rank; if they aren't, more rows are sorted. Distinct counts are taken apart from sketches,
+the rank; if they aren't, more rows are sorted. Modes and entropies come from the counts of the
+values, which are grouped by value first. Distinct counts are taken apart from sketches,
 whose states would otherwise be made for each distinct value."""
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
-from .text import arguments, closing
+from .text import arguments, closing, entropy
 
 #: Rows of a group that are sorted without looking for cuts; larger groups are broadcast by their cuts.
 LARGE = 1 << 17
@@ -22,7 +23,7 @@ LARGE = 1 << 17
 AROUND = (0.002, 0.02)
 #: Of the sketches that give cuts: their ranks are off by 1 / ACCURACY or so.
 ACCURACY = 2000
-_DISC = re.compile(r"percentile_disc\(([\d.]+)\) WITHIN GROUP \(ORDER BY (`\w+`)\)")
+_WITHIN = re.compile(r"(?i)percentile_(disc|cont)\(([\d.]+)\) WITHIN GROUP (\(ORDER BY (.+)\))")
 #: Aggregates whose state is a few numbers.
 _LIGHT = re.compile(r"(?i)(sum|count|avg|min|max|stddev_samp|stddev_pop|var_samp|var_pop|count_if|skewness|kurtosis|any_value)\(")
 
@@ -36,8 +37,8 @@ def call(text: str, name: str) -> list[str] | None:
 
 def ranked(text: str) -> tuple[str, float, bool] | None:
     """The expression, percentage and whether a value is picked, of an exact percentile."""
-    if m := _DISC.fullmatch(text):
-        return m[2], float(m[1]), True
+    if (m := _WITHIN.fullmatch(text)) and closing(text, m.start(3)) == len(text) and not re.search(r"(?i)\b(asc|desc|first|last)$", m[4]):
+        return (m[4], float(m[2]), m[1].lower() == "disc") if float(m[2]) <= 1 else None
     if (given := call(text, "median")) and len(given) == 1:
         return given[0], 0.5, False
     if (given := call(text, "percentile")) and len(given) == 2 and re.fullmatch(r"[\d.]+", given[1]) and float(given[1]) <= 1:
@@ -51,6 +52,20 @@ def distinct(text: str) -> str | None:
     return given[0][9:] if given and len(given) == 1 and given[0].lower().startswith("distinct ") else None
 
 
+def by_counts(text: str) -> tuple[str, str] | None:
+    """What follows from the counts of an expression's values, and the expression."""
+    if (given := call(text, "mode")) and len(given) == 2 and given[1].lower() == "true":
+        return "mode", given[0]
+    if text.startswith("IF(count(") and entropy(x := text[9 : closing(text, 8) - 1]) == text:
+        return "entropy", f"CAST({x} AS STRING)"
+    return None
+
+
+def apart(text: str) -> bool:
+    """Whether ``grouped`` computes an aggregate apart from the others."""
+    return bool(ranked(text) or by_counts(text))
+
+
 def light(text: str) -> bool:
     m = _LIGHT.match(text)
     return bool(m and closing(text, m.end() - 1) == len(text))
@@ -59,11 +74,13 @@ def light(text: str) -> bool:
 def grouped(rows: DataFrame, dims: list[str], asked: Iterable[tuple[str, str, Column]]) -> DataFrame:
     """``dims`` and an aggregate for each (SQL, name, the same as a column)."""
     asked = list(asked)
-    together, apart, percents = [], {}, {}
+    together, apart, percents, counts = [], {}, {}, {}
     for text, name, column in asked:
         found = ranked(text)
         if found and isinstance(rows.select(F.expr(found[0])).schema[0].dataType, NumericType):
             percents.setdefault(found[0], []).append((name, *found[1:]))
+        elif found := by_counts(text):
+            counts.setdefault(found[1], []).append((name, found[0]))
         else:
             together.append((text, name, column))
     if not all(distinct(text) or light(text) for text, _, _ in together):
@@ -73,6 +90,8 @@ def grouped(rows: DataFrame, dims: list[str], asked: Iterable[tuple[str, str, Co
         together = [a for a in together if not distinct(a[0])]
     pieces = [rows.groupBy(*dims).agg(*made) for made in apart.values()]
     pieces += [percentiles(rows, dims, x, made) for x, made in percents.items()]
+    pieces += [frequencies(rows, dims, x, made) for x, made in counts.items()]
+    empty = {name for made in counts.values() for name, kind in made if kind == "entropy"}
     if not pieces or together:
         out = rows.groupBy(*dims).agg(*[column.alias(name) for _, name, column in together])
     elif apart or not dims:
@@ -84,7 +103,7 @@ def grouped(rows: DataFrame, dims: list[str], asked: Iterable[tuple[str, str, Co
             out = out.crossJoin(piece)  # one row each
             continue
         out = out.join(tagged(piece, dims, "__p"), same(dims, "__p"), "left").drop(*[f"{d}__p" for d in dims])
-    return out.select(*dims, *[name for _, name, _ in asked])
+    return out.select(*dims, *[F.coalesce(name, F.lit(0.0)).alias(name) if name in empty else name for _, name, _ in asked])
 
 
 def tagged(df: DataFrame, dims: list[str], tag: str) -> DataFrame:
@@ -98,6 +117,14 @@ def same(dims: list[str], tag: str) -> Column:
     return out
 
 
+def frequencies(rows: DataFrame, dims: list[str], x: str, asked: list[tuple[str, str]]) -> DataFrame:
+    """Modes, of equally frequent values the smallest, and entropies in bits (name, kind) of ``x`` in each group that has values."""
+    values = rows.select(*dims, F.expr(x).alias("__x")).filter("__x IS NOT NULL").groupBy(*dims, "__x").agg(F.count(F.lit(1)).alias("__same"))
+    same = F.col("__same")
+    made = {"mode": F.min_by("__x", F.struct(-same, F.col("__x"))), "entropy": F.log2(F.sum(same)) - F.sum(same * F.log2(same)) / F.sum(same)}
+    return values.groupBy(*dims).agg(*[made[kind].alias(name) for name, kind in asked])
+
+
 def percentiles(rows: DataFrame, dims: list[str], x: str, asked: list[tuple[str, float, bool]]) -> DataFrame:
     """Exact percentiles (name, percentage, picked or between two values) of ``x`` in each group that has values."""
     # ranks from 0 of the two values that a percentile lies between, in a group of n

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.templates import allowed, render_secure
 from ..graph import Graph, Hop
 from ..model import AGGREGATES, GRAINS, DefinitionError, Metric, Model
-from .exact import grouped, ranked
+from .exact import apart, grouped
 from .text import aggregate_calls, bare, dotted, lenient, native, replace_bare, replace_dotted
 
 
@@ -419,7 +419,7 @@ class Planner:
             rows = rows.groupBy(*dict.fromkeys([*dims, *owned])).agg(*[one(c).alias(c) for c in measured] or [F.lit(1).alias("__one")])
         with lenient(self.ctx.spark):
             made = [(x.agg.replace("{x}", f"`__m{i}`"), n, aggregated(x.agg, f"`__m{i}`")) for i, (x, n) in enumerate(zip(leaves, names))]
-            if totals and dims and any(ranked(text) for text, _, _ in made):
+            if totals and dims and any(apart(text) for text, _, _ in made):
                 whole = grouped(rows, [], made).select(*[F.lit(None).cast(rows.schema[d].dataType).alias(d) for d in dims], *names, F.lit(True).alias("_is_total"))
                 return grouped(rows, dims, made).withColumn("_is_total", F.lit(False)).unionByName(whole)
             if totals:

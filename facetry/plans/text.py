@@ -148,7 +148,7 @@ def arguments(text: str) -> list[str]:
     return [*parts, text[start:].strip()]
 
 
-def _entropy(x: str) -> str:
+def entropy(x: str) -> str:
     """Bits of the values' distribution: log2 n less the mean of log2 of each value's count, by a fold over the sorted values."""
     close = "IF(a.n > 0, a.n * log2(a.n), 0D)"
     fold = (
@@ -166,7 +166,7 @@ def _product(x: str) -> str:
 #: Aggregates that definitions use and Spark's SQL lacks, by its own.
 _FOREIGN = {
     "product": _product,
-    "entropy": _entropy,
+    "entropy": entropy,
     "geometric_mean": lambda x: f"exp(avg(ln({x})))",
     "geomean": lambda x: f"exp(avg(ln({x})))",
     "weighted_avg": lambda x, w: f"try_divide(sum(({x}) * ({w})), sum(CASE WHEN ({x}) IS NOT NULL THEN {w} END))",

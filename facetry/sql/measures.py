@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import DefinitionError
+from ..plans import exact
 from ..plans.text import aggregate_calls, bare, closing, dotted, lenient, native, replace_bare, replace_dotted, split_top
 from .clauses import masked, parse_block, split_commas
 
@@ -209,7 +210,7 @@ class Query:
         sorts = [pull(o) for o in order]
         aggs = [F.expr(re.sub(r"(?i)count\(\s*\*\s*\)", "count(1)", c)).alias(f"__a{i}") for i, c in enumerate(plain)] or [F.count(F.lit(1)).alias("__n")]
         columns = [f"__g{i}" for i in range(len(keys))]
-        groups = (getattr(grouped, rolled)(*columns) if rolled else grouped.groupBy(*columns)).agg(*aggs)
+        groups = exact.grouped(grouped, columns, [(c, f"__a{i}", a) for i, (c, a) in enumerate(zip(plain, aggs))]) if plain and not rolled else getattr(grouped, rolled or "groupBy")(*columns).agg(*aggs)
         for i, use in enumerate(self.uses):
             groups = self.attach(groups, use, f"__use{i}")
         if having:
@@ -366,7 +367,15 @@ class Query:
         else:
             keyed = rows.select("*", *[F.expr(e).alias(f"__k{i}") for i, (e, _) in enumerate(ties)])
             one = F.expr(formula)
-        found = keyed.groupBy(*[f"__k{i}" for i in range(len(ties))]).agg(one.alias(column))
+        keys = [f"__k{i}" for i in range(len(ties))]
+        spans = [(0, len(formula))] if exact.apart(formula) else aggregate_calls(formula)
+        if any(exact.apart(formula[a:b]) for a, b in spans):
+            text, calls = formula, [formula[a:b] for a, b in spans]
+            for i, (a, b) in reversed(list(enumerate(spans))):
+                text = f"{text[:a]}__c{i}{text[b:]}"
+            found = exact.grouped(keyed, keys, [(c, f"__c{i}", F.expr(c)) for i, c in enumerate(calls)]).select(*keys, F.expr(text).alias(column))
+        else:
+            found = keyed.groupBy(*keys).agg(one.alias(column))
         if not ties:
             return groups.crossJoin(found)  # one row
         condition = F.lit(True)

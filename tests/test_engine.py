@@ -598,3 +598,21 @@ def test_exact_percentiles_hold_no_group(spark, monkeypatch, large):
         assert not any("(distinct" in line and "approx_count_distinct" in line for line in text.split("\n"))
     both = layer.query(["t.mid", "t.n"], ["t.k"], with_totals=True).filter("_is_total").collect()
     assert len(both) == 1 and both[0].k is None and both[0].n == len(values) and both[0].mid == spark.sql("SELECT median(x) FROM t_ranks").first()[0]
+
+
+def test_modes_and_entropies_come_from_counts(spark):
+    """No task gathers a group's values; ties go to the smallest, groups without values have NULL and 0."""
+    values = [("a", i % 4, 1) for i in range(8)] + [("b", 7, 1), ("b", 7, 2), ("b", 3, 3), ("c", None, 1), (None, 5, 1)]
+    spark.createDataFrame(values, "k string, x int, u int").createOrReplaceTempView("t_counts")
+    layer = SemanticLayer(spark)
+    layer.add_model({"name": "t", "table": "t_counts", "dimensions": [{"name": "k"}], "metrics": [{"name": "m", "agg": "mode", "sql": "x"}, {"name": "e", "agg": "entropy", "sql": "x"}, {"name": "q", "sql": "QUANTILE_DISC(x, 0.5)"}, {"name": "n", "agg": "count"}]})
+    out = layer.query(["t.m", "t.e", "t.q", "t.n"], ["t.k"])
+    got = {r.k: (r.m, round(r.e, 6), r.q, r.n) for r in out.collect()}
+    assert got == {"a": (0, 2.0, 1.0, 8), "b": (7, 0.918296, 7.0, 3), "c": (None, 0.0, None, 1), None: (5, 0.0, 5.0, 1)}
+    assert rows(layer.query(["t.m", "t.n"])) == [(3, 13)]
+    layer.sql("CREATE VIEW seen AS SELECT k, u, MEDIAN(x) - MIN(x) AS MEASURE gap FROM t_counts")
+    measured = layer.sql("SEMANTIC SELECT k, AGGREGATE(gap) AS gap, MEDIAN(u) AS mid FROM seen GROUP BY k")
+    assert rows(measured) == [("a", 1.5, 1.0), ("b", 4.0, 2.0), ("c", None, 1.0), (None, 0.0, 1.0)]
+    for made in (out, measured):
+        text = made._jdf.queryExecution().optimizedPlan().toString()
+        assert not any(f"{held}(" in text for held in ("mode", "collect_list", "percentile", "percentile_disc", "median"))

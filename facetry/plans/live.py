@@ -21,6 +21,10 @@ from .exact import apart, grouped
 from .text import aggregate_calls, bare, dotted, lenient, native, replace_bare, replace_dotted
 
 
+#: Bytes of base tables for each task that groups multiplied rows, and the least size that stands for an unknown one.
+PIECE, UNKNOWN = 8 << 20, 1 << 50
+
+
 @dataclass(frozen=True)
 class Field:
     """A dimension of a query: its model, name and grain, and the output column."""
@@ -278,6 +282,13 @@ def aggregated(agg: str, x: str) -> Column:
     return F.expr(agg.replace("{x}", x))
 
 
+def pieces(rows: DataFrame) -> int:
+    """How many tasks group multiplied rows, by the size of the tables that they come from; 1 if none tells its size."""
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < UNKNOWN) // PIECE + 1
+
+
 class Planner:
     """Plans leaves at dimensions under row filters."""
 
@@ -416,6 +427,9 @@ class Planner:
             measured = [c for c in rows.columns if c.startswith(("__m", "__c_"))]
             owned = [f"__k_{model}__{k}" for k in key] if not unique else unique
             one = F.min if unique else F.any_value
+            if many and (n := pieces(rows)) > 1:
+                # else Spark sorts, joins and groups in one task what it deems small by its compressed size
+                rows = rows.repartition(n, *dict.fromkeys([*dims, *owned]))
             rows = rows.groupBy(*dict.fromkeys([*dims, *owned])).agg(*[one(c).alias(c) for c in measured] or [F.lit(1).alias("__one")])
         with lenient(self.ctx.spark):
             made = [(x.agg.replace("{x}", f"`__m{i}`"), n, aggregated(x.agg, f"`__m{i}`")) for i, (x, n) in enumerate(zip(leaves, names))]

@@ -1,4 +1,6 @@
 import datetime as dt
+import os
+import re
 
 import pytest
 
@@ -616,3 +618,22 @@ def test_modes_and_entropies_come_from_counts(spark):
     for made in (out, measured):
         text = made._jdf.queryExecution().optimizedPlan().toString()
         assert not any(f"{held}(" in text for held in ("mode", "collect_list", "percentile", "percentile_disc", "median"))
+
+
+def test_multiplied_rows_are_dealt_by_the_size_of_tables(spark, monkeypatch):
+    """The rows of a fan-out are grouped in as many tasks as the tables' bytes ask for, and where sizes are small or unknown as Spark sees fit."""
+    from facetry import workload
+    from facetry.plans import live
+
+    folder = "/root/testdata/sf0.001"
+    dealt = lambda df: re.findall(r"RepartitionByExpression \[__d_supplier__s_suppkey#\d+L?, __k_part__p_partkey#\d+L?\], (\d+)", df._jdf.queryExecution().optimizedPlan().toString())
+    ask = workload.ask(metrics=["part.parts"], dimensions=["supplier.s_suppkey"])
+    small = ask(spark, folder)
+    assert dealt(small) == []
+    monkeypatch.setattr(live, "PIECE", 1 << 14)
+    wide = ask(spark, folder)
+    sizes = [os.path.getsize(f"{folder}/{t}.parquet") for t in ("part", "lineitem", "supplier")]
+    assert [int(n) for n in dealt(wide)] == [sum(sizes) // (1 << 14) + 1] and int(dealt(wide)[0]) > 4
+    assert rows(wide) == rows(small)
+    unsized = spark.createDataFrame(wide.limit(1).collect())
+    assert live.pieces(unsized) == 1
